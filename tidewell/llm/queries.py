@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm.media import op6_media
 from tidewell.llm.pieces import op4_sentencepiece
+from tidewell.llm.simhash import op2_simhash
 from tidewell.llm.token_shards import op9_token_ids
 from tidewell.llm.warc import OP1_SQL, op1_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_simhash": op2_simhash,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_media": op6_media,
     "op9_token_ids": op9_token_ids,

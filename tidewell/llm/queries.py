@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewell.llm.line_chunks import OP7_SQL, op7_line_dedup
 from tidewell.llm.media import op6_media
+from tidewell.llm.mixing import OP5_SQL, op5_mixing
 from tidewell.llm.pieces import op4_sentencepiece
 from tidewell.llm.simhash import op2_simhash
 from tidewell.llm.token_shards import op9_token_ids
@@ -16,8 +18,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_mixing": op5_mixing,
     "op6_media": op6_media,
+    "op7_line_dedup": op7_line_dedup,
     "op9_token_ids": op9_token_ids,
 }
 
-ORACLES: dict[str, str] = {"op1_warc": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op5_mixing": OP5_SQL, "op7_line_dedup": OP7_SQL}

@@ -10,8 +10,10 @@ listing, without opening files.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,7 @@ MAGIC = b"TWSHARD1"
 HEADER = struct.Struct("<8sIIQQQQ")  # magic, id bytes, spare, documents, tokens, keys, buckets
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 CACHE_LIMIT = 300_000
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 class ChunkEncoder:
@@ -37,10 +40,12 @@ class ChunkEncoder:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         probe = "It's  naïve,\n1st <|x|>"
         parts = [i for c in probe.replace("\n", " ").split(" ") if c for i in self.tokenizer.encode(c, add_special_tokens=False).ids]
         if parts != self.tokenizer.encode(probe, add_special_tokens=False).ids:
@@ -50,10 +55,9 @@ class ChunkEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
         known = self.known
-        for chunks in cut:
-            if new := [c for c in set(chunks) if c not in known]:
-                for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    known[c] = np.array(e.ids, self.dtype).tobytes()
+        if new := [c for c in set().union(*cut) if c not in known]:
+            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                known[c] = array(self.code, e.ids).tobytes()
         out = [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
         if len(known) > CACHE_LIMIT:
             self.known = {"": b""}
@@ -168,7 +172,7 @@ class Shard:
         return None if at < 0 else self.ids[self.offsets[at] : self.offsets[at + 1]]
 
 
-def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_bytes: int = 8 << 20) -> None:
+def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_bytes: int = 4 << 20) -> None:
     """Encode ``doc_id, text`` and write shards in ascending doc_id order.
 
     Null texts are empty, null ids come first, rows with the same id are
@@ -205,12 +209,18 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         .sortWithinPartitions("doc_id", "text")
         .mapInArrow(build, "part int, seq int, n_tokens long, value binary")
     )
-    (
-        shards.withColumn("value", F.col("value").cast("string"))
-        .write.partitionBy("part", "seq", "n_tokens")
-        .option("lineSep", "\n")
-        .text(path)
-    )
+    spark = docs.sparkSession
+    before = spark.conf.get(ARROW_BYTES)
+    spark.conf.set(ARROW_BYTES, "8m")  # two tasks of an executor hold several copies of a batch
+    try:
+        (
+            shards.withColumn("value", F.col("value").cast("string"))
+            .write.partitionBy("part", "seq", "n_tokens")
+            .option("lineSep", "\n")
+            .text(path)
+        )
+    finally:
+        spark.conf.set(ARROW_BYTES, before)
 
 
 def read_token_shards(spark: SparkSession, path: str) -> DataFrame:

@@ -99,6 +99,11 @@ def mix(docs: DataFrame, source: Column | None = None, lang: Column | None = Non
     )
 
 
+def sample_mixed(docs: DataFrame) -> DataFrame:
+    """The sampled rows of ``mix``, with the columns of ``docs``."""
+    return mix(docs).where("tw_selected").select(*docs.columns)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).select(
         "doc_id",

@@ -12,11 +12,13 @@ from tidewell.llm.mixing import OP5_SQL, op5_mixing
 from tidewell.llm.pieces import op4_sentencepiece
 from tidewell.llm.simhash import op2_simhash
 from tidewell.llm.token_shards import op9_token_ids
+from tidewell.llm.toxicity import op3_toxicity
 from tidewell.llm.warc import OP1_SQL, op1_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
+    "op3_toxicity": op3_toxicity,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_mixing": op5_mixing,
     "op6_media": op6_media,

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm.line_chunks import OP7_SQL, op7_line_dedup
+from tidewell.llm.main_text import op8_html
 from tidewell.llm.media import op6_media
 from tidewell.llm.mixing import OP5_SQL, op5_mixing
 from tidewell.llm.pieces import op4_sentencepiece
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_media": op6_media,
     "op7_line_dedup": op7_line_dedup,
+    "op8_html": op8_html,
     "op9_token_ids": op9_token_ids,
 }
 

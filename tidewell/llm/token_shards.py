@@ -28,7 +28,7 @@ from tidewell.llm._shared import read_table, shared_path
 MAGIC = b"TWSHARD1"
 HEADER = struct.Struct("<8sIIQQQQ")  # magic, id bytes, spare, documents, tokens, keys, buckets
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-CACHE_LIMIT = 300_000
+CACHE_LIMIT = 400_000
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -36,7 +36,7 @@ class ChunkEncoder:
     """Ids of whole texts from a ``tokenizers`` file.
 
     Texts are cut at spaces and line feeds, which the tokenizer drops and
-    never merges across; ids of a chunk are kept up to ``CACHE_LIMIT`` chunks.
+    never merges across; ids of the first ``CACHE_LIMIT`` chunks are kept.
     """
 
     def __init__(self, path: str) -> None:
@@ -51,17 +51,77 @@ class ChunkEncoder:
         if parts != self.tokenizer.encode(probe, add_special_tokens=False).ids:
             raise ValueError("this tokenizer does not drop white space; texts cannot be cut there")
         self.known: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {"": b""}  # lower-case letters, "." and ","
+        self.lowers = self._ids(["Äé"]) == self._ids(["äé"])
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that end a word
+        self.closing[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """As ``_ids``, for words of one piece each: many are encoded as one
+        text, which is cut at the tokens that end a word."""
+        out: list[bytes] = []
+        groups = [words[k : k + 200] for k in range(0, len(words), 200)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            ends = (np.flatnonzero(self.closing[ids]) + 1) * self.dtype.itemsize
+            if len(ends) != len(group):
+                out.extend(self._ids(group))
+                continue
+            raw, at = ids.tobytes(), 0
+            for end in ends.tolist():
+                out.append(raw[at:end])
+                at = end
+        return out
+
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of new chunks. Letters and a full stop or comma after them are
+        always split, and case is lost, so such chunks are put together from
+        their words; this holds for Latin letters in composed form."""
+        found: dict[str, bytes] = {}
+        words, plain = {}, []
+        for c in chunks:
+            core, tail = (c[:-1], c[-1]) if c[-1] in ".," else (c, "")
+            if self.lowers and core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
+                words[c] = (core.lower(), tail)
+            else:
+                plain.append(c)
+        known = self.words
+        new = [w for w in {x for pair in words.values() for x in pair} if w not in known]
+        fresh = dict(zip(new, self._word_ids(new), strict=True))
+        for c, (core, tail) in words.items():
+            found[c] = (fresh.get(core) or known.get(core, b"")) + (fresh.get(tail) or known.get(tail, b""))
+        found.update(zip(plain, self._ids(plain), strict=True))
+        if len(known) < CACHE_LIMIT:
+            known.update(fresh)
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
         known = self.known
-        if new := [c for c in set().union(*cut) if c not in known]:
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[c] = array(self.code, e.ids).tobytes()
-        out = [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
-        if len(known) > CACHE_LIMIT:
-            self.known = {"": b""}
-        return out
+        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        rows = [list(map(known.get, chunks)) for chunks in cut]
+        missing = [[k for k, v in enumerate(row) if v is None] if None in row else () for row in rows]
+        if new := {chunks[k] for chunks, at in zip(cut, missing, strict=True) for k in at}:
+            found = self._learn(list(new))
+            for chunks, row, at in zip(cut, rows, missing, strict=True):
+                for k in at:
+                    row[k] = found[chunks[k]]
+            if len(known) < CACHE_LIMIT:  # the frequent chunks come early
+                known.update(found)
+        return [b"".join(row) for row in rows]
+
+
+_encoders: dict[str, ChunkEncoder] = {}
+
+
+def chunk_encoder(path: str) -> ChunkEncoder:
+    """The encoder, kept with what it has learned in a Python worker."""
+    if path not in _encoders:
+        _encoders[path] = ChunkEncoder(path)
+    return _encoders[path]
 
 
 def _mixed(h: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
@@ -181,7 +241,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer)
+        encoder = chunk_encoder(tokenizer)
         end = np.array([end_id], encoder.dtype).tobytes()
         part, seq, keys, ids, size = TaskContext.get().partitionId(), 0, [], [], 0
 

@@ -265,7 +265,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     shards = (
         docs.select(F.col("doc_id").cast("long"), F.col("text"))
-        .repartitionByRange("doc_id", "text")
+        .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", "text")
         .mapInArrow(build, "part int, seq int, n_tokens long, value binary")
     )

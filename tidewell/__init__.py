@@ -1,0 +1 @@
+"""tidewell: cycle, corpus, search and monitoring analytics as DataFrame functions."""

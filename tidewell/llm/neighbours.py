@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm._shared import read_table, stored
+from tidewell.llm._shared import arrow_batches, read_table, stored
 
-DEGREE = 64
-TREES = 8
+DEGREE = 48
+TREES = 6
 LEAF = 1024
 ROUNDS = 3
 PARTNERS = 4
@@ -328,8 +328,9 @@ def nearest(table: DataFrame, is_query: Callable[[str], object], k: int = 5, id_
     small = stored(_small_vectors(nodes), "small")
     queries = vectors.where(is_query("vec_id")).join(nodes.select("node", "v"), "v").select(F.col("vec_id").alias("query_id"), "node", F.col("v").alias("qv"))
     queries = stored(queries, "queries")
-    lists = build_graph(small)
-    found = search_graph(lists, small, queries.select("node").distinct(), **search)
+    with arrow_batches(table.sparkSession):
+        lists = build_graph(small)
+        found = stored(search_graph(lists, small, queries.select("node").distinct(), **search), "found")
     best = _edges(found).withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sim"), "nbr"))).where(F.col("r") <= RERANK)
     pairs = queries.join(best.select("node", "nbr"), "node").join(nodes.select(F.col("node").alias("nbr"), "members", "v"), "nbr")
 

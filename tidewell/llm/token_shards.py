@@ -23,13 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm._shared import read_table, shared_path
+from tidewell.llm._shared import arrow_batches, read_table, shared_path
 
 MAGIC = b"TWSHARD1"
 HEADER = struct.Struct("<8sIIQQQQ")  # magic, id bytes, spare, documents, tokens, keys, buckets
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 CACHE_LIMIT = 400_000
-ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 class ChunkEncoder:
@@ -269,18 +268,13 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         .sortWithinPartitions("doc_id", "text")
         .mapInArrow(build, "part int, seq int, n_tokens long, value binary")
     )
-    spark = docs.sparkSession
-    before = spark.conf.get(ARROW_BYTES)
-    spark.conf.set(ARROW_BYTES, "8m")  # two tasks of an executor hold several copies of a batch
-    try:
+    with arrow_batches(docs.sparkSession):
         (
             shards.withColumn("value", F.col("value").cast("string"))
             .write.partitionBy("part", "seq", "n_tokens")
             .option("lineSep", "\n")
             .text(path)
         )
-    finally:
-        spark.conf.set(ARROW_BYTES, before)
 
 
 def read_token_shards(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """WARC archives with revisit records for repeated payloads.
 
-Record headers are shuffled by payload digest; payloads are not. Archives are
+Record headers are shuffled by payload digest to find the originals; the table
+of originals is sent to the payloads where it is counted to be small, and only
+beyond that are payloads shuffled. Archives are
 ordinary WARC/1.1 files (gzip): one record per row of Spark's text writer, with
 the two line ends that close a record as the separator, so that they can be
 written to and read from any store that Spark reaches.
@@ -17,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm._shared import read_table, shared_path, stored
+from tidewell.llm._shared import read_table, shared_path, small, stored
 
 CRLF = "\r\n"
+BROADCAST_ROWS = 200_000  # of 72 bytes each
+SIZE_CLASSES = (32 << 10, 512 << 10)  # payload bytes; longer ones are the last class
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
@@ -54,7 +58,7 @@ def join_revisits(records: DataFrame, min_bytes: int = 100) -> DataFrame:
     """
     drop = [c for c in ("record_type", "refers_to") if c in records.columns]
     keys = records.select("page_id", "payload_digest", "payload_bytes", *[c for c in drop if c == "record_type"])
-    originals = stored(resolve_revisits(keys, min_bytes), "warc-originals")
+    originals = small(stored(resolve_revisits(keys, min_bytes), "warc-originals"), BROADCAST_ROWS)
     joined = records.drop(*drop).join(originals, "payload_digest", "left")
     again = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
     return joined.withColumns(
@@ -75,12 +79,12 @@ def write_archives(records: DataFrame, path: str, warc_date: str | None = None,
     """Write ``page_id, url, payload (string), payload_digest, payload_bytes,
     record_type, refers_to`` as WARC records with fresh headers.
 
-    A file holds at most ``max_file_bytes`` of payload (or one record), by a
-    bound on its number of records from the longest payload. ``warc_date``
-    defaults to the time of writing.
+    Payloads are written by size class, one folder each, and a file holds at
+    most ``max_file_bytes`` of payload (or one record), by a bound on its
+    number of records from the longest payload of its class; so a few very
+    long pages don't make all files small. ``warc_date`` defaults to the time
+    of writing.
     """
-    longest = records.agg(F.max("payload_bytes")).first()[0] or 1
-    per_file = int(max(1, min(4000, max_file_bytes // (longest + 1000))))
     now = F.lit(warc_date) if warc_date else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     revisit = F.col("record_type") == "revisit"
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF + CRLF))
@@ -112,13 +116,17 @@ def write_archives(records: DataFrame, path: str, warc_date: str | None = None,
         http,
         F.when(revisit, "").otherwise(F.col("payload")),
     ]
-    (
-        records.select(F.concat(*head).alias("value"))
-        .write.option("lineSep", CRLF + CRLF)
-        .option("compression", "gzip")
-        .option("maxRecordsPerFile", per_file)
-        .text(path)
-    )
+    size_class = sum((F.col("payload_bytes") > most).cast("int") for most in SIZE_CLASSES)
+    longest = records.groupBy(size_class.alias("class")).agg(F.max("payload_bytes").alias("most")).collect()
+    for held, most in longest or [(0, 1)]:
+        (
+            records.where(size_class == held)
+            .select(F.concat(*head).alias("value"))
+            .write.option("lineSep", CRLF + CRLF)
+            .option("compression", "gzip")
+            .option("maxRecordsPerFile", int(max(1, min(4000, max_file_bytes // (most + 1000)))))
+            .text(f"{path}/class={held}")
+        )
 
 
 def _headers(raw: bytes) -> dict[str, str]:

@@ -21,10 +21,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm._shared import cut, read_table, stored
+from tidewell.llm._shared import cut, read_table, small, stored
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 HOT = 4096
+HOT_TEXTS = 1 << 17
 PAIRS = list(combinations(range(4), 2))
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -127,6 +128,14 @@ def sliced_hits(planes: np.ndarray, fp: np.ndarray, block: np.ndarray, valid: np
     return out
 
 
+def bit_planes(values: np.ndarray, lane: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """``planes[p, b]``: bit p of the values of block b, which starts at row
+    ``head[b]``; each value stands at its lane of the word."""
+    if not len(head):
+        return np.zeros((64, 0), np.uint64)
+    return np.stack([np.bitwise_or.reduceat(((values >> np.uint64(p)) & np.uint64(1)) << lane, head) for p in range(64)])
+
+
 def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Join the classes of each pair; a label is the class's smallest row."""
     while True:
@@ -158,7 +167,7 @@ def link_groups(fp: np.ndarray, group: np.ndarray, radius: int = 2) -> np.ndarra
     filled = np.diff(np.append(head, len(rows))).astype(np.uint64)
     full = np.where(filled == 64, ALL, (np.uint64(1) << (filled % np.uint64(64))) - np.uint64(1))
     values = fp[rows]
-    planes = np.stack([np.bitwise_or.reduceat(((values >> np.uint64(p)) & np.uint64(1)) << lane, head) for p in range(64)])
+    planes = bit_planes(values, lane, head)
     last = block - within // 64 + (size_of[rows] - 1) // 64
     todo = last - block + 1
     ends = np.cumsum(todo)
@@ -252,18 +261,25 @@ def near_duplicates(docs: DataFrame, words: int = 3, hot: int = HOT) -> DataFram
     return rows.join(classes, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
-def _signature(text: str | None, words: int, bands: int) -> tuple[int, list[int], list[int]]:
-    """SimHash, band keys and sorted distinct shingle hashes of a text."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Sorted different hashes of a text's word shingles; none without words."""
     parts = (text or "").encode().translate(LOWER).split()
     if not parts:
-        return 0, [0], []  # one group of all texts without words
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(words, len(parts))
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[: len(parts) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
-    h = np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, len(parts) - k + 1))
+    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, len(parts) - k + 1))
+
+
+def _signature(text: str | None, words: int, bands: int) -> tuple[int, list[int]]:
+    """SimHash and band keys of a text's different shingles."""
+    h = shingle_hashes(text, words)
+    if not len(h):
+        return 0, [0]  # one group of all texts without words
     ones, least = np.zeros(64, np.int64), np.full(4 * bands, ALL)
     with np.errstate(over="ignore"):
         factors = (np.arange(1, 4 * bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -273,53 +289,146 @@ def _signature(text: str | None, words: int, bands: int) -> tuple[int, list[int]
             mixed = (part ^ (part >> np.uint64(31)))[None, :] * factors[:, None]
             np.minimum(least, (mixed ^ (mixed >> np.uint64(29))).min(axis=1), out=least)
         keys = (least.reshape(bands, 4) * factors[:4]).sum(axis=1, dtype=np.uint64)
-    fp = int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0])
-    return fp, keys.astype(np.int64).tolist(), h.astype(np.int64).tolist()
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0]), keys.astype(np.int64).tolist()
+
+
+def scan_groups(new: np.ndarray, node: np.ndarray, fp: np.ndarray, part: np.ndarray, asks: np.ndarray, after: np.ndarray, most: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (earlier, later) of sorted groups that lie within
+    ``radius`` bits, in order of the earlier one.
+
+    ``new`` marks the first rows of groups. Only rows that ask are compared,
+    with rows of other ``part`` whose node lies above ``after``; each gets its
+    first ``most`` partners. All rows that ask go side by side, one block of
+    64 earlier rows of their groups a step.
+    """
+    n = len(fp)
+    starts = np.flatnonzero(new)
+    sizes = np.diff(np.append(starts, n))
+    rows = np.flatnonzero(np.repeat(sizes, sizes) > 1)
+    within = rows - np.repeat(starts, sizes)[rows]
+    head = np.flatnonzero(within % 64 == 0)
+    first_block = np.cumsum(within % 64 == 0) - 1 - within // 64
+    values, lane = fp[rows], (within % 64).astype(np.uint64)
+    planes = bit_planes(values, lane, head)
+    count = np.zeros(len(rows), np.int64)
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step, q = 0, np.flatnonzero(asks[rows] & (within > 0))
+    while len(q):
+        block = first_block[q] + step
+        earlier = np.where(within[q] // 64 > step, ALL, (np.uint64(1) << lane[q]) - np.uint64(1))
+        hits = sliced_hits(planes, values[q], block, earlier, radius)
+        found = np.flatnonzero(hits)
+        for k in range(64) if len(found) else ():
+            at = found[(hits[found] >> np.uint64(k)) & np.uint64(1) == 1]
+            a, b = rows[head[block[at]] + k], q[at]
+            good = (count[b] < most) & (part[a] != part[rows[b]]) & (node[a] > after[rows[b]])
+            count[b[good]] += 1
+            found_a.append(a[good])
+            found_b.append(rows[b[good]])
+        step += 1
+        q = q[(count[q] < most) & (within[q] > step * 64)]
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
+def _scan(batches: Iterator[pa.RecordBatch], most: int, radius: int) -> Iterator[pa.RecordBatch]:
+    """``band, cell, a, b`` of the sorted groups ``band, key, cell``; the last,
+    perhaps open group of a batch waits for the next one."""
+    kept: list[np.ndarray] | None = None
 
+    def pairs(cols: list[np.ndarray]) -> pa.RecordBatch:
+        band, key, cell, node, fp, part, asks, after = cols
+        new = np.concatenate([[True], (band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])])
+        a, b = scan_groups(new, node, fp.astype(np.uint64), part, asks.astype(bool), after, most, radius)
+        return pa.RecordBatch.from_arrays([pa.array(band[b], pa.int32()), pa.array(cell[b], pa.int64()), pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], names=["band", "cell", "a", "b"])
 
-def _near_pairs(batches: Iterator[pa.RecordBatch], radius: int, most: int = 8, segment: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of the sorted groups ``band, key``: each row with its
-    group's first row and with up to ``most`` earlier rows of its segment
-    within ``radius`` bits. A group of any size passes segment by segment."""
-    first: tuple[int, int, int, int] | None = None
     for batch in batches:
-        for at in range(0, batch.num_rows, segment):
-            band, key, node, fp = (c.to_numpy(zero_copy_only=False) for c in batch.slice(at, segment).columns)
-            new = np.concatenate([[True], (band[1:] != band[:-1]) | (key[1:] != key[:-1])])
-            group = np.cumsum(new) - 1
-            head, head_fp = node[new], fp[new].astype(np.uint64)
-            if first is not None and first[:2] == (band[0], key[0]):
-                head[0], head_fp[0] = first[2], np.uint64(first[3] & (2**64 - 1))
-            first = (band[-1], key[-1], int(head[-1]), int(head_fp[-1]))
-            a, b = [head[group]], [node]
-            bits = fp.astype(np.uint64)
-            size = np.bincount(group)[group]
-            if (rows := np.flatnonzero(size > 2)).size:
-                values, of = bits[rows], group[rows]
-                edge = np.concatenate([[True], of[1:] != of[:-1]])
-                within = np.arange(len(rows)) - np.maximum.accumulate(np.where(edge, np.arange(len(rows)), 0))
-                heads = np.flatnonzero(within % 64 == 0)
-                block = np.cumsum(within % 64 == 0) - 1
-                lane = (within % 64).astype(np.uint64)
-                planes = np.stack([np.bitwise_or.reduceat(((values >> np.uint64(p)) & np.uint64(1)) << lane, heads) for p in range(64)])
-                todo = within // 64 + 1  # earlier blocks of the group, and its own
-                q = np.repeat(np.arange(len(rows)), todo)
-                back = np.arange(len(q)) - np.repeat(np.cumsum(todo) - todo, todo)
-                blk = block[q] - within[q] // 64 + back
-                earlier = (np.uint64(1) << lane[q]) - np.uint64(1)
-                hits = sliced_hits(planes, values[q], blk, np.where(blk == block[q], earlier, ALL), radius)
-                count = np.zeros(len(rows), np.int64)
-                for k in range(64):
-                    hit = np.flatnonzero((hits >> np.uint64(k)) & np.uint64(1))
-                    hit = hit[count[q[hit]] < most]
-                    np.add.at(count, q[hit], 1)
-                    a.append(node[rows[heads[blk[hit]] + k]])
-                    b.append(node[rows[q[hit]]])
-            x, y = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(x[x != y]), pa.array(y[x != y])], names=["a", "b"])
-
-
-def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 16, radius: int = 24) -> DataFrame:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if kept is not None:
+            cols = [np.concatenate(x) for x in zip(kept, cols, strict=True)]
+        same = np.logical_and.reduce([c == c[-1] for c in cols[:3]])
+        first = 0 if same.all() else len(same) - int(np.argmin(same[::-1]))
+        kept = [c[first:] for c in cols]
+        if first:
+            yield pairs([c[:first] for c in cols])
+    if kept is not None:
+        yield pairs(kept)
+
+
+def band_groups(nodes: DataFrame, hot: int = HOT_TEXTS) -> DataFrame:
+    """``band, key, cell, node, fp``: texts dealt to a group for each key.
+
+    A group over ``hot`` texts is cut into parts by a hash, and each two parts
+    meet in a cell of their own, so all of its pairs still meet.
+    """
+    dealt = nodes.select(F.posexplode("keys").alias("band", "key"), F.col("text_hash").alias("node"), "fp")
+    large = cut(dealt.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot))
+    if large.isEmpty():
+        return dealt.select("band", "key", F.lit(0).cast("long").alias("cell"), "node", "fp")
+    parts = F.coalesce(F.ceil(F.col("n") / hot), F.lit(1)).cast("long")
+    rows = dealt.join(small(large, 100_000), ["band", "key"], "left").withColumn("parts", parts)
+    mine = F.pmod(F.xxhash64("node"), F.col("parts"))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda other: F.least(mine, other) * F.col("parts") + F.greatest(mine, other))
+    return rows.select("band", "key", F.explode(cells).alias("cell"), "node", "fp")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those pairs ``a, b`` of texts whose shingle sets have a Jaccard
+    similarity of ``similarity`` or more, on whole sets. A set is made of one
+    row of each text, so copies of a text don't travel."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([shingle_hashes(t, words).astype(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["text_hash", "shingles"])
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct().join(nodes.select("text_hash", "least_id"), "text_hash")
+    wanted = wanted.select(F.col("text_hash").alias("wanted_hash"), "least_id")
+    on = texts["doc_id"].eqNullSafe(wanted["least_id"]) & (texts["text_hash"] == wanted["wanted_hash"])
+    chosen = texts.join(wanted, on, "left_semi").select("text_hash", "text").mapInArrow(sets, "text_hash long, shingles array<long>")
+    chosen = stored(chosen.dropDuplicates(["text_hash"]), "shingles")
+    left = chosen.select(F.col("text_hash").alias("a"), F.col("shingles").alias("sa"))
+    right = chosen.select(F.col("text_hash").alias("b"), F.col("shingles").alias("sb"))
+    same = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(right, "b").join(left, "a").where(same >= similarity * (F.size("sa") + F.size("sb") - same)).select("a", "b")
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float, radius: int, hot: int = HOT_TEXTS) -> DataFrame:
+    """``a, b``: links of similar texts, enough to connect all of them.
+
+    In the first round each text is checked with the first earlier one of each
+    of its groups within ``radius`` bits. Texts that had a partner ask again,
+    for four times as many partners each round, but only among texts that are
+    not connected to them by then; it ends when no text asks.
+    """
+    groups = stored(band_groups(nodes, hot), "band-groups")
+    rows = groups.select("*", F.col("node").alias("part"), F.lit(True).alias("asks"), F.lit(-(2**63)).alias("after"))
+    links = tested = None
+    most = 1
+    while True:
+        found = (
+            rows.repartition("band", "key", "cell")
+            .sortWithinPartitions("band", "key", "cell", "node")
+            .mapInArrow(lambda batches, most=most: _scan(batches, most, radius), "band int, cell long, a long, b long")
+        )
+        found = stored(found, "pairs")
+        asked = found.groupBy("band", "cell", F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.max("a").alias("after"))
+        asked = stored(asked.where(F.col("n") >= most).drop("n"), "asked")
+        pairs = found.select("a", "b").distinct()
+        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = stored(verified(pairs, texts, nodes, words, similarity), "links")
+        tested, links = (pairs, more) if tested is None else (tested.unionByName(pairs), links.unionByName(more))
+        if asked.isEmpty():
+            return links
+        roots = cut(connected(links))
+        most *= 4
+        again = groups.join(asked, ["band", "cell", "node"]).select("band", "key", "cell").distinct()
+        rows = groups.join(again, ["band", "key", "cell"], "left_semi").join(asked, ["band", "cell", "node"], "left").join(roots, "node", "left")
+        rows = rows.select("band", "key", "cell", "node", "fp", F.coalesce("root", "node").alias("part"), F.col("after").isNotNull().alias("asks"), F.coalesce("after", F.lit(0)).alias("after"))
+
+
+def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 16, radius: int = 24, hot: int = HOT_TEXTS) -> DataFrame:
     """``doc_id, text_hash, component_id``: rows joined by texts whose sets of
     word shingles have a Jaccard similarity of ``similarity`` or more.
 
@@ -337,30 +446,10 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, band
             columns = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "text_hash", "fp", "keys"])
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pa.array([_signature(t, words, bands)[2] for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["text_hash", "shingles"])
-
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
     rows = stored(texts.mapInArrow(sign, "doc_id long, text_hash long, fp long, keys array<long>"), "signatures")
     nodes = stored(rows.groupBy("text_hash").agg(F.min("doc_id").alias("least_id"), F.min("fp").alias("fp"), F.max("keys").alias("keys")), "texts")
-    dealt = nodes.select(F.posexplode("keys").alias("band", "key"), F.col("text_hash").alias("node"), "fp")
-    pairs = (
-        dealt.repartition("band", "key")
-        .sortWithinPartitions("band", "key", "node")
-        .mapInArrow(lambda batches: _near_pairs(batches, radius), "a long, b long")
-        .distinct()
-    )
-    pairs = stored(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct()
-    chosen = texts.select("text_hash", "text").join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"])
-    chosen = stored(chosen.mapInArrow(sets, "text_hash long, shingles array<long>"), "shingles")
-    left = chosen.select(F.col("text_hash").alias("a"), F.col("shingles").alias("sa"))
-    right = chosen.select(F.col("text_hash").alias("b"), F.col("shingles").alias("sb"))
-    same = F.size(F.array_intersect("sa", "sb"))
-    links = pairs.join(right, "b").join(left, "a").where(same >= similarity * (F.size("sa") + F.size("sb") - same)).select("a", "b")
-    roots = cut(connected(links))
+    roots = cut(connected(similar_links(nodes, texts, words, similarity, radius, hot)))
     member = nodes.join(roots, nodes.text_hash == roots.node, "left").select("text_hash", "least_id", F.coalesce("root", "text_hash").alias("root"))
     least = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
     classes = member.join(least, "root").select("text_hash", "component_id")
@@ -369,12 +458,13 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, band
 
 def keep_representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows of ``docs`` that represent their component of similar texts: the
-    one with the smallest doc_id; of rows that repeat this id, one."""
+    one with the smallest doc_id (null only where all are null); of rows that
+    repeat this id, one. Other columns pass through, whatever their names."""
     found = similar_texts(docs, words, similarity)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("text_hash").alias("hash_")).select(F.col("doc_id").alias("id_"), "hash_")
-    hashed = docs.withColumn("kept_hash_", F.xxhash64("text"))
-    on = hashed["doc_id"].cast("long").eqNullSafe(kept["id_"]) & (hashed["kept_hash_"] == kept["hash_"])
-    return hashed.join(kept, on, "left_semi").dropDuplicates(["doc_id", "kept_hash_"]).select(*docs.columns)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("text_hash").alias("kept_hash")).select(F.col("doc_id").alias("kept_id"), "kept_hash")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    on = rows["id"].eqNullSafe(kept["kept_id"]) & (rows["hash"] == kept["kept_hash"])
+    return rows.join(kept, on, "left_semi").dropDuplicates(["id", "hash"]).select("row.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

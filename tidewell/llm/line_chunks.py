@@ -60,7 +60,7 @@ def dedup_chunks(docs: DataFrame, divisor: int = DIVISOR, long_words: int = LONG
     lines that remain keep their order; a text may become empty. Null texts
     stay null, empty texts stay empty. Rows that repeat a doc_id with equal
     text count as one occurrence; null doc_ids come first. Other columns pass
-    through. ``count_column`` adds the number of chunks removed.
+    through, whatever their names. ``count_column`` adds the number of chunks removed.
     """
     key = {"tw_id": F.col("doc_id").cast("long"), "tw_hash": F.xxhash64("text")}
     base = docs.select(key["tw_id"].alias("tw_id"), key["tw_hash"].alias("tw_hash"), F.col("text").alias("tw_text"))
@@ -88,16 +88,14 @@ def dedup_chunks(docs: DataFrame, divisor: int = DIVISOR, long_words: int = LONG
     same = texts.where("again").join(kept, (F.col("h") == F.col("k")) & (F.col("chunk") == F.col("kept")))
     removed = same.groupBy("tw_id", "tw_hash").agg(F.collect_set("pos").alias("tw_removed")).withColumnsRenamed({"tw_id": "r_id", "tw_hash": "r_hash"})
     removed = small(stored(removed, "chunk-removed"), BROADCAST_ROWS)
-    rows = docs.withColumns(key).join(removed, F.col("tw_id").eqNullSafe(F.col("r_id")) & (F.col("tw_hash") == F.col("r_hash")), "left")
-    return _without(rows, docs.columns, count_column, divisor, long_words)
-
-
-def _without(rows: DataFrame, columns: list[str], count_column: str | None, divisor: int, long_words: int) -> DataFrame:
-    marked = marked_chunks(F.col("text"), divisor, long_words)
-    kept = F.filter(marked, lambda c, i: ~F.array_contains(F.col("tw_removed"), i))
-    text = F.when(F.col("tw_removed").isNull(), F.col("text")).otherwise(plain(F.array_join(kept, "\n")))
+    others = [c for c in docs.columns if c != "text"]
+    row = F.struct(*[F.col(f"`{c}`") for c in others]).alias("tw_row")
+    rows = docs.select(key["tw_id"].alias("tw_id"), key["tw_hash"].alias("tw_hash"), F.col("text").alias("tw_text"), row)
+    rows = rows.join(removed, F.col("tw_id").eqNullSafe(F.col("r_id")) & (F.col("tw_hash") == F.col("r_hash")), "left")
+    kept = F.filter(marked_chunks(F.col("tw_text"), divisor, long_words), lambda c, i: ~F.array_contains(F.col("tw_removed"), i))
+    text = F.when(F.col("tw_removed").isNull(), F.col("tw_text")).otherwise(plain(F.array_join(kept, "\n")))
     count = [] if count_column is None else [F.coalesce(F.size("tw_removed"), F.lit(0)).alias(count_column)]
-    return rows.select(*[text.alias(c) if c == "text" else F.col(c) for c in columns], *count)
+    return rows.select(*[text.alias(c) if c == "text" else F.col("tw_row").getField(c).alias(c) for c in docs.columns], *count)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

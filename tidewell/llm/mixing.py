@@ -101,7 +101,11 @@ def mix(docs: DataFrame, source: Column | None = None, lang: Column | None = Non
 
 def sample_mixed(docs: DataFrame) -> DataFrame:
     """The sampled rows of ``mix``, with the columns of ``docs``."""
-    return mix(docs).where("tw_selected").select(*docs.columns)
+    used = ("doc_id", "text", "source", "lang")
+    others = [c for c in docs.columns if c not in used]
+    row = [F.struct(*[F.col(f"`{c}`") for c in others]).alias("row")] if others else []
+    chosen = mix(docs.select(*used, *row)).where("tw_selected")
+    return chosen.select(*[F.col(c) if c in used else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

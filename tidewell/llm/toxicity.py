@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from tidewell.llm._shared import read_table, stored
 
@@ -80,7 +81,7 @@ class Index:
     def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         n_terms, n_blocks = len(self.terms) + 1, max(1, -(-len(vectors) // BLOCK))
         term = np.concatenate([v[0] for v in vectors] or [np.zeros(0, int)])
-        row = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
+        row = np.repeat(np.arange(len(vectors)), np.array([len(v[0]) for v in vectors], int))
         weight = np.concatenate([v[1] for v in vectors] or [np.zeros(0)])
         cell = term * n_blocks + row // BLOCK
         order = np.argsort(cell, kind="stable")
@@ -210,17 +211,17 @@ def score_documents(docs: DataFrame, index: Index, with_evidence: bool = False)
     (array of doc_id and similarity of the nearest examples).
 
     Null and empty texts are scored like any other, by their length alone.
-    All columns pass through; rows may repeat.
+    All other columns pass through, whatever their names; rows may repeat.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(index)
+    sent = spark.sparkContext.broadcast(index)  # bounded by the example and term limits
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
         seen: dict[tuple[bytes, bytes], tuple[float, list[dict]]] = {}
         for batch in batches:
             made, why = [], []
-            for text in batch.column("tw_text").to_pylist():
+            for text in batch.column(0).field("text").to_pylist():
                 vector = index.vector(text)
                 key = (vector[0].tobytes(), vector[1].tobytes())
                 if key not in seen:
@@ -231,18 +232,18 @@ def score_documents(docs: DataFrame, index: Index, with_evidence: bool = False)
                 value, evidence = seen[key]
                 made.append(value)
                 why.append(evidence)
-            columns = batch.columns[:-1] + [pa.array(made, pa.float64())]
-            names = batch.schema.names[:-1] + ["tw_score"]
+            columns, names = [batch.column(0), pa.array(made, pa.float64())], ["row", "tw_score"]
             if with_evidence:
                 columns.append(pa.array(why, pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64())]))))
                 names.append("tw_evidence")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = docs.select("*", F.col("text").alias("tw_text"))
-    out = docs.schema.add("tw_score", "double")
+    kept = [c for c in docs.columns if c not in ("tw_score", "tw_evidence")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
+    out = StructType([*rows.schema.fields, StructField("tw_score", DoubleType())])
     if with_evidence:
-        out = out.add("tw_evidence", "array<struct<doc_id:bigint,similarity:double>>")
-    return rows.mapInArrow(score, out)
+        out = StructType([*out.fields, StructField("tw_evidence", ArrayType(StructType([StructField("doc_id", LongType()), StructField("similarity", DoubleType())])))])
+    return rows.mapInArrow(score, out).select("row.*", *out.names[1:])
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -64,16 +64,23 @@ def approx_tokens(text: Column, least: int = 0) -> Column:
     return F.greatest(F.lit(least), F.floor(F.length(text) / 4).cast("int"))
 
 
+def _has_word(text: Column, word: str) -> Column:
+    return F.regexp_like(text, F.lit(rf"(?i)(?<![0-9A-Za-z_])\Q{word}\E(?![0-9A-Za-z_])"))
+
+
 def keyword_lines(text: Column, keywords: list[str]) -> Column:
     """Trimmed lines that hold a keyword as a whole word, in any case; grouped
     by keyword, so a line with two keywords comes twice."""
     lines = F.split(text, "\n")
-    found = [F.transform(F.filter(lines, lambda x, w=w: F.regexp_like(x, F.lit(rf"(?i)(?<![0-9A-Za-z_])\Q{w}\E(?![0-9A-Za-z_])"))), lambda x: F.trim(x)) for w in keywords]
-    return F.flatten(F.array(*found))
+
+    def holding(word: str) -> Column:
+        return F.transform(F.filter(lines, lambda x: _has_word(x, word)), lambda x: F.trim(x))
+
+    return F.flatten(F.array(*map(holding, keywords)))
 
 
 def keywords_found(text: Column, keywords: list[str]) -> Column:
-    hits = [F.when(F.regexp_like(text, F.lit(rf"(?i)(?<![0-9A-Za-z_])\Q{w}\E(?![0-9A-Za-z_])")), F.lit(w)) for w in keywords]
+    hits = [F.when(_has_word(text, w), F.lit(w)) for w in keywords]
     return F.array_compact(F.array(*hits))
 
 

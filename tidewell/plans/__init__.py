@@ -1 +1,6 @@
 """Registered queries over the driver tables, with their SQL."""
+
+from tidewell.plans import corpus, cycles, index
+
+QUERIES = cycles.QUERIES | corpus.QUERIES | index.QUERIES
+ORACLES = cycles.ORACLES | corpus.ORACLES | index.ORACLES

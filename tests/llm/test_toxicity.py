@@ -5,7 +5,7 @@ import numpy as np
 from tests.llm.helpers import assert_clashes_kept, clashing, empty, odd_documents
 from tidewell.llm import toxicity
 
-FOLDER = "/root/testdata/sf0.01"
+FOLDER = "/root/testdata/sf0.1"
 LABELS = "doc_id long, quality int, toxic int"
 
 
@@ -36,12 +36,8 @@ def test_held_out_labels_are_not_learned(spark):
 
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(5)
-    terms = {f"t{k}": k for k in range(60)}
-    index = toxicity.Index(terms, rng.uniform(1, 3, 60), np.arange(500), (rng.random(500) < 0.3).astype(float))
-    texts = [" ".join(f"t{k}" for k in rng.choice(60, rng.integers(1, 12))) + " other" * int(rng.integers(0, 30)) for _ in range(500)]
-    terms.clear()
-    terms.update({w: k for k, w in enumerate(sorted({"t" + chr(97 + k % 26) + chr(97 + k // 26) for k in range(60)}))})
-    names = sorted(terms)
+    names = ["term" + chr(97 + k % 26) + chr(97 + k // 26) for k in range(60)]
+    index = toxicity.Index({w: k for k, w in enumerate(names)}, rng.uniform(1, 3, 60), np.arange(500), (rng.random(500) < 0.3).astype(float))
     texts = [" ".join(names[k] for k in rng.choice(60, rng.integers(1, 12))) + " other" * int(rng.integers(0, 30)) for _ in range(500)]
     vectors = [index.vector(t) for t in texts]
     index.build(vectors)

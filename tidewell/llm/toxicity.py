@@ -31,7 +31,8 @@ MAX_TERMS = 2_000  # vocabulary
 NEAREST = 15
 BLOCK = 64
 THRESHOLD = 0.3
-PREFIXES = range(4, 9)
+SHORTEST = 4  # letters of the shortest beginning
+PREFIXES = range(SHORTEST, 9)
 REST_WEIGHT = 0.35
 MIN_Z = 6.0
 _WORD = re.compile(r"[^\W\d_]+")
@@ -57,13 +58,20 @@ class Index:
     levels: np.ndarray = field(default=None)  # calibration: votes ...
     chances: np.ndarray = field(default=None)  # ... to share of label 1
     known: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    starts: frozenset[str] = frozenset()  # first letters of all terms
+
+    def __post_init__(self) -> None:
+        self.starts = frozenset(t[:SHORTEST] for t in self.terms)
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Unit vector of a whole text: term numbers and weights; the last
         term stands for all words outside the vocabulary."""
         counts: Counter[int] = Counter()
-        other, known, terms = 0, self.known, self.terms
+        other, known, terms, starts = 0, self.known, self.terms, self.starts
         for word, n in Counter(_WORD.findall((text or "").lower())).items():
+            if word[:SHORTEST] not in starts:
+                other += n
+                continue
             found = known.get(word)
             if found is None:
                 found = tuple(terms[f] for f in features_of_word(word) if f in terms)
@@ -91,31 +99,43 @@ class Index:
         np.maximum.at(self.maxima, cell, weight)
         self.maxima = self.maxima.reshape(n_terms, n_blocks)
 
+    def _scores(self, at: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Examples of some blocks and their cosines: the postings of all terms
+        in all of these blocks are gathered at once."""
+        cells = at[:, None] * self.maxima.shape[1] + blocks[None, :]
+        lo = self.pointers[cells].ravel()
+        size = self.pointers[cells + 1].ravel() - lo
+        cell = np.repeat(np.arange(len(size)), size)
+        posting = np.arange(len(cell)) + (lo - np.cumsum(size) + size)[cell]
+        place = cell % len(blocks)
+        lane = self.rows[posting] - blocks[place] * BLOCK
+        score = np.bincount(place * BLOCK + lane, w[cell // len(blocks)] * self.weights[posting], len(blocks) * BLOCK)
+        rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        held = rows < len(self.ids)
+        return rows[held], score[held]
+
     def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int = NEAREST, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of greatest cosine, exact: blocks go by falling bound
-        (then by number) until none can hold a greater one."""
+        (then by number), ever more at once, until none can hold a greater
+        one. Equal cosines go to the smaller row."""
         at, w = vector
-        n_blocks = self.maxima.shape[1]
         bound = w @ self.maxima[at]
         order = np.argsort(-bound, kind="stable")
-        rows, sims, least, done = np.zeros(0, int), np.zeros(0), -1.0, 0
-        while done < n_blocks and bound[order[done]] > least + 1e-12:
-            for b in order[done : done + 4].tolist():
-                score = np.zeros(BLOCK)
-                for t, q in zip(at.tolist(), w.tolist(), strict=True):
-                    lo, hi = self.pointers[t * n_blocks + b], self.pointers[t * n_blocks + b + 1]
-                    if lo < hi:
-                        score[self.rows[lo:hi] - b * BLOCK] += q * self.weights[lo:hi]
-                size = min(BLOCK, len(self.ids) - b * BLOCK)
-                rows = np.concatenate([rows, np.arange(size) + b * BLOCK])
-                sims = np.concatenate([sims, score[:size]])
+        rows, sims, least, done, step = np.zeros(0, int), np.zeros(0), -1.0, 0, 4
+        while done < len(order) and bound[order[done]] > least - 1e-11:
+            blocks = order[done : done + step]
+            more, scores = self._scores(at, w, blocks[bound[blocks] > least - 1e-11])
+            rows, sims = np.concatenate([rows, more]), np.round(np.concatenate([sims, scores]), 12)
             if skip >= 0:
                 sims, rows = sims[rows != skip], rows[rows != skip]
-            best = np.lexsort((rows, -np.round(sims, 12)))[:k]
-            rows, sims = rows[best], sims[best]
-            least = sims[-1] if len(sims) == k else -1.0
-            done += 4
-        return rows, sims
+            if len(sims) > k:
+                near = np.flatnonzero(sims >= np.partition(sims, len(sims) - k)[len(sims) - k])
+                near = near[np.lexsort((rows[near], -sims[near]))[:k]]
+                rows, sims = rows[near], sims[near]
+            least = sims.min() if len(sims) == k else -1.0
+            done, step = done + step, step * 2
+        best = np.lexsort((rows, -sims))
+        return rows[best], sims[best]
 
     def votes(self, rows: np.ndarray, sims: np.ndarray) -> float:
         """Share of label 1 among the examples, weighted by 1 / distance."""

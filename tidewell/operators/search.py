@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,9 @@ from tidewell.functions.text import sha_id
 # BM25 as SQLite documents it, and the usual fusion constant.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 FUSION_K = 60
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+BREAKS = frozenset((*HEADINGS, *"p div ul ol li br tr table section article header footer nav main aside blockquote pre".split()))
+HIDDEN = frozenset(("script", "style", "noscript"))
 _HEADING = re.compile(r"(#{1,6})\s+(.*)")
 
 
@@ -87,6 +91,59 @@ def chunk_documents(docs: DataFrame, target: int = 400, most: int = 800, overlap
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, idx int, heading_path string, text string, char_len int")
 
 
+class _Markdown(HTMLParser):
+    """Headings, paragraphs, list items and links of a page as Markdown."""
+
+    def __init__(self, html: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.blocks: list[str] = [""]
+        self.name, self.hidden, self.in_title, self.hrefs = "", 0, False, []
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.hidden += tag in HIDDEN
+        self.in_title |= tag == "title"
+        if tag in BREAKS:
+            self.blocks.append("#" * int(tag[1]) + " " if tag in HEADINGS else "- " if tag == "li" else "")
+        elif tag == "a":
+            self.hrefs.append(dict(attrs).get("href"))
+            self.blocks[-1] += "[" * (self.hrefs[-1] is not None)
+
+    def handle_endtag(self, tag: str) -> None:
+        self.hidden -= tag in HIDDEN and self.hidden > 0
+        self.in_title &= tag != "title"
+        if tag in BREAKS:
+            self.blocks.append("")
+        elif tag == "a" and self.hrefs and (href := self.hrefs.pop()) is not None:
+            self.blocks[-1] += f"]({href})"
+
+    def handle_data(self, data: str) -> None:
+        if self.in_title:
+            self.name += data
+        elif not self.hidden:
+            self.blocks[-1] += data
+
+
+def markdown_of(html: str) -> tuple[str | None, str]:
+    """(title or None, Markdown) of a page; ends with one line feed."""
+    page = _Markdown(html)
+    blocks = [" ".join(b.split()) for b in page.blocks]
+    text = "\n\n".join(b for b in blocks if b.strip("#- "))
+    return " ".join(page.name.split()) or None, text.strip() + "\n"
+
+
+def pages_to_markdown(pages: DataFrame) -> DataFrame:
+    """``page_id, title, markdown`` of ``page_id, html``; null html is empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [markdown_of(h or "") for h in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.string())], names=["page_id", "title", "markdown"])
+
+    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, "page_id long, title string, markdown string")
+
+
 def with_chunk_ids(chunks: DataFrame) -> DataFrame:
     """Adds ``text_hash`` and ``chunk_id`` from document, index and text."""
     rows = chunks.withColumn("text_hash", F.sha2("text", 256))

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as T
+from tidewell.functions.stem import stemmed
 from tidewell.operators import monitor as M
 from tidewell.operators import retrieval as R
 from tidewell.operators import search as X
+from tidewell.operators import upkeep as U
 from tidewell.plans.tables import rounded, table
 
 TERMS = [("q1", "that"), ("q1", "hest"), ("q2", "licensed"), ("q3", "ergebnis"), ("q3", "der"), ("q4", "avec")]
 LIMITS = {"value": 90.0, "twice": 150.0}
+REASONS = ("missing_section:Summary", "missing_source_key:topic", "missing_source_key:video_id", "mismatch:title")
 
 
 def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,9 +161,47 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss")), 4)
 
 
+def search_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``search_bm25``, over stems: terms are stemmed after counting."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = X.postings(docs, "doc_id").withColumn("term", stemmed("term")).groupBy("term", "id", "dl").agg(F.sum("tf").alias("tf"))
+    total, average = docs.select(F.count(F.lit(1)), F.avg(F.size(X.words(F.col("text"))).cast("double"))).first()
+    asked = spark.createDataFrame(TERMS, "query string, term string").withColumn("term", stemmed("term"))
+    return rounded(X.ranked(rounded(X.bm25(index, asked, total, average), 9), 50)).select("query", "id", "rank", "score")
+
+
+def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as Markdown, cut into chunks under their headings."""
+    made = X.pages_to_markdown(table(spark, sf_dir, "pages"))
+    return X.chunk_documents(made.select(F.col("page_id").alias("doc_id"), F.col("markdown").alias("text"))).select("doc_id", "idx", "heading_path", "char_len")
+
+
+def backfill_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    reason = F.element_at(F.array(*map(F.lit, REASONS)), (d % 4 + 1).cast("int"))
+    published = F.when(d % 13 != 0, F.timestamp_seconds(F.lit(1704067200) + d % 60 * 86400))
+    made = U.backfill(reason, published, F.to_timestamp(F.lit("2024-02-20")))
+    return table(spark, sf_dir, "documents").select("doc_id", made.alias("b")).select("doc_id", "b.allowed", "b.why")
+
+
+def crawl_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breadth-first over links from parts to the numbers of their suppliers."""
+    _checkpoints(spark)
+    links = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    seeds = table(spark, sf_dir, "part").where("p_partkey <= 3").select(F.col("p_partkey").alias("url"))
+    return U.crawl(links, seeds, 3)
+
+
+def _checkpoints(spark: SparkSession) -> None:
+    """The shared folder of the session; one of this machine only where the
+    session names none, as in local runs."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    spark.sparkContext.setCheckpointDir(folder)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (chunk_pages, search_bm25, search_fused, index_upsert, index_changed, vector_search, vector_quality, vector_prefix_quality, vector_projection_quality, vector_pca_quality, page_urls, page_links, document_text, document_keywords, conversation_ends, monitor_alerts, monitor_breaches, monitor_delta, monitor_cpu, monitor_waits, monitor_pairs, event_windows)
+    for f in (chunk_pages, search_bm25, search_fused, index_upsert, index_changed, vector_search, vector_quality, vector_prefix_quality, vector_projection_quality, vector_pca_quality, page_urls, page_links, document_text, document_keywords, conversation_ends, monitor_alerts, monitor_breaches, monitor_delta, monitor_cpu, monitor_waits, monitor_pairs, event_windows, search_stemmed, page_markdown, backfill_policy, crawl_depths)
 }
 
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE)))"
@@ -213,5 +256,9 @@ SELECT seq, CAST(CASE WHEN b THEN (place - 1) % 3 + 1 ELSE 0 END AS BIGINT) AS c
     "monitor_cpu": """WITH s AS (SELECT user_id AS host, ts, event_id AS seq, event_id * 10 AS total, event_id * 7 + CAST(floor(value) AS BIGINT) AS idle FROM events)
 SELECT seq, CASE WHEN lag(total) OVER w IS NOT NULL THEN round((1 - greatest(idle - lag(idle) OVER w, 0) / greatest(total - lag(total) OVER w, 1)) * 100, 2) END AS cpu_pct FROM s WINDOW w AS (PARTITION BY host ORDER BY ts, seq)""",
     "monitor_waits": "SELECT event_type, count(value) AS n, round(sum(value), 6) AS total, round(avg(value), 6) AS mean, round(min(value), 6) AS least, round(max(value), 6) AS most, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type",
+    "backfill_policy": """WITH d AS (SELECT doc_id, doc_id % 4 < 2 AS soft, CASE WHEN doc_id % 13 <> 0 THEN TIMESTAMP '2024-01-01' + (doc_id % 60) * INTERVAL 1 DAY END AS p FROM documents)
+SELECT doc_id, NOT soft OR p IS NULL OR p >= TIMESTAMP '2024-02-06' AS allowed, CASE WHEN NOT soft THEN 'hard_invalid' WHEN p IS NULL THEN 'soft_unknown_reference_time' WHEN p >= TIMESTAMP '2024-02-06' THEN 'soft_within_window' ELSE 'soft_outside_window:14d' END AS why FROM d""",
+    "crawl_depths": """WITH RECURSIVE l AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_linenumber = 1), w AS (SELECT p_partkey AS url, 0 AS depth FROM part WHERE p_partkey <= 3 UNION SELECT dst, depth + 1 FROM w JOIN l ON src = url WHERE depth < 3)
+SELECT url, min(depth) AS depth FROM w GROUP BY url""",
     "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type AS key, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
 }

@@ -70,21 +70,17 @@ def dedup_chunks(docs: DataFrame, divisor: int = DIVISOR, long_words: int = LONG
     keys = stored(eligible.select("tw_id", "tw_hash", "pos", F.xxhash64("chunk").alias("h")), "chunk-keys")
     place = F.struct("tw_id", "pos", "tw_hash")
     firsts = keys.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first")
-    again = keys.join(firsts, "h").select("tw_id", "tw_hash", "pos", "h", (~place.eqNullSafe(F.col("first"))).alias("again"))
-    again = stored(again, "chunk-again")
-    wanted = again.groupBy("tw_id", "tw_hash").agg(F.collect_set("pos").alias("wanted")).select(F.col("tw_id").alias("w_id"), F.col("tw_hash").alias("w_hash"), "wanted")
+    marks = keys.join(firsts, "h").select("tw_id", "tw_hash", F.struct("pos", (~place.eqNullSafe(F.col("first"))).alias("again")).alias("mark"))
+    wanted = marks.groupBy("tw_id", "tw_hash").agg(F.map_from_entries(F.collect_set("mark")).alias("wanted")).select(F.col("tw_id").alias("w_id"), F.col("tw_hash").alias("w_hash"), "wanted")
     wanted = small(stored(wanted, "chunk-wanted"), BROADCAST_ROWS)
     texts = (
         base.join(wanted, base.tw_id.eqNullSafe(wanted.w_id) & (base.tw_hash == wanted.w_hash))
-        .dropDuplicates(["tw_id", "tw_hash"])
         .select("tw_id", "tw_hash", "wanted", F.posexplode(marked_chunks(F.col("tw_text"), divisor, long_words)).alias("pos", "chunk"))
-        .where(F.array_contains("wanted", F.col("pos")))
-        .select("tw_id", "tw_hash", "pos", F.xxhash64("chunk").alias("h"), "chunk")
+        .where(F.map_contains_key("wanted", F.col("pos")))
+        .select("tw_id", "tw_hash", "pos", F.xxhash64("chunk").alias("h"), "chunk", F.col("wanted")[F.col("pos")].alias("again"))
     )
-    flags = again.select(F.col("tw_id").alias("a_id"), F.col("tw_hash").alias("a_hash"), F.col("pos").alias("a_pos"), "again").distinct()
-    on = texts.tw_id.eqNullSafe(flags.a_id) & (texts.tw_hash == flags.a_hash) & (texts.pos == flags.a_pos)
-    texts = stored(texts.join(flags, on).select("tw_id", "tw_hash", "pos", "h", "chunk", "again"), "chunk-texts")
-    kept = texts.where("NOT again").select(F.col("h").alias("k"), F.col("chunk").alias("kept"))
+    texts = stored(texts, "chunk-texts")
+    kept = texts.where("NOT again").select(F.col("h").alias("k"), F.col("chunk").alias("kept")).distinct()
     same = texts.where("again").join(kept, (F.col("h") == F.col("k")) & (F.col("chunk") == F.col("kept")))
     removed = same.groupBy("tw_id", "tw_hash").agg(F.collect_set("pos").alias("tw_removed")).withColumnsRenamed({"tw_id": "r_id", "tw_hash": "r_hash"})
     removed = small(stored(removed, "chunk-removed"), BROADCAST_ROWS)

@@ -80,7 +80,7 @@ def dedup_chunks(docs: DataFrame, divisor: int = DIVISOR, long_words: int = LONG
         .select("tw_id", "tw_hash", "pos", F.xxhash64("chunk").alias("h"), "chunk", F.col("wanted")[F.col("pos")].alias("again"))
     )
     texts = stored(texts, "chunk-texts")
-    kept = texts.where("NOT again").select(F.col("h").alias("k"), F.col("chunk").alias("kept")).distinct()
+    kept = stored(texts.where("NOT again").select(F.col("h").alias("k"), F.col("chunk").alias("kept")).distinct(), "chunk-kept")
     same = texts.where("again").join(kept, (F.col("h") == F.col("k")) & (F.col("chunk") == F.col("kept")))
     removed = same.groupBy("tw_id", "tw_hash").agg(F.collect_set("pos").alias("tw_removed")).withColumnsRenamed({"tw_id": "r_id", "tw_hash": "r_hash"})
     removed = small(stored(removed, "chunk-removed"), BROADCAST_ROWS)

@@ -59,6 +59,14 @@ def test_calibration_never_falls(spark):
     assert all(len(r["tw_evidence"]) == toxicity.NEAREST for r in rows)
 
 
+def test_texts_without_telling_words_share_the_label_rate(spark):
+    """Equal votes are one level, so that few labels don't reject every text."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    index = toxicity.fit(docs, labels)
+    assert len(np.unique(index.levels)) == len(index.levels)
+    assert toxicity.drop_toxic(docs, labels).count() >= 0.8 * docs.count()
+
+
 def test_odd_rows_and_clashing_names(spark):
     docs = clashing(odd_documents(spark))
     labels = spark.createDataFrame([(4, 1, 1), (4, 1, 0), (2, 0, None), (None, 1, 1), (99, 1, 1)], LABELS)

@@ -149,12 +149,14 @@ class Index:
         each without itself."""
         plain = self.votes(*self.nearest(self.vector(None)))  # of all texts without a telling word
         votes = np.array([self.votes(*self.nearest(v, skip=i)) if len(v[0]) > 1 else plain for i, v in enumerate(vectors)])
+        levels, at = np.unique(np.round(votes, 12), return_inverse=True)  # equal votes are one level
+        ones, counts = np.bincount(at, self.labels, len(levels)), np.bincount(at, minlength=len(levels))
         blocks: list[list[float]] = []  # pool adjacent violators: level, label sum, count
-        for i in np.argsort(votes, kind="stable"):
-            blocks.append([votes[i], float(self.labels[i]), 1.0])
+        for level, s, n in zip(levels.tolist(), ones.tolist(), counts.tolist(), strict=True):
+            blocks.append([level, s, n])
             while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
                 _, s, n = blocks.pop()
-                blocks[-1][0], blocks[-1][1], blocks[-1][2] = votes[i], blocks[-1][1] + s, blocks[-1][2] + n
+                blocks[-1] = [level, blocks[-1][1] + s, blocks[-1][2] + n]
         prior = (self.labels.sum() + 1) / (len(self.labels) + 2)
         self.levels = np.array([b[0] for b in blocks] or [0.0])
         self.chances = np.array([(b[1] + prior) / (b[2] + 1) for b in blocks] or [0.0])

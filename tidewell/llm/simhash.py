@@ -394,8 +394,22 @@ def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, s
     return pairs.join(right, "b").join(left, "a").where(same >= similarity * (F.size("sa") + F.size("sb") - same)).select("a", "b")
 
 
-def similar_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float, radius: int, hot: int = HOT_TEXTS) -> DataFrame:
-    """``a, b``: links of similar texts, enough to connect all of them.
+def joined_roots(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``node, root`` of all linked nodes once further ``links`` count: only
+    the classes that these touch are joined."""
+    if roots is None:
+        return cut(connected(links))
+    if links.isEmpty():
+        return roots
+    at = {side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")) for side in ("a", "b")}
+    between = links.join(at["a"], "a", "left").join(at["b"], "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    merged = cut(connected(between))
+    moved = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("new_root")), "root", "left").select("node", F.coalesce("new_root", "root").alias("root"))
+    return cut(moved.unionByName(merged.join(roots.select("node"), "node", "left_anti")))
+
+
+def similar_roots(nodes: DataFrame, texts: DataFrame, words: int, similarity: float, radius: int, hot: int = HOT_TEXTS) -> DataFrame:
+    """``node, root`` of the texts that are joined to others by similarity.
 
     In the first round each text is checked with the first earlier one of each
     of its groups within ``radius`` bits. Texts that had a partner ask again,
@@ -404,7 +418,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: fl
     """
     groups = stored(band_groups(nodes, hot), "band-groups")
     rows = groups.select("*", F.col("node").alias("part"), F.lit(True).alias("asks"), F.lit(-(2**63)).alias("after"))
-    links = tested = None
+    roots = tested = None
     most = 1
     while True:
         found = (
@@ -417,11 +431,10 @@ def similar_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: fl
         asked = stored(asked.where(F.col("n") >= most).drop("n"), "asked")
         pairs = found.select("a", "b").distinct()
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = stored(verified(pairs, texts, nodes, words, similarity), "links")
-        tested, links = (pairs, more) if tested is None else (tested.unionByName(pairs), links.unionByName(more))
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        roots = joined_roots(roots, stored(verified(pairs, texts, nodes, words, similarity), "links"))
         if asked.isEmpty():
-            return links
-        roots = cut(connected(links))
+            return roots
         most *= 4
         again = groups.join(asked, ["band", "cell", "node"]).select("band", "key", "cell").distinct()
         rows = groups.join(again, ["band", "key", "cell"], "left_semi").join(asked, ["band", "cell", "node"], "left").join(roots, "node", "left")
@@ -449,7 +462,7 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, band
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
     rows = stored(texts.mapInArrow(sign, "doc_id long, text_hash long, fp long, keys array<long>"), "signatures")
     nodes = stored(rows.groupBy("text_hash").agg(F.min("doc_id").alias("least_id"), F.min("fp").alias("fp"), F.max("keys").alias("keys")), "texts")
-    roots = cut(connected(similar_links(nodes, texts, words, similarity, radius, hot)))
+    roots = similar_roots(nodes, texts, words, similarity, radius, hot)
     member = nodes.join(roots, nodes.text_hash == roots.node, "left").select("text_hash", "least_id", F.coalesce("root", "text_hash").alias("root"))
     least = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
     classes = member.join(least, "root").select("text_hash", "component_id")

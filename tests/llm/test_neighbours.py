@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.compare import SMALL
 from tests.llm.helpers import empty
@@ -66,3 +67,24 @@ def test_empty_table(spark):
     import pyspark.sql.functions as F
 
     assert neighbours.nearest(empty(spark, SCHEMA), lambda c: F.col(c) % 50 == 0).count() == 0
+
+
+def cluster(n=10_000, hot=2_500, noise=1e-5):
+    """Vectors with a shared mean direction, the first ``hot`` near copies."""
+    rng = np.random.default_rng(3)
+    mean = 2 * rng.standard_normal(32)
+    x = rng.standard_normal((n, 32)) + mean
+    x[:hot] = rng.standard_normal(32) + noise * rng.standard_normal((hot, 32))
+    return x.astype(np.float32), mean
+
+
+def table_of(spark, x):
+    return spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(4)
+
+
+def test_recall_among_near_copies(spark):
+    x, _ = cluster()
+    found = answers(neighbours.nearest(table_of(spark, x), lambda c: F.col(c) % 100 == 0))
+    rows = list(enumerate(x.tolist()))
+    for ids in (range(0, 2_500, 100), range(2_500, 10_000, 100)):
+        assert recall({q: found[q] for q in ids}, brute(rows, ids)) >= 0.9

@@ -5,8 +5,8 @@ hyperplane trees, compared within each leaf, and improves by rounds of Spark
 joins: each node's neighbours meet at the node (local join), and pairs that
 are nearer than what they know are passed on. Queries then walk the graph from
 their own node, a beam of nodes a round, and the best found are ranked again
-by exact cosine in double precision. Vectors travel in eight bits a component;
-only the last ranking needs more.
+by exact cosine in double precision. Vectors travel in single precision, which
+holds components of float tables exactly, and are compared in double precision.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ BEAM = 64
 POOL = 320
 SEARCH_ROUNDS = 6
 RERANK = 48
+ROUNDING = 1e-6  # of a cosine, by single precision of tables of doubles
 LISTS = "node long, ids binary, sims binary"
 
 
@@ -57,20 +58,20 @@ def _packed(values: list[np.ndarray] | np.ndarray) -> pa.Array:
 
 
 def _small_vectors(nodes: DataFrame) -> DataFrame:
-    """``node, q``: components in eight bits, scaled by their largest."""
+    """``node, q``: components in single precision, scaled by a power of two."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             v = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(n, -1) if n else np.zeros((0, 1))
-            q = np.rint(v / np.abs(v).max(axis=1, keepdims=True, initial=0) * 127).astype(np.int8) if n else v
+            q = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True, initial=0))[1]).astype("<f4")
             yield pa.RecordBatch.from_arrays([batch.column(0), _packed(q)], names=["node", "q"])
 
     return nodes.select("node", "v").mapInArrow(pack, "node long, q binary")
 
 
 def _unit(packed: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(packed), np.int8).reshape(len(packed), -1).astype(np.float32)
+    x = np.frombuffer(b"".join(packed), "<f4").reshape(len(packed), -1).astype(float)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -124,13 +125,13 @@ def _lists(owner: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> pa.RecordBat
     """Rows of ``LISTS`` from entries sorted by owner."""
     nodes, starts = np.unique(owner, return_index=True)
     cuts = starts[1:]
-    return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _packed(np.split(ids.astype("<i8"), cuts) if len(nodes) else []), _packed(np.split(sims.astype("<f4"), cuts) if len(nodes) else [])], names=["node", "ids", "sims"])
+    return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _packed(np.split(ids.astype("<i8"), cuts) if len(nodes) else []), _packed(np.split(sims.astype("<f8"), cuts) if len(nodes) else [])], names=["node", "ids", "sims"])
 
 
 def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids = [np.frombuffer(x, "<i8") for x in table.column("ids").to_pylist()]
     owner = np.repeat(table.column("node").to_numpy(), [len(x) for x in ids])
-    return owner, np.concatenate(ids), np.concatenate([np.frombuffer(x, "<f4") for x in table.column("sims").to_pylist()])
+    return owner, np.concatenate(ids), np.concatenate([np.frombuffer(x, "<f8") for x in table.column("sims").to_pylist()])
 
 
 def merge_lists(lists: DataFrame, most: int) -> DataFrame:
@@ -170,12 +171,12 @@ def first_lists(small: DataFrame, count: int, degree: int, trees: int, leaf: int
                 sims = x @ x.T
                 np.fill_diagonal(sims, -2)
                 at = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _packed(ids[at].astype("<i8")), _packed(np.take_along_axis(sims, at, 1).astype("<f4"))], names=["node", "ids", "sims"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _packed(ids[at].astype("<i8")), _packed(np.take_along_axis(sims, at, 1).astype("<f8"))], names=["node", "ids", "sims"])
 
     dealt = small.mapInArrow(deal, "tree long, key long, node long, q binary")
     sizes = dealt.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / (2 * leaf)))
-    split = dealt.join(sizes, ["tree", "key"]).select("tree", "key", F.pmod(F.xxhash64("node"), parts).cast("long").alias("part"), "node", "q")
+    split = dealt.join(sizes, ["tree", "key"]).select("tree", "key", F.pmod(F.xxhash64("node", "tree"), parts).cast("long").alias("part"), "node", "q")
     met = split.repartition("tree", "key", "part").sortWithinPartitions("tree", "key", "part").mapInArrow(compare, LISTS)
     return merge_lists(met, degree)
 
@@ -190,7 +191,7 @@ def _edges(lists: DataFrame) -> DataFrame:
                 owner, ids, sims = _entries(pa.Table.from_batches([batch]))
                 yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(ids), pa.array(sims)], names=["node", "nbr", "sim"])
 
-    return lists.mapInArrow(spread, "node long, nbr long, sim float")
+    return lists.mapInArrow(spread, "node long, nbr long, sim double")
 
 
 def descend(lists: DataFrame, small: DataFrame, degree: int, partners: int) -> DataFrame:
@@ -219,7 +220,7 @@ def descend(lists: DataFrame, small: DataFrame, degree: int, partners: int) -> D
 
     edges = stored(_edges(lists), "edges")
     known = small.join(edges.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("m")), "node", "left")
-    known = known.select(F.col("node").alias("nbr"), "q", F.when(F.col("n") >= degree, F.col("m")).otherwise(F.lit(-1.0).cast("float")).alias("least"))
+    known = known.select(F.col("node").alias("nbr"), "q", F.when(F.col("n") >= degree, F.col("m")).otherwise(F.lit(-2.0)).alias("least"))
     gathered = edges.select("node", "nbr").join(known, "nbr").select("node", "nbr", "least", "q")
     found = gathered.repartition("node").sortWithinPartitions("node").mapInArrow(meet, LISTS)
     turned = edges.groupBy("nbr", "node").agg(F.max("sim").alias("sim"))
@@ -270,7 +271,7 @@ def search_graph(lists: DataFrame, small: DataFrame, starts: DataFrame, beam: in
             sims = []
             for q, nbrs, qs in zip(batch.column("q").to_pylist(), batch.column("nbrs").to_pylist(), batch.column("qs").to_pylist(), strict=True):
                 n = len(nbrs) // 8
-                sims.append((_unit([qs[k * len(q) : (k + 1) * len(q)] for k in range(n)]) @ _unit([q])[0]).astype("<f4"))
+                sims.append((_unit([qs[k * len(q) : (k + 1) * len(q)] for k in range(n)]) @ _unit([q])[0]).astype("<f8"))
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("nbrs"), _packed(sims), pa.array([b""] * len(sims), pa.binary())], names=["node", "ids", "sims", "done"])
 
     def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +288,7 @@ def search_graph(lists: DataFrame, small: DataFrame, starts: DataFrame, beam: in
             for node, a, b in zip(nodes.tolist(), at, [*at[1:], len(owner)], strict=True):
                 before = expanded.get(node, np.zeros(0, "<i8"))
                 fresh = ids[a:b][~np.isin(ids[a:b], before)][:beam]
-                rows.append((node, ids[a:b].astype("<i8").tobytes(), sims[a:b].astype("<f4").tobytes(), np.concatenate([before, fresh]).astype("<i8").tobytes(), fresh.tolist()))
+                rows.append((node, ids[a:b].astype("<i8").tobytes(), sims[a:b].astype("<f8").tobytes(), np.concatenate([before, fresh]).astype("<i8").tobytes(), fresh.tolist()))
             cols = [*zip(*rows, strict=True)]
             kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["node", "ids", "sims", "done", "next"])
@@ -331,7 +332,10 @@ def nearest(table: DataFrame, is_query: Callable[[str], object], k: int = 5, id_
     with arrow_batches(table.sparkSession):
         lists = build_graph(small)
         found = stored(search_graph(lists, small, queries.select("node").distinct(), **search), "found")
-    best = _edges(found).withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sim"), "nbr"))).where(F.col("r") <= RERANK)
+    of_node = Window.partitionBy("node")
+    best = _edges(found).withColumn("r", F.row_number().over(of_node.orderBy(F.desc("sim"), "nbr")))
+    limit = F.max(F.when(F.col("r") == k + 1, F.col("sim"))).over(of_node) - ROUNDING
+    best = best.withColumn("limit", limit).where((F.col("r") <= RERANK) | (F.col("sim") >= F.col("limit")))
     pairs = queries.join(best.select("node", "nbr"), "node").join(nodes.select(F.col("node").alias("nbr"), "members", "v"), "nbr")
 
     def dot(a: str, b: str) -> object:

@@ -88,3 +88,19 @@ def test_recall_among_near_copies(spark):
     rows = list(enumerate(x.tolist()))
     for ids in (range(0, 2_500, 100), range(2_500, 10_000, 100)):
         assert recall({q: found[q] for q in ids}, brute(rows, ids)) >= 0.9
+
+
+def test_outlier_of_a_large_table_has_neighbours(spark):
+    x, mean = cluster(40_000, 0)
+    x[-1] = -mean
+    small = neighbours._small_vectors(table_of(spark, x).selectExpr("vec_id AS node", "CAST(embedding AS array<double>) AS v"))
+    lists = neighbours.first_lists(small, len(x), neighbours.DEGREE, neighbours.TREES, neighbours.LEAF)
+    assert lists.where("node = 39999 AND length(ids) >= 8 * 48").count() == 1
+    assert lists.where("length(ids) >= 8 * 5").count() == len(x)
+
+
+def test_queries_without_enough_results_are_compared_with_all(spark, monkeypatch):
+    x, mean = cluster(300, 0)
+    monkeypatch.setattr(neighbours, "search_graph", lambda lists, small, starts, **search: neighbours._start(starts))
+    found = answers(neighbours.nearest(table_of(spark, x), lambda c: F.col(c) % 100 == 0))
+    assert {q: [v for v, _ in f] for q, f in found.items()} == {q: [v for v, _ in w] for q, w in brute(list(enumerate(x.tolist())), (0, 100, 200)).items()}

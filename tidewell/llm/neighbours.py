@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm._shared import arrow_batches, read_table, stored
+from tidewell.llm._shared import small as small_table
 
 DEGREE = 48
 TREES = 6
@@ -29,6 +30,8 @@ BEAM = 64
 POOL = 320
 SEARCH_ROUNDS = 6
 RERANK = 48
+ENTRIES = 256
+SHORT = 10_000
 ROUNDING = 1e-6  # of a cosine, by single precision of tables of doubles
 LISTS = "node long, ids binary, sims binary"
 
@@ -144,19 +147,35 @@ def merge_lists(lists: DataFrame, most: int) -> DataFrame:
     return lists.repartition("node").sortWithinPartitions("node").mapInArrow(merge, LISTS)
 
 
+def _centre(small: DataFrame) -> np.ndarray:
+    """The mean of all unit vectors; only its components reach the driver."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([_unit(batch.column(1).to_pylist()).sum(axis=0)], pa.list_(pa.float64()))], names=["total"])
+
+    sums = small.mapInArrow(add, "total array<double>").select(F.posexplode("total").alias("at", "total")).groupBy("at").agg(F.sum("total").alias("total"))
+    mean = np.array([r["total"] for r in sums.orderBy("at").collect()])
+    return mean / max(1, small.count())
+
+
 def first_lists(small: DataFrame, count: int, degree: int, trees: int, leaf: int, seed: int = 5) -> DataFrame:
-    """Lists from random hyperplane trees: nodes with the same signs meet;
-    a leaf with many more than ``leaf`` nodes is dealt at random."""
+    """Lists from random hyperplane trees around the mean: nodes with the same
+    signs meet; a leaf with many more than ``leaf`` nodes is dealt at random,
+    in each tree anew. Nodes of leaves too small to fill a list also meet each
+    other and ``ENTRIES`` random nodes."""
     bits = max(0, int(np.ceil(np.log2(max(1, count) / leaf))))
+    centre = _centre(small) if bits else 0.0
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _unit(batch.column(1).to_pylist())
+            x = _unit(batch.column(1).to_pylist()) - centre
             rng = np.random.default_rng(seed)
             for tree in range(trees if bits else 1):
-                signs = x @ rng.standard_normal((x.shape[1], bits)).astype(np.float32) > 0
+                signs = x @ rng.standard_normal((x.shape[1], bits)) > 0
                 key = (signs * (1 << np.arange(bits, dtype=np.int64))).sum(axis=1, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tree), pa.int64()), pa.array(key, pa.int64()), batch.column(0), batch.column(1)], names=["tree", "key", "node", "q"])
 
@@ -177,6 +196,16 @@ def first_lists(small: DataFrame, count: int, degree: int, trees: int, leaf: int
     sizes = dealt.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / (2 * leaf)))
     split = dealt.join(sizes, ["tree", "key"]).select("tree", "key", F.pmod(F.xxhash64("node", "tree"), parts).cast("long").alias("part"), "node", "q")
+    if bits:
+        least = sizes.where(F.col("n") <= degree).select("tree", "key")
+        lone = dealt.join(least, ["tree", "key"], "left_semi").select("node", "q").dropDuplicates(["node"])
+        lone = stored(lone, "lone")
+        groups = max(1, -(-lone.count() // leaf))
+        entries = small.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(ENTRIES)
+        part = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))
+        meet = lone.select(F.pmod(F.xxhash64("node"), F.lit(groups)).cast("long").alias("part"), "node", "q").unionByName(entries.select(part.alias("part"), "node", "q"))
+        meet = meet.dropDuplicates(["part", "node"])
+        split = split.unionByName(meet.select(F.lit(trees).cast("long").alias("tree"), F.lit(0).cast("long").alias("key"), "part", "node", "q"))
     met = split.repartition("tree", "key", "part").sortWithinPartitions("tree", "key", "part").mapInArrow(compare, LISTS)
     return merge_lists(met, degree)
 
@@ -322,7 +351,8 @@ def nearest(table: DataFrame, is_query: Callable[[str], object], k: int = 5, id_
     ``is_query`` makes the condition on the id column that marks queries.
     Vectors without direction take no part (``valid_vectors``). A query's own
     row is no candidate; rows with an equal vector are. Ties go to the
-    smaller id; an empty table gives an empty result.
+    smaller id; an empty table gives an empty result. Queries with fewer than k
+    results are compared with all vectors.
     """
     vectors = stored(valid_vectors(table, id_col, vec_col), "vectors")
     nodes = stored(nodes_of(vectors, k + 1), "nodes")
@@ -342,9 +372,19 @@ def nearest(table: DataFrame, is_query: Callable[[str], object], k: int = 5, id_
         return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
     score = dot("qv", "v") / (F.sqrt(dot("qv", "qv")) * F.sqrt(dot("v", "v")))
-    each = pairs.select("query_id", score.alias("score"), F.explode("members").alias("vec_id")).where("vec_id <> query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def first(pairs: DataFrame) -> DataFrame:
+        each = pairs.select("query_id", score.alias("score"), F.explode("members").alias("vec_id")).where("vec_id <> query_id")
+        return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    answers = stored(first(pairs), "answers")
+    full = answers.where(F.col("rank") == k).select("query_id")
+    short = stored(queries.join(full, "query_id", "left_anti"), "short")
+    if short.isEmpty():
+        return answers
+    exact = first(small_table(short, SHORT).crossJoin(nodes.select("members", "v")))
+    return answers.join(full, "query_id", "left_semi").unionByName(exact)
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

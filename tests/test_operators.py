@@ -7,12 +7,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.compare import SMALL
 from tidewell.operators import corpus as C
 from tidewell.operators import monitor as M
 from tidewell.operators import retrieval as R
 from tidewell.operators import search as X
 from tidewell.operators import series as S
 from tidewell.plans import cycles
+from tidewell.plans import cycles
 
 
 def rows(df, *order):
@@ -162,3 +164,19 @@ def test_mention_fixtures(spark):
 def test_candidates_over_the_tables(spark):
     found = cycles.cycle_stability(spark, "/root/testdata/sf0.001").collect()
     assert found and all(0 <= r["presence_ratio"] <= 1 and 0 <= r["phase_locking_r"] <= 1 + 1e-9 for r in found)
+
+
+def test_windows_follow_each_series_length(spark):
+    rows = [(s, i, n, float(i)) for s, n in (("a", 342), ("b", 130), ("c", 20)) for i in range(n)]
+    signal = spark.createDataFrame(rows, "series string, i long, n long, value double")
+    found = S.windowed_by_length(signal, [104, 156], 52).groupBy("series", "window", "n").agg(F.min("value").alias("s"), F.count("i").alias("rows")).collect()
+    assert all(r["rows"] == r["n"] for r in found)
+    for s, n in (("a", 342), ("b", 130), ("c", 20)):
+        assert [(int(r["s"]), r["n"]) for r in sorted(found, key=lambda r: r["window"]) if r["series"] == s] == S.window_plan(n, [104, 156], 52)
+
+
+def test_stability_sees_the_end_of_the_series(spark):
+    n = cycles.S.build_signal(cycles.weekly(spark, SMALL)).agg(F.max("n")).first()[0]
+    assert n > 300
+    found = {r["windows"] for r in cycles.cycle_stability(spark, SMALL).select("windows").collect()}
+    assert found == {len(S.window_plan(n, [104, 156], 52))}

@@ -85,7 +85,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     band = S.in_band(bins, 35.0, HIGH, 7.0)
     peaks = S.local_peaks(band.drop("norm_power")).select("series", "k", "period_days")
     metrics = S.band_metrics(peaks.select("series", "k"), bins)
-    fits = S.harmonic_fit(S.windowed(signal, S.window_plan(300, [104, 156], 52)), peaks.select("series", "period_days"), 7.0)
+    fits = S.harmonic_fit(S.windowed_by_length(signal, [104, 156], 52), peaks.select("series", "period_days"), 7.0)
     return peaks.join(metrics, ["series", "k"]).join(S.stability(fits), ["series", "period_days"])
 
 

@@ -70,7 +70,6 @@ def test_links_of_planted_fingerprints_in_hot_groups(spark):
         links = simhash.near_links(spark.createDataFrame(signed, "fp long"), hot)
         roots = {r["node"] & (2**64 - 1): r["root"] & (2**64 - 1) for r in simhash.connected(links).collect()}
         label = components(values)
-        assert {roots.get(x, x) for x in values} is not None
         groups = {}
         for x, k in zip(values, label, strict=True):
             groups.setdefault(k, set()).add(roots.get(x, x))
@@ -137,8 +136,8 @@ def test_similar_texts_equal_brute_force(spark):
                 a, b = root(i), root(j)
                 label[max(a, b)] = min(a, b)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for hot in (40, 1 << 17):
-        found = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(docs, hot=hot).collect()}
+    for hot, most in ((40, 1 << 20), (1 << 17, 2000), (1 << 17, 1 << 20)):
+        found = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(docs, hot=hot, most=most).collect()}
         assert found == {i: root(i) for i in range(len(texts))}
 
 
@@ -160,3 +159,46 @@ def test_pairs_at_the_limit_share_a_key():
             a, b = simhash.band_keys(h[: 9 * own], 16), simhash.band_keys(np.delete(h, slice(8 * own, 9 * own)), 16)
             missed += not (a == b).any()
         assert missed <= 10  # 2.2 are expected of independent hashes
+
+
+def test_alike_rows_equal_plain_comparison():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 40, 300):
+        base = rng.integers(0, 2**62, 60)
+        sets = [np.unique(np.where(rng.random(60) < rng.choice([0.02, 0.1, 0.5]), rng.integers(0, 2**62, 60), base)) for _ in range(n)]
+        label = simhash.alike_rows(np.concatenate(sets), np.array([len(x) for x in sets]), 0.8)
+        wanted = np.arange(n)
+        pairs = [(i, j) for j in range(n) for i in range(j) if len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8]
+        wanted = simhash._unite(wanted, *(np.array(x, int) for x in zip(*pairs, strict=True))) if pairs else wanted
+        assert (label == wanted).all()
+
+
+def test_links_grow_with_the_texts_not_with_their_pairs(spark):
+    """A chain of near copies of one text, most of them unlike each other."""
+    rows = {}
+    for n in (500, 4000):
+        parts, texts = words(60), []
+        for k in range(n):
+            parts = list(parts)
+            parts[RNG.randrange(60)] = f"y{k}"
+            texts.append((" ".join(parts),))
+        docs = spark.createDataFrame(texts, "text string").selectExpr("monotonically_increasing_id() AS doc_id", "text")
+        signed = [(simhash._signature(t, 5, 16), t) for (t,) in texts]
+        nodes = spark.createDataFrame([(s[0], (None, 0), s[1], s[2], s[3]) for s, _ in signed], "node long, one struct<doc_id: long, text_hash: long>, fp long, size long, keys array<long>")
+        rows[n] = simhash.candidate_clusters(nodes, 24).count()
+        assert rows[n] <= 16 * n * 2
+        found = [r["component_id"] for r in simhash.similar_texts(docs).collect()]
+        assert len(found) == n and len(set(found)) < n / 4
+    assert rows[4000] <= 16 * rows[500]
+
+
+def test_near_duplicates_with_clashing_names(spark):
+    plain, odd = (sorted(map(str, simhash.near_duplicates(d).collect())) for d in (odd_documents(spark), clashing(odd_documents(spark))))
+    assert plain == odd
+
+
+def test_repeated_rows_leave_one_in_a_stated_order(spark):
+    docs = spark.createDataFrame([(1, "a b c", "y"), (1, "a b c", "x"), (1, "other text", "z"), (2, "a b c", "w")], "doc_id long, text string, lang string")
+    kept = simhash.keep_representatives(docs).collect()
+    assert [tuple(r) for r in kept] in ([(1, "a b c", "x")], [(1, "other text", "z")])
+    assert kept == simhash.keep_representatives(docs.repartition(3)).collect()

@@ -22,11 +22,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm._shared import cut, read_table, small, stored
+from tidewell.llm._shared import cut, read_table, stored
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 HOT = 4096
-HOT_TEXTS = 1 << 17
+HOT_TEXTS = 8192  # sets compared in one task by fingerprint
+CELL_SHINGLES = 1 << 20  # in each of the two parts that a task compares exactly
 PAIRS = list(combinations(range(4), 2))
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 BAND = 4
@@ -302,203 +303,214 @@ def band_keys(h: np.ndarray, bands: int) -> np.ndarray:
     return (least_hashes(h, BAND * bands).reshape(bands, BAND) * _seeds(BAND)[1].T).sum(axis=1, dtype=np.uint64)
 
 
-def _signature(text: str | None, words: int, bands: int) -> tuple[int, list[int]]:
-    """SimHash and band keys of a text's different shingles."""
+def _signature(text: str | None, words: int, bands: int) -> tuple[int, int, int, list[int]]:
+    """Hash, SimHash, size and band keys of a text's set of shingles; no keys
+    without words: all such texts have the one empty set."""
     h = shingle_hashes(text, words)
-    if not len(h):
-        return 0, [0]  # one group of all texts without words
+    node = xxhash.xxh64_intdigest(h.astype("<u8").tobytes(), 42)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 4096):
         ones += np.unpackbits(h[at : at + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0]), band_keys(h, bands).astype(np.int64).tolist()
+    fp = int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0])
+    keys = band_keys(h, bands).astype(np.int64).tolist() if len(h) else []
+    return node - (1 << 64 if node >> 63 else 0), fp, len(h), keys
 
 
-def scan_groups(new: np.ndarray, node: np.ndarray, fp: np.ndarray, part: np.ndarray, asks: np.ndarray, after: np.ndarray, most: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows (earlier, later) of sorted groups that lie within
-    ``radius`` bits, in order of the earlier one.
-
-    ``new`` marks the first rows of groups. Only rows that ask are compared,
-    with rows of other ``part`` whose node lies above ``after``; each gets its
-    first ``most`` partners. All rows that ask go side by side, one block of
-    64 earlier rows of their groups a step.
-    """
-    n = len(fp)
-    starts = np.flatnonzero(new)
-    sizes = np.diff(np.append(starts, n))
-    rows = np.flatnonzero(np.repeat(sizes, sizes) > 1)
-    within = rows - np.repeat(starts, sizes)[rows]
-    head = np.flatnonzero(within % 64 == 0)
-    first_block = np.cumsum(within % 64 == 0) - 1 - within // 64
-    values, lane = fp[rows], (within % 64).astype(np.uint64)
-    planes = bit_planes(values, lane, head)
-    count = np.zeros(len(rows), np.int64)
-    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    step, q = 0, np.flatnonzero(asks[rows] & (within > 0))
-    while len(q):
-        block = first_block[q] + step
-        earlier = np.where(within[q] // 64 > step, ALL, (np.uint64(1) << lane[q]) - np.uint64(1))
-        hits = sliced_hits(planes, values[q], block, earlier, radius)
-        found = np.flatnonzero(hits)
-        for k in range(64) if len(found) else ():
-            at = found[(hits[found] >> np.uint64(k)) & np.uint64(1) == 1]
-            a, b = rows[head[block[at]] + k], q[at]
-            good = (count[b] < most) & (part[a] != part[rows[b]]) & (node[a] > after[rows[b]])
-            count[b[good]] += 1
-            found_a.append(a[good])
-            found_b.append(rows[b[good]])
-        step += 1
-        q = q[(count[q] < most) & (within[q] > step * 64)]
-    return np.concatenate(found_a), np.concatenate(found_b)
-
-
-def _scan(batches: Iterator[pa.RecordBatch], most: int, radius: int) -> Iterator[pa.RecordBatch]:
-    """``band, cell, a, b`` of the sorted groups ``band, key, cell``; the last,
-    perhaps open group of a batch waits for the next one."""
-    kept: list[np.ndarray] | None = None
-
-    def pairs(cols: list[np.ndarray]) -> pa.RecordBatch:
-        band, key, cell, node, fp, part, asks, after = cols
-        new = np.concatenate([[True], (band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])])
-        a, b = scan_groups(new, node, fp.astype(np.uint64), part, asks.astype(bool), after, most, radius)
-        return pa.RecordBatch.from_arrays([pa.array(band[b], pa.int32()), pa.array(cell[b], pa.int64()), pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], names=["band", "cell", "a", "b"])
-
+def _whole_groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups (equal first ``n_keys`` columns) of sorted
+    batches, with each row's group number; the last, perhaps open group of a
+    batch waits for the next one."""
+    kept: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if kept is not None:
-            cols = [np.concatenate(x) for x in zip(kept, cols, strict=True)]
-        same = np.logical_and.reduce([c == c[-1] for c in cols[:3]])
-        first = 0 if same.all() else len(same) - int(np.argmin(same[::-1]))
-        kept = [c[first:] for c in cols]
-        if first:
-            yield pairs([c[:first] for c in cols])
+        table = pa.Table.from_batches([batch])
+        table = table if kept is None else pa.concat_tables([kept, table])
+        keys = [table.column(k).to_numpy() for k in range(n_keys)]
+        new = np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])])
+        last = int(np.flatnonzero(new)[-1])
+        kept = table.slice(last)
+        if last:
+            yield table.slice(0, last), np.cumsum(new[:last])
     if kept is not None:
-        yield pairs(kept)
+        yield kept, np.ones(kept.num_rows, np.int64)
+
+
+def _clusters(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """``band, key, cell, lead, node, size``: of the sorted groups ``band, key,
+    cell`` those rows that lie within ``radius`` bits of others, with the first
+    row that they are linked to."""
+    for table, group in _whole_groups(batches, 3):
+        node, fp = (table.column(k).to_numpy() for k in ("node", "fp"))
+        label = link_groups(fp.astype(np.uint64), group, radius)
+        linked = label != np.arange(len(label))
+        linked[label[linked]] = True
+        rows = np.flatnonzero(linked)
+        if len(rows):
+            lead = pa.array(node[label[rows]], pa.int64())
+            picked = table.select(["band", "key", "cell", "node", "size"]).take(pa.array(rows)).combine_chunks()
+            band, key, cell, node, size = (c.chunk(0) for c in picked.columns)
+            yield pa.RecordBatch.from_arrays([band, key, cell, lead, node, size], names=["band", "key", "cell", "lead", "node", "size"])
+
+
+def alike_rows(values: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """For each of some sets (``values`` one after another, by ``sizes``) the
+    first one that it is linked to by a Jaccard similarity of ``similarity`` or
+    more, through others, or itself. Common elements are counted along the
+    postings of each element, some rows at a time."""
+    n, owner = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(values, kind="stable")
+    new = np.concatenate([[True], values[order][1:] != values[order][:-1]]) if len(values) else np.zeros(0, bool)
+    number = np.empty(len(values), np.int64)
+    number[order] = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    posted, held = owner[order], np.diff(np.append(starts, len(values)))
+    work = np.cumsum(held[number]) if len(values) else np.zeros(0, np.int64)
+    ends = np.cumsum(sizes)
+    done = np.concatenate([[0], work])[np.concatenate([[0], ends])]  # postings read up to each row
+    label, at = np.arange(n), 0
+    while at < n:
+        stop = max(at + 1, min(n, at + max(1, (1 << 22) // n), int(np.searchsorted(done, done[at] + (1 << 21), "right")) - 1))
+        mine = slice(ends[at] - sizes[at], ends[stop - 1])
+        count = held[number[mine]]
+        posting = np.arange(count.sum()) + np.repeat(starts[number[mine]] - np.cumsum(count) + count, count)
+        common = np.bincount(np.repeat(owner[mine] - at, count) * n + posted[posting], minlength=(stop - at) * n).reshape(-1, n)
+        a, b = np.nonzero(common)
+        same = common[a, b]
+        good = (same / (sizes[a + at] + sizes[b] - same) >= similarity) & (b > a + at)
+        label = _unite(label, a[good] + at, b[good])
+        at = stop
+    return label
 
 
-def band_groups(nodes: DataFrame, hot: int = HOT_TEXTS) -> DataFrame:
-    """``band, key, cell, node, fp``: texts dealt to a group for each key.
+def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """``a, b``: links of the sorted groups ``cluster, cell`` of whole sets."""
+    for table, group in _whole_groups(batches, 2):
+        node = table.column("node").to_numpy()
+        sets = table.column("shingles").combine_chunks()
+        values, sizes = sets.flatten().to_numpy(), sets.value_lengths().to_numpy().astype(np.int64)
+        begin = np.concatenate([[0], np.cumsum(sizes)])
+        starts = np.append(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])), len(group))
+        found_a, found_b = [], []
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            label = alike_rows(values[begin[a] : begin[b]], sizes[a:b], similarity)
+            rows = np.flatnonzero(label != np.arange(b - a))
+            found_a.append(node[a + label[rows]])
+            found_b.append(node[a + rows])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (found_a, found_b)], names=["a", "b"])
 
-    A group over ``hot`` texts is cut into parts by a hash, and each two parts
-    meet in a cell of their own, so all of its pairs still meet.
-    """
-    dealt = nodes.select(F.posexplode("keys").alias("band", "key"), F.col("text_hash").alias("node"), "fp")
+
+def _cells(parts: Column, node: Column) -> Column:
+    """The cells of a row of a group that is cut into ``parts`` by a hash of
+    ``node``: each two parts meet in a cell of their own, so all pairs of the
+    group still meet."""
+    mine = F.pmod(F.xxhash64(node), parts)
+    return F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda other: F.least(mine, other) * parts + F.greatest(mine, other))
+
+
+def band_groups(nodes: DataFrame, hot: int = HOT_TEXTS) -> DataFrame:
+    """``band, key, cell, node, fp, size``: sets dealt to a group for each of
+    their keys; groups over ``hot`` sets are cut into cells."""
+    dealt = nodes.select(F.posexplode("keys").alias("band", "key"), "node", "fp", "size")
     large = cut(dealt.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot))
     if large.isEmpty():
-        return dealt.select("band", "key", F.lit(0).cast("long").alias("cell"), "node", "fp")
+        return dealt.select("band", "key", F.lit(0).cast("long").alias("cell"), "node", "fp", "size")
+    rows = dealt.join(large, ["band", "key"], "left")
     parts = F.coalesce(F.ceil(F.col("n") / hot), F.lit(1)).cast("long")
-    rows = dealt.join(small(large, 100_000), ["band", "key"], "left").withColumn("parts", parts)
-    mine = F.pmod(F.xxhash64("node"), F.col("parts"))
-    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda other: F.least(mine, other) * F.col("parts") + F.greatest(mine, other))
-    return rows.select("band", "key", F.explode(cells).alias("cell"), "node", "fp")
+    return rows.select("band", "key", F.explode(_cells(parts, F.col("node"))).alias("cell"), "node", "fp", "size")
+
+
+def candidate_clusters(nodes: DataFrame, radius: int, hot: int = HOT_TEXTS, most: int = CELL_SHINGLES) -> DataFrame:
+    """``cluster, cell, node``: sets that agree in a key and hang together by
+    fingerprints within ``radius`` bits. Of clusters with the same members one
+    is left. A cluster with over ``most`` shingles, or an eighth of ``hot``
+    sets, is cut into cells, so that a task holds few sets at once."""
+    found = (
+        band_groups(nodes, hot)
+        .repartition("band", "key", "cell")
+        .sortWithinPartitions("band", "key", "cell", "node")
+        .mapInArrow(lambda batches: _clusters(batches, radius), "band int, key long, cell long, lead long, node long, size long")
+    )
+    found = stored(found.select(F.xxhash64("band", "key", "cell", "lead").alias("cluster"), "node", "size"), "clusters")
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), F.col("node"))).alias(f"mark{k}") for k in (1, 2)]
+    each = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"), *marks)
+    one = each.groupBy("n", "shingles", "mark1", "mark2").agg(F.min("cluster").alias("cluster"))
+    parts = F.greatest(F.ceil(F.col("shingles") / most), F.ceil(F.col("n") * 8 / hot)).cast("long")
+    rows = found.join(one.select("cluster", parts.alias("parts")), "cluster")
+    return rows.select("cluster", F.explode(_cells(F.col("parts"), F.col("node"))).alias("cell"), "node")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those pairs ``a, b`` of texts whose shingle sets have a Jaccard
-    similarity of ``similarity`` or more, on whole sets. A set is made of one
-    row of each text, so copies of a text don't travel."""
+def similar_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float, radius: int, hot: int = HOT_TEXTS, most: int = CELL_SHINGLES) -> DataFrame:
+    """``a, b``: links that connect all candidates whose whole shingle sets
+    are alike, a spanning forest for each cell. A set is made again from one
+    row of its texts, so copies of a text don't travel."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = pa.array([shingle_hashes(t, words).astype(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["text_hash", "shingles"])
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct().join(nodes.select("text_hash", "least_id"), "text_hash")
-    wanted = wanted.select(F.col("text_hash").alias("wanted_hash"), "least_id")
-    on = texts["doc_id"].eqNullSafe(wanted["least_id"]) & (texts["text_hash"] == wanted["wanted_hash"])
-    chosen = texts.join(wanted, on, "left_semi").select("text_hash", "text").mapInArrow(sets, "text_hash long, shingles array<long>")
-    chosen = stored(chosen.dropDuplicates(["text_hash"]), "shingles")
-    left = chosen.select(F.col("text_hash").alias("a"), F.col("shingles").alias("sa"))
-    right = chosen.select(F.col("text_hash").alias("b"), F.col("shingles").alias("sb"))
-    same = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(right, "b").join(left, "a").where(same >= similarity * (F.size("sa") + F.size("sb") - same)).select("a", "b")
-
-
-def joined_roots(roots: DataFrame | None, links: DataFrame) -> DataFrame:
-    """``node, root`` of all linked nodes once further ``links`` count: only
-    the classes that these touch are joined."""
-    if roots is None:
-        return cut(connected(links))
-    if links.isEmpty():
-        return roots
-    at = {side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")) for side in ("a", "b")}
-    between = links.join(at["a"], "a", "left").join(at["b"], "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-    merged = cut(connected(between))
-    moved = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("new_root")), "root", "left").select("node", F.coalesce("new_root", "root").alias("root"))
-    return cut(moved.unionByName(merged.join(roots.select("node"), "node", "left_anti")))
-
-
-def similar_roots(nodes: DataFrame, texts: DataFrame, words: int, similarity: float, radius: int, hot: int = HOT_TEXTS) -> DataFrame:
-    """``node, root`` of the texts that are joined to others by similarity.
-
-    In the first round each text is checked with the first earlier one of each
-    of its groups within ``radius`` bits. Texts that had a partner ask again,
-    for four times as many partners each round, but only among texts that are
-    not connected to them by then; it ends when no text asks.
-    """
-    groups = stored(band_groups(nodes, hot), "band-groups")
-    rows = groups.select("*", F.col("node").alias("part"), F.lit(True).alias("asks"), F.lit(-(2**63)).alias("after"))
-    roots = tested = None
-    most = 1
-    while True:
-        found = (
-            rows.repartition("band", "key", "cell")
-            .sortWithinPartitions("band", "key", "cell", "node")
-            .mapInArrow(lambda batches, most=most: _scan(batches, most, radius), "band int, cell long, a long, b long")
-        )
-        found = stored(found, "pairs")
-        asked = found.groupBy("band", "cell", F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.max("a").alias("after"))
-        asked = stored(asked.where(F.col("n") >= most).drop("n"), "asked")
-        pairs = found.select("a", "b").distinct()
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        roots = joined_roots(roots, stored(verified(pairs, texts, nodes, words, similarity), "links"))
-        if asked.isEmpty():
-            return roots
-        most *= 4
-        again = groups.join(asked, ["band", "cell", "node"]).select("band", "key", "cell").distinct()
-        rows = groups.join(again, ["band", "key", "cell"], "left_semi").join(asked, ["band", "cell", "node"], "left").join(roots, "node", "left")
-        rows = rows.select("band", "key", "cell", "node", "fp", F.coalesce("root", "node").alias("part"), F.col("after").isNotNull().alias("asks"), F.coalesce("after", F.lit(0)).alias("after"))
-
-
-def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 16, radius: int = 24, hot: int = HOT_TEXTS) -> DataFrame:
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["node", "shingles"])
+
+    members = stored(candidate_clusters(nodes, radius, hot, most), "members")
+    wanted = members.select("node").distinct().join(nodes, "node").select("node", F.col("one.doc_id").alias("one_id"), F.col("one.text_hash").alias("one_hash"))
+    on = texts["doc_id"].eqNullSafe(wanted["one_id"]) & (texts["text_hash"] == wanted["one_hash"])
+    chosen = texts.join(wanted, on).select("node", "text").mapInArrow(sets, "node long, shingles array<long>")
+    rows = members.join(chosen.dropDuplicates(["node"]), "node").select("cluster", "cell", "node", "shingles")
+    return rows.repartition("cluster", "cell").sortWithinPartitions("cluster", "cell").mapInArrow(lambda batches: _alike(batches, similarity), "a long, b long")
+
+
+def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 16, radius: int = 24, hot: int = HOT_TEXTS, most: int = CELL_SHINGLES) -> DataFrame:
     """``doc_id, text_hash, component_id``: rows joined by texts whose sets of
     word shingles have a Jaccard similarity of ``similarity`` or more.
 
-    A similarity of 0.8 lets SimHash fingerprints differ in some 15 of 64
-    bits, too many for keys made of their bits. Candidates are texts that
-    agree in one of ``bands`` keys of four least hashes (of 160,000 random pairs
-    at 0.8, 37 had no common key: 0.0002); within these groups fingerprints are
-    compared bit-sliced, and what is left is checked on the whole sets.
-    Texts without words are alike. Ids as in ``near_duplicates``.
+    Texts with equal sets are one node. A similarity of 0.8 lets SimHash
+    fingerprints differ in some 15 of 64 bits, too many for keys made of their
+    bits. Candidates agree in one of ``bands`` keys of four least hashes (of
+    160,000 random pairs at 0.8, 37 had no common key: 0.0002); within these
+    groups fingerprints are compared bit-sliced, and what hangs together is
+    compared exactly, in the same task, on the whole sets: no pairs leave a
+    task, only the links that connect it.
+
+    Texts without words, null or empty, are alike; repeated rows stay rows;
+    null doc_ids count for a component's id only where all are null; an empty
+    table gives an empty result. Columns other than doc_id and text are not
+    read.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [_signature(t, words, bands) for t in batch.column(2).to_pylist()]
-            columns = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "text_hash", "fp", "keys"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "text_hash", "node", "fp", "size", "keys"])
 
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    rows = stored(texts.mapInArrow(sign, "doc_id long, text_hash long, fp long, keys array<long>"), "signatures")
-    nodes = stored(rows.groupBy("text_hash").agg(F.min("doc_id").alias("least_id"), F.min("fp").alias("fp"), F.max("keys").alias("keys")), "texts")
-    roots = similar_roots(nodes, texts, words, similarity, radius, hot)
-    member = nodes.join(roots, nodes.text_hash == roots.node, "left").select("text_hash", "least_id", F.coalesce("root", "text_hash").alias("root"))
+    rows = stored(texts.mapInArrow(sign, "doc_id long, text_hash long, node long, fp long, size long, keys array<long>"), "signatures")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.max("keys").alias("keys"))
+    nodes = stored(nodes, "sets")
+    links = stored(similar_links(nodes, texts, words, similarity, radius, hot, most), "links")
+    roots = cut(connected(links)).withColumnRenamed("node", "linked")
+    member = nodes.join(roots, nodes.node == roots.linked, "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     least = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = member.join(least, "root").select("text_hash", "component_id")
-    return rows.select("doc_id", "text_hash").join(classes, "text_hash").select("doc_id", "text_hash", "component_id")
+    classes = member.join(least, "root").select("node", "component_id")
+    return rows.select("doc_id", "text_hash", "node").join(classes, "node").select("doc_id", "text_hash", "component_id")
 
 
 def keep_representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows of ``docs`` that represent their component of similar texts: the
     one with the smallest doc_id (null only where all are null); of rows that
-    repeat this id, one. Other columns pass through, whatever their names."""
+    repeat this id, the one with the smallest hash of its text, then the first
+    by its JSON form. Other columns pass through, whatever their names."""
     found = similar_texts(docs, words, similarity)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("text_hash").alias("kept_hash")).select(F.col("doc_id").alias("kept_id"), "kept_hash")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    kept = kept.groupBy("doc_id").agg(F.min(F.struct("text_hash", "n")).alias("one")).select(F.col("doc_id").alias("kept_id"), F.col("one.text_hash").alias("kept_hash"), F.col("one.n").alias("copies"))
+    kept = stored(kept, "kept")
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    on = rows["id"].eqNullSafe(kept["kept_id"]) & (rows["hash"] == kept["kept_hash"])
-    return rows.join(kept, on, "left_semi").dropDuplicates(["id", "hash"]).select("row.*")
+    rows = rows.join(kept, rows["id"].eqNullSafe(kept["kept_id"]) & (rows["hash"] == kept["kept_hash"]))
+    alone = rows.where("copies = 1").select("row.*")
+    if kept.where("copies > 1").isEmpty():
+        return alone
+    first = rows.where("copies > 1").groupBy("id", "hash").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return alone.unionByName(first.select("row.*"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

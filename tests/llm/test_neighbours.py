@@ -59,13 +59,11 @@ def test_odd_vectors(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(0, v), (1, v), (2, v), (2, v), (3, None), (50, [0.0] * 3), (100, [float("nan"), 1.0, 1.0]), (150, [None, 1.0, 1.0]), (200, [2.0, 4.0, 6.0]), (None, v), (4, [3.0, 2.0, 1.0]), (5, [-1.0, 0.0, 1.0]), (6, [float("inf"), 1.0, 0.0]), (7, [1.0])]
     table = spark.createDataFrame([(*r, 1, "n", "q") for r in rows], SCHEMA)
-    found = answers(neighbours.nearest(table, lambda c: c + " % 50 = 0" if False else __import__("pyspark").sql.functions.col(c) % 50 == 0))
+    found = answers(neighbours.nearest(table, lambda c: F.col(c) % 50 == 0))
     assert {q: [x for x, _ in f] for q, f in found.items()} == {0: [1, 2, 200, 4, 5], 200: [0, 1, 2, 4, 5]}
 
 
 def test_empty_table(spark):
-    import pyspark.sql.functions as F
-
     assert neighbours.nearest(empty(spark, SCHEMA), lambda c: F.col(c) % 50 == 0).count() == 0
 
 
@@ -82,19 +80,46 @@ def table_of(spark, x):
     return spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(4)
 
 
-def test_recall_among_near_copies(spark):
-    x, _ = cluster()
-    found = answers(neighbours.nearest(table_of(spark, x), lambda c: F.col(c) % 100 == 0))
+@pytest.mark.parametrize(("n", "hot", "noise"), [(10_000, 2_500, 1e-5), (8_000, 6_000, 0.02), (2_000, 1_500, 0.02)])
+def test_recall_among_near_copies(spark, n, hot, noise):
+    x, _ = cluster(n, hot, noise)
+    found = answers(neighbours.nearest(table_of(spark, x), lambda c: F.col(c) % 50 == 0))
     rows = list(enumerate(x.tolist()))
-    for ids in (range(0, 2_500, 100), range(2_500, 10_000, 100)):
+    for ids in (range(0, hot, 50), range(-(-hot // 50) * 50, n, 50)):
         assert recall({q: found[q] for q in ids}, brute(rows, ids)) >= 0.9
 
 
+def test_recall_with_hubs(spark):
+    """A few vectors that are near to all others of their half."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((2, 16)) * 3
+    x = np.concatenate([centres[k] + rng.standard_normal((1_500, 16)) for k in (0, 1)] + [centres + 0.01 * rng.standard_normal((2, 16)) for _ in range(5)]).astype(np.float32)
+    found = answers(neighbours.nearest(table_of(spark, x), lambda c: F.col(c) % 30 == 0))
+    assert recall(found, brute(list(enumerate(x.tolist())), found)) >= 0.9
+
+
+def test_equal_and_parallel_vectors_over_a_leaf(spark):
+    """600 copies of a vector and 600 multiples of another one."""
+    x = np.random.default_rng(1).standard_normal((1_500, 8))
+    x[:600], x[600:1_200] = x[0], x[600] * 2.0 ** np.arange(600)[:, None].__mod__(40)
+    found = answers(neighbours.nearest(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>"), lambda c: F.col(c) % 100 == 0))
+    assert [v for v, _ in found[100]] == [0, 1, 2, 3, 4]
+    assert len(found) == 15 and all(abs(s - 1) < 1e-12 for q in range(0, 1_200, 100) for _, s in found[q])
+
+
+def test_leaves_hold_every_node_and_few_of_them(spark):
+    x, _ = cluster(3_000, 2_000, 1e-4)
+    small = neighbours._small_vectors(table_of(spark, x).selectExpr("vec_id AS node", "CAST(embedding AS array<double>) AS v"))
+    leaves = neighbours.dealt_leaves(small, 2, 100)
+    assert leaves.groupBy("tree").agg(F.count_distinct("node").alias("n"), F.count("node").alias("m")).select("n", "m").distinct().collect() == [(3_000, 3_000)]
+    assert leaves.groupBy("tree", "key").count().agg(F.max("count")).first()[0] <= 100
+
+
 def test_outlier_of_a_large_table_has_neighbours(spark):
     x, mean = cluster(40_000, 0)
     x[-1] = -mean
     small = neighbours._small_vectors(table_of(spark, x).selectExpr("vec_id AS node", "CAST(embedding AS array<double>) AS v"))
-    lists = neighbours.first_lists(small, len(x), neighbours.DEGREE, neighbours.TREES, neighbours.LEAF)
+    lists = neighbours.first_lists(small, neighbours.DEGREE, neighbours.TREES, neighbours.LEAF)
     assert lists.where("node = 39999 AND length(ids) >= 8 * 48").count() == 1
     assert lists.where("length(ids) >= 8 * 5").count() == len(x)
 

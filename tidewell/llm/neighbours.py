@@ -1,12 +1,15 @@
 """Approximate nearest neighbours: an NN-descent graph and greedy search.
 
-Equal vectors are one node. The graph starts from leaves of random
-hyperplane trees, compared within each leaf, and improves by rounds of Spark
-joins: each node's neighbours meet at the node (local join), and pairs that
-are nearer than what they know are passed on. Queries then walk the graph from
-their own node, a beam of nodes a round, and the best found are ranked again
-by exact cosine in double precision. Vectors travel in single precision, which
-holds components of float tables exactly, and are compared in double precision.
+Equal vectors are one node. The graph starts from leaves of random trees,
+compared within each leaf (a leaf is split by the nearest of a few of its own
+members, so tight groups are split as well as the whole), and improves by
+rounds of Spark joins until hardly a list changes: each node's neighbours meet
+at the node (local join), pairs of which one is new to the list are compared,
+and those nearer than what they know are passed on. Queries then walk the
+graph from their own node, a beam of nodes a round, until all nodes of the beam
+are expanded, and the best found are ranked again by exact cosine in double
+precision. Vectors travel in single precision, which holds components of float
+tables exactly, and are compared in double precision.
 """
 
 from __future__ import annotations
@@ -22,29 +25,30 @@ from tidewell.llm._shared import arrow_batches, read_table, stored
 from tidewell.llm._shared import small as small_table
 
 DEGREE = 48
-TREES = 6
-LEAF = 1024
-ROUNDS = 3
+TREES = 4
+LEAF = 256  # nodes that are compared with each other at the start, at most
+PIVOTS = 8
 PARTNERS = 4
-BEAM = 64
-POOL = 320
-SEARCH_ROUNDS = 6
+SETTLED = 0.01  # share of new list entries at which the graph is done
+BEAM = 32
+POOL = 96
 RERANK = 48
 ENTRIES = 256
 SHORT = 10_000
 ROUNDING = 1e-6  # of a cosine, by single precision of tables of doubles
-LISTS = "node long, ids binary, sims binary"
+LISTS = "node long, ids binary, sims binary, fresh binary"
 
 
 def valid_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``vec_id, v`` (array of double) of vectors that take part: not null,
-    all components finite, not zero; of rows that repeat an id, one; of other
-    lengths than the most frequent, none."""
+    all components finite, not zero; of rows that repeat an id, the one with
+    the least vector; of other lengths than the most frequent (of equally
+    frequent ones the shortest), none."""
     v = F.col(vec_col).cast("array<double>")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL").where(fine)
     usual = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (usual["n"] if usual else 0)).dropDuplicates(["vec_id"])
+    return rows.where(F.size("v") == (usual["n"] if usual else 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def nodes_of(vectors: DataFrame, most: int) -> DataFrame:
@@ -110,74 +114,99 @@ def _runs(table: pa.Table, n_keys: int) -> list[tuple[int, int]]:
     return list(zip(starts.tolist(), [*starts[1:].tolist(), len(new)], strict=True))
 
 
-def _best(owner: np.ndarray, ids: np.ndarray, sims: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each owner its ``most`` best different ids, best first."""
-    order = np.lexsort((-sims, ids, owner))
-    owner, ids, sims = owner[order], ids[order], sims[order]
+def _best(owner: np.ndarray, ids: np.ndarray, sims: np.ndarray, fresh: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each owner its ``most`` best different ids, best first; an id that
+    was known before stays known."""
+    order = np.lexsort((-sims, fresh, ids, owner))
+    owner, ids, sims, fresh = owner[order], ids[order], sims[order], fresh[order]
     first = np.ones(len(ids), bool)
     first[1:] = (owner[1:] != owner[:-1]) | (ids[1:] != ids[:-1])
-    owner, ids, sims = owner[first], ids[first], sims[first]
+    owner, ids, sims, fresh = owner[first], ids[first], sims[first], fresh[first]
     order = np.lexsort((ids, -sims, owner))
-    owner, ids, sims = owner[order], ids[order], sims[order]
+    owner, ids, sims, fresh = owner[order], ids[order], sims[order], fresh[order]
     place = np.arange(len(owner)) - np.searchsorted(owner, owner)
     keep = place < most
-    return owner[keep], ids[keep], sims[keep]
+    return owner[keep], ids[keep], sims[keep], fresh[keep]
 
 
-def _lists(owner: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> pa.RecordBatch:
+def _lists(owner: np.ndarray, ids: np.ndarray, sims: np.ndarray, fresh: np.ndarray) -> pa.RecordBatch:
     """Rows of ``LISTS`` from entries sorted by owner."""
     nodes, starts = np.unique(owner, return_index=True)
-    cuts = starts[1:]
-    return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _packed(np.split(ids.astype("<i8"), cuts) if len(nodes) else []), _packed(np.split(sims.astype("<f8"), cuts) if len(nodes) else [])], names=["node", "ids", "sims"])
+    packed = [_packed(np.split(x.astype(t), starts[1:]) if len(nodes) else []) for x, t in ((ids, "<i8"), (sims, "<f8"), (fresh, "u1"))]
+    return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *packed], names=["node", "ids", "sims", "fresh"])
 
 
-def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids = [np.frombuffer(x, "<i8") for x in table.column("ids").to_pylist()]
-    owner = np.repeat(table.column("node").to_numpy(), [len(x) for x in ids])
-    return owner, np.concatenate(ids), np.concatenate([np.frombuffer(x, "<f8") for x in table.column("sims").to_pylist()])
+def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    parts = [[np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in (("ids", "<i8"), ("sims", "<f8"), ("fresh", "u1"))]
+    return np.repeat(table.column("node").to_numpy(), [len(x) for x in parts[0]]), *(np.concatenate(x) for x in parts)
 
 
 def merge_lists(lists: DataFrame, most: int) -> DataFrame:
-    """One list of each node, with its ``most`` nearest."""
+    """One list of each node, with its ``most`` nearest. Lists are cut to that
+    before they are dealt by node as well, batch by batch, so a node that very
+    many others know does not gather all of them in one task."""
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _lists(*_best(*_entries(pa.Table.from_batches([batch])), most))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_key(batches):
             yield _lists(*_best(*_entries(table), most))
 
-    return lists.repartition("node").sortWithinPartitions("node").mapInArrow(merge, LISTS)
-
-
-def _centre(small: DataFrame) -> np.ndarray:
-    """The mean of all unit vectors; only its components reach the driver."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([_unit(batch.column(1).to_pylist()).sum(axis=0)], pa.list_(pa.float64()))], names=["total"])
-
-    sums = small.mapInArrow(add, "total array<double>").select(F.posexplode("total").alias("at", "total")).groupBy("at").agg(F.sum("total").alias("total"))
-    mean = np.array([r["total"] for r in sums.orderBy("at").collect()])
-    return mean / max(1, small.count())
+    return lists.mapInArrow(shorten, LISTS).repartition("node").sortWithinPartitions("node").mapInArrow(merge, LISTS)
 
 
-def first_lists(small: DataFrame, count: int, degree: int, trees: int, leaf: int, seed: int = 5) -> DataFrame:
-    """Lists from random hyperplane trees around the mean: nodes with the same
-    signs meet; a leaf with many more than ``leaf`` nodes is dealt at random,
-    in each tree anew. Nodes of leaves too small to fill a list also meet each
-    other and ``ENTRIES`` random nodes."""
-    bits = max(0, int(np.ceil(np.log2(max(1, count) / leaf))))
-    centre = _centre(small) if bits else 0.0
+def dealt_leaves(small: DataFrame, trees: int, leaf: int, seed: int = 5) -> DataFrame:
+    """``tree, key, node, q``: nodes in the leaves of random trees. While a
+    leaf holds over ``leaf`` nodes, each of them goes with the nearest of
+    ``PIVOTS`` of its members, chosen by a hash. Where that parts nothing (nodes
+    of one direction), members go by hash alone."""
+    tree = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long")))
+    rows = small.select(tree.alias("tree"), F.lit(0).cast("long").alias("key"), "node", "q")
+    done: list[DataFrame] = []
+    level = 0
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def nearest_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _unit(batch.column(1).to_pylist()) - centre
-            rng = np.random.default_rng(seed)
-            for tree in range(trees if bits else 1):
-                signs = x @ rng.standard_normal((x.shape[1], bits)) > 0
-                key = (signs * (1 << np.arange(bits, dtype=np.int64))).sum(axis=1, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tree), pa.int64()), pa.array(key, pa.int64()), batch.column(0), batch.column(1)], names=["tree", "key", "node", "q"])
+            x, pivots = _unit(batch.column(3).to_pylist()), batch.column(4)
+            counts = pivots.value_lengths().to_numpy()
+            p = _unit(pivots.flatten().to_pylist())
+            owner = np.repeat(np.arange(len(x)), counts)
+            sims = np.round((x[owner] * p).sum(axis=1), 12)
+            order = np.lexsort((-sims, owner))
+            first = order[np.concatenate([[0], np.cumsum(counts)[:-1]])]
+            turn = first - (np.cumsum(counts) - counts)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(turn, pa.int64())], names=["tree", "key", "node", "q", "turn"])
+
+    while True:
+        sizes = stored(rows.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n")), "leaf-sizes")
+        large = sizes.where(F.col("n") > leaf)
+        done.append(rows.join(large, ["tree", "key"], "left_anti"))
+        if large.isEmpty():
+            break
+        rest = rows.join(large, ["tree", "key"])
+        chance = F.row_number().over(Window.partitionBy("tree", "key").orderBy(F.xxhash64("node", F.col("tree") + seed * level), "node"))
+        pivots = rest.withColumn("r", chance).where(F.col("r") <= PIVOTS).groupBy("tree", "key").agg(F.collect_list("q").alias("pivots"))
+        split = rest.select("tree", "key", "node", "q").join(pivots, ["tree", "key"]).mapInArrow(nearest_pivot, "tree long, key long, node long, q binary, turn long")
+        split = stored(split, "leaves")
+        parts = split.groupBy("tree", "key").agg(F.count_distinct("turn").alias("parts"), F.count(F.lit(1)).alias("n"))
+        by_hash = F.pmod(F.xxhash64("node", F.lit(level)), F.ceil(F.col("n") / leaf).cast("long"))
+        turn = F.when(F.col("parts") > 1, F.col("turn")).otherwise(by_hash)
+        rows = stored(split.join(parts, ["tree", "key"]).select("tree", F.xxhash64("tree", "key", turn).alias("key"), "node", "q"), "leaves")
+        level += 1
+    leaves = done[0]
+    for more in done[1:]:
+        leaves = leaves.unionByName(more)
+    return leaves
+
+
+def first_lists(small: DataFrame, degree: int, trees: int, leaf: int, seed: int = 5) -> DataFrame:
+    """Lists from the leaves of random trees. Nodes of leaves too small to fill
+    a list also meet each other and ``ENTRIES`` random nodes."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_key(batches, 3):
@@ -190,70 +219,72 @@ def first_lists(small: DataFrame, count: int, degree: int, trees: int, leaf: int
                 sims = x @ x.T
                 np.fill_diagonal(sims, -2)
                 at = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _packed(ids[at].astype("<i8")), _packed(np.take_along_axis(sims, at, 1).astype("<f8"))], names=["node", "ids", "sims"])
-
-    dealt = small.mapInArrow(deal, "tree long, key long, node long, q binary")
-    sizes = dealt.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / (2 * leaf)))
-    split = dealt.join(sizes, ["tree", "key"]).select("tree", "key", F.pmod(F.xxhash64("node", "tree"), parts).cast("long").alias("part"), "node", "q")
-    if bits:
-        least = sizes.where(F.col("n") <= degree).select("tree", "key")
-        lone = dealt.join(least, ["tree", "key"], "left_semi").select("node", "q").dropDuplicates(["node"])
-        lone = stored(lone, "lone")
-        groups = max(1, -(-lone.count() // leaf))
-        entries = small.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(ENTRIES)
-        part = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))
-        meet = lone.select(F.pmod(F.xxhash64("node"), F.lit(groups)).cast("long").alias("part"), "node", "q").unionByName(entries.select(part.alias("part"), "node", "q"))
-        meet = meet.dropDuplicates(["part", "node"])
-        split = split.unionByName(meet.select(F.lit(trees).cast("long").alias("tree"), F.lit(0).cast("long").alias("key"), "part", "node", "q"))
-    met = split.repartition("tree", "key", "part").sortWithinPartitions("tree", "key", "part").mapInArrow(compare, LISTS)
+                yield _lists(np.repeat(ids, k), ids[at].ravel(), np.take_along_axis(sims, at, 1).ravel(), np.ones(k * len(ids)))
+
+    leaves = stored(dealt_leaves(small, trees, leaf, seed), "leaves")
+    least = leaves.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= degree).select("tree", "key")
+    lone = stored(leaves.join(least, ["tree", "key"], "left_semi").select("node").distinct(), "lone")
+    groups = max(1, -(-lone.count() // leaf))
+    entries = small.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(ENTRIES)
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))
+    meet = small.join(lone, "node", "left_semi").select(F.pmod(F.xxhash64("node"), F.lit(groups)).cast("long").alias("part"), "node", "q")
+    meet = meet.unionByName(entries.select(part.alias("part"), "node", "q")).dropDuplicates(["part", "node"])
+    split = leaves.select("tree", "key", F.lit(0).cast("long").alias("part"), "node", "q")
+    split = split.unionByName(meet.select(F.lit(trees).cast("long").alias("tree"), F.lit(0).cast("long").alias("key"), "part", "node", "q"))
+    met = split.repartition("tree", "key", "part").sortWithinPartitions("tree", "key", "part", "node").mapInArrow(compare, LISTS)
     return merge_lists(met, degree)
 
 
 def _edges(lists: DataFrame) -> DataFrame:
-    """``node, nbr, sim, least``: a row for each entry; least is the node's
-    smallest similarity."""
+    """``node, nbr, sim, new``: a row for each entry."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                owner, ids, sims = _entries(pa.Table.from_batches([batch]))
-                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(ids), pa.array(sims)], names=["node", "nbr", "sim"])
+                owner, ids, sims, fresh = _entries(pa.Table.from_batches([batch]))
+                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(ids), pa.array(sims), pa.array(fresh > 0)], names=["node", "nbr", "sim", "new"])
 
-    return lists.mapInArrow(spread, "node long, nbr long, sim double")
+    return lists.select("node", "ids", "sims", "fresh").mapInArrow(spread, "node long, nbr long, sim double, new boolean")
 
 
 def descend(lists: DataFrame, small: DataFrame, degree: int, partners: int) -> DataFrame:
     """One round of NN-descent: a node's list members are compared with each
-    other and pass on to each its nearest ``partners`` there that are nearer
-    than the farthest it knows; lists then take these and reversed entries."""
+    other, unless both were in the list before, and pass on to each its nearest
+    ``partners`` there that are nearer than the farthest it knows; lists then
+    take these and reversed entries."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_key(batches):
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             x_all, ids_all, least_all = _unit(table.column("q").to_pylist()), table.column("nbr").to_numpy(), table.column("least").to_numpy()
+            new_all = table.column("new").to_numpy()
             for a, b in _runs(table, 1):
-                x, ids, least = x_all[a:b], ids_all[a:b], least_all[a:b]
+                x, ids, least, new = x_all[a:b], ids_all[a:b], least_all[a:b], new_all[a:b]
                 k = min(partners, len(ids) - 1)
-                if k < 1:
+                if k < 1 or not new.any():
                     continue
-                sims = x @ x.T
-                np.fill_diagonal(sims, -2)
+                sims = np.where(new[:, None] | new[None, :], x @ x.T, -3)
+                np.fill_diagonal(sims, -3)
                 at = np.argpartition(-sims, k - 1, axis=1)[:, :k]
                 near = np.take_along_axis(sims, at, 1)
                 good = near > least[:, None]
                 out.append((np.repeat(ids, good.sum(axis=1)), ids[at[good]], near[good]))
             if out:
                 owner, ids, sims = (np.concatenate(c) for c in zip(*out, strict=True))
-                yield _lists(*_best(owner, ids, sims, degree))
+                yield _lists(*_best(owner, ids, sims, np.ones(len(ids)), degree))
 
     edges = stored(_edges(lists), "edges")
     known = small.join(edges.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("m")), "node", "left")
     known = known.select(F.col("node").alias("nbr"), "q", F.when(F.col("n") >= degree, F.col("m")).otherwise(F.lit(-2.0)).alias("least"))
-    gathered = edges.select("node", "nbr").join(known, "nbr").select("node", "nbr", "least", "q")
+    gathered = edges.select("node", "nbr", "new").join(known, "nbr").select("node", "nbr", "least", "q", "new")
     found = gathered.repartition("node").sortWithinPartitions("node").mapInArrow(meet, LISTS)
     turned = edges.groupBy("nbr", "node").agg(F.max("sim").alias("sim"))
-    return merge_lists(lists.unionByName(found).unionByName(_single(turned)), degree)
+    return merge_lists(_known(lists).unionByName(found).unionByName(_single(turned)), degree)
+
+
+def _known(lists: DataFrame) -> DataFrame:
+    """The lists with all of their entries marked as known."""
+    return lists.withColumn("fresh", F.unhex(F.repeat(F.lit("00"), F.octet_length("fresh"))))
 
 
 def _single(edges: DataFrame) -> DataFrame:
@@ -264,25 +295,29 @@ def _single(edges: DataFrame) -> DataFrame:
             node, ids, sims = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             order = np.argsort(node, kind="stable")
             if len(order):
-                yield _lists(node[order], ids[order], sims[order])
+                yield _lists(node[order], ids[order], sims[order], np.ones(len(order)))
 
     return edges.select("nbr", "node", "sim").mapInArrow(pack, LISTS)
 
 
-def build_graph(small: DataFrame, degree: int = DEGREE, trees: int = TREES, leaf: int = LEAF, rounds: int = ROUNDS, partners: int = PARTNERS) -> DataFrame:
-    """``LISTS``: the nearest ``degree`` neighbours found of each node."""
-    count = small.count()
-    lists = stored(first_lists(small, count, degree, trees, leaf), "graph")
-    for _ in range(rounds if count > leaf else 0):
+def build_graph(small: DataFrame, degree: int = DEGREE, trees: int = TREES, leaf: int = LEAF, partners: int = PARTNERS, settled: float = SETTLED) -> DataFrame:
+    """``LISTS``: the nearest ``degree`` neighbours found of each node. Rounds
+    go on, at every size, until at most ``settled`` of all entries are new; the
+    sum of similarities only rises, so they end."""
+    lists = stored(first_lists(small, degree, trees, leaf), "graph")
+    while True:
         lists = stored(descend(lists, small, degree, partners), "graph")
-    return lists
+        new = F.octet_length(F.replace(F.hex("fresh"), F.lit("00"), F.lit(""))) / 2
+        made, entries = lists.agg(F.sum(new), F.sum(F.octet_length("fresh"))).first()
+        if (made or 0) <= settled * (entries or 0):
+            return lists
 
 
-def search_graph(lists: DataFrame, small: DataFrame, starts: DataFrame, beam: int = BEAM, pool: int = POOL, rounds: int = SEARCH_ROUNDS) -> DataFrame:
+def search_graph(lists: DataFrame, small: DataFrame, starts: DataFrame, beam: int = BEAM, pool: int = POOL) -> DataFrame:
     """``node, ids, sims``: the best ``pool`` found from each start node.
 
-    A round expands each query's ``beam`` best nodes not yet expanded, all
-    queries side by side; it ends early only for queries without such nodes.
+    A round expands those of each query's ``beam`` best nodes that are not yet
+    expanded, all queries side by side; it ends when no query has any.
     """
     edges = _edges(lists)
     near = edges.join(small.withColumnRenamed("node", "nbr"), "nbr").select("node", "nbr", "q")
@@ -301,36 +336,40 @@ def search_graph(lists: DataFrame, small: DataFrame, starts: DataFrame, beam: in
             for q, nbrs, qs in zip(batch.column("q").to_pylist(), batch.column("nbrs").to_pylist(), batch.column("qs").to_pylist(), strict=True):
                 n = len(nbrs) // 8
                 sims.append((_unit([qs[k * len(q) : (k + 1) * len(q)] for k in range(n)]) @ _unit([q])[0]).astype("<f8"))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("nbrs"), _packed(sims), pa.array([b""] * len(sims), pa.binary())], names=["node", "ids", "sims", "done"])
+            none = pa.array([b""] * len(sims), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("nbrs"), _packed(sims), _packed([np.ones(len(x), "u1") for x in sims]), none], names=["node", "ids", "sims", "fresh", "done"])
 
     def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_key(batches):
-            owner, ids, sims = _entries(table)
+            owner, ids, sims, fresh = _entries(table)
             done = [np.frombuffer(x, "<i8") for x in table.column("done").to_pylist()]
             expanded = {}
             for node, d in zip(table.column("node").to_pylist(), done, strict=True):
                 if len(d):
                     expanded[node] = d
-            owner, ids, sims = _best(owner, ids, sims, pool)
+            owner, ids, sims, _ = _best(owner, ids, sims, fresh, pool)
             nodes, at = np.unique(owner, return_index=True)
             rows = []
             for node, a, b in zip(nodes.tolist(), at, [*at[1:], len(owner)], strict=True):
                 before = expanded.get(node, np.zeros(0, "<i8"))
-                fresh = ids[a:b][~np.isin(ids[a:b], before)][:beam]
-                rows.append((node, ids[a:b].astype("<i8").tobytes(), sims[a:b].astype("<f8").tobytes(), np.concatenate([before, fresh]).astype("<i8").tobytes(), fresh.tolist()))
+                ahead = ids[a:b][:beam]
+                ahead = ahead[~np.isin(ahead, before)]
+                rows.append((node, ids[a:b].astype("<i8").tobytes(), sims[a:b].astype("<f8").tobytes(), bytes(int(b - a)), np.concatenate([before, ahead]).astype("<i8").tobytes(), ahead.tolist()))
             cols = [*zip(*rows, strict=True)]
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["node", "ids", "sims", "done", "next"])
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["node", "ids", "sims", "fresh", "done", "next"])
 
     empty = F.lit(b"")
     state = _start(starts).withColumn("done", empty)
     queries = small.join(starts, "node", "left_semi")
-    for _ in range(rounds):
+    while True:
         state = stored(state.repartition("node").sortWithinPartitions("node").mapInArrow(advance, LISTS + ", done binary, next array<long>"), "search")
-        ahead = state.select("node", F.explode("next").alias("at")).join(queries, "node").join(table, "at")
+        steps = state.select("node", F.explode("next").alias("at"))
+        if steps.isEmpty():
+            return state.select("node", "ids", "sims", "fresh")
+        ahead = steps.join(queries, "node").join(table, "at")
         found = ahead.select("node", "q", "nbrs", "qs").mapInArrow(measure, LISTS + ", done binary")
         state = state.drop("next").unionByName(found)
-    return state.repartition("node").sortWithinPartitions("node").mapInArrow(advance, LISTS + ", done binary, next array<long>").select("node", "ids", "sims")
 
 
 def _start(starts: DataFrame) -> DataFrame:
@@ -340,7 +379,7 @@ def _start(starts: DataFrame) -> DataFrame:
         for batch in batches:
             node = batch.column(0).to_numpy()
             if len(node):
-                yield _lists(*(x[np.argsort(node)] for x in (node, node, np.ones(len(node)))))
+                yield _lists(*(x[np.argsort(node)] for x in (node, node, np.ones(len(node)), np.zeros(len(node)))))
 
     return starts.select("node").mapInArrow(pack, LISTS)
 

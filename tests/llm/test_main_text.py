@@ -1,4 +1,6 @@
+import html
 import random
+import re
 
 from tests.compare import SMALL
 from tests.llm.helpers import empty
@@ -7,8 +9,8 @@ from tidewell.llm import main_text
 SCHEMA = "page_id long, url string, html string, text string, n int"
 
 
-def truth(html):
-    dom = main_text._Labelled(html)
+def truth(page):
+    dom = main_text._Labelled(page)
     return main_text.joined_text(dom, dom.labels)
 
 
@@ -44,8 +46,8 @@ def test_decoding_is_the_best_labelling():
 
     import numpy as np
 
-    html = "<div><p>a</p><div><b>c</b><p>d</p></div></div>"
-    dom = main_text.Dom(html)
+    page = "<div><p>a</p><div><b>c</b><p>d</p></div></div>"
+    dom = main_text.Dom(page)
     n = len(dom.nodes)
     rng = np.random.default_rng(1)
     for _ in range(60):
@@ -67,8 +69,8 @@ def test_decoding_is_the_best_labelling():
 
 
 def test_blocks_references_and_white_space():
-    html = "<html><body><nav><a href=x>Menu</a></nav><article><h1>A &amp;  B</h1><p>one\n two&nbsp;&eacute; <b>three</b>four<br>five</p><script>no()</script><ul><li>x<li>y</ul></article><footer>&copy; all</footer></body></html>"
-    assert main_text.extract([html], main_text.train()) == ["A & B\none two é threefour five\nx\ny"]
+    page = "<html><body><nav><a href=x>Menu</a></nav><article><h1>A &amp;  B</h1><p>one\n two&nbsp;&eacute; <b>three</b>four<br>five</p><script>no()</script><ul><li>x<li>y</ul></article><footer>&copy; all</footer></body></html>"
+    assert main_text.extract([page], main_text.train()) == ["A & B\none two é threefour five\nx\ny"]
 
 
 def test_pages_of_the_table(spark):
@@ -77,7 +79,32 @@ def test_pages_of_the_table(spark):
     assert len(rows) == len(pages)
     for r in rows:
         assert r["n_chars"] == len(r["text"]) and r["url"] == pages[r["page_id"]]["url"]
-        assert "track(" not in r["text"] and "<" not in r["text"].replace("<<<", "")[:0]
+        assert "track(" not in r["text"]
+        article = re.search(r"<article[^>]*>(.*?)</article>", pages[r["page_id"]]["html"] or "", re.S)
+        if article:  # its words, by a plain rule: without scripts, tags and what is nested as an aside
+            words = html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"(?s)<(script|style|aside|form|section)\b.*?</\1>", " ", article[1]))).split()
+            assert bag_f1(r["text"], " ".join(words)) > 0.9
+
+
+PROSE = "alpha beta gamma delta omega, some longer words of plain prose that go on. "
+UNLIKE = [  # pages by hand, and their main text
+    ("<html><body><h1>A title here</h1><p>" + PROSE * 8 + "</p></body></html>", "A title here\n" + PROSE * 8),
+    ("<html><body><table><tr><td><a href=/1>Home</a><br><a href=/2>News</a></td><td><h2>Head</h2>" + PROSE * 12 + "</td></tr></table></body></html>", "Head\n" + PROSE * 12),
+    ("<p>a <svg/> b " + PROSE * 2 + "</p><p>" + PROSE * 6 + "</p>", "a b " + PROSE * 2 + "\n" + PROSE * 6),
+    (PROSE * 6, PROSE * 6),
+    ("<div><div><div><p>" + PROSE * 3 + "</p><p>" + PROSE * 4 + "</p></div></div><div><a href=x>one</a> <a href=y>two</a></div></div>", PROSE * 3 + "\n" + PROSE * 4),
+    ("<article>" + f"<p>{PROSE}</p>" * 3000 + "</article>", "\n".join([PROSE.strip()] * 3000)),
+    ("<body>" + PROSE * 5 + "<br><br>" + PROSE * 5 + "</body>", PROSE * 10),
+    ("<body><div id=x1><div>" + f"<div>{PROSE * 3}</div>" * 4 + "</div></div><footer>all rights kept</footer></body>", "\n".join([(PROSE * 3).strip()] * 4)),
+]
+
+
+def test_pages_that_look_unlike_the_table():
+    found = main_text.extract([h for h, _ in UNLIKE], main_text.train())
+    assert all(found)
+    scores = [bag_f1(a, b) for a, (_, b) in zip(found, UNLIKE, strict=True)]
+    assert min(scores) > 0.7 and sum(scores) / len(scores) > 0.95
+    assert main_text.extract(["<body><nav>" + PROSE * 9 + "</nav><footer>" + PROSE * 9 + "</footer></body>"], main_text.train()) == [""]
 
 
 def test_odd_pages(spark):

@@ -14,7 +14,8 @@ from __future__ import annotations
 import functools
 import random
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -29,6 +30,7 @@ from tidewell.llm._shared import read_table
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo br cite code data del dfn em font i img ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr".split())
 UNSEEN = frozenset("head script style noscript template title iframe svg object canvas select option textarea button audio video".split())
+FOREIGN = frozenset("svg math".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SCOPE = frozenset("article aside body div footer form header html main nav section table td th ul ol".split())
@@ -50,6 +52,8 @@ TAG_OF = {t: k for k, group in enumerate(TAG_GROUPS) for t in group}
 LANDMARKS = {"article": 0, "main": 0, "nav": 1, "header": 2, "footer": 3, "aside": 4, "form": 8}
 N_ABOVE = len(WORD_GROUPS) + 1  # word groups and, last, article elements among the ancestors
 N_FEATURES = len(TAG_GROUPS) + len(WORD_GROUPS) + N_ABOVE + 14
+PROSE = 40
+LIFTS = (1, 2, 3, 4, 6, 8, 12, 16, 24)
 TURN_COST = 2.0  # of leaving the outside, and of excluding part of the main text
 _TOKEN = re.compile(r"[a-z]+")
 
@@ -114,6 +118,8 @@ class Dom(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
+        if tag not in VOID and any(self.nodes[k].tag in FOREIGN for k in self.open):
+            self._close(len(self.open) - 1)  # elsewhere the slash means nothing
 
     def handle_endtag(self, tag: str) -> None:
         for k in range(len(self.open) - 1, 0, -1):
@@ -151,6 +157,8 @@ def node_features(dom: Dom) -> np.ndarray:
     out = np.zeros((n, N_FEATURES), np.float32)
     total = max(text[0], 1.0)
     t, w = len(TAG_GROUPS), len(WORD_GROUPS)
+    places = {c: i for x in nodes for i, c in enumerate(x.children)}
+    alike = [Counter(nodes[c].tag for c in x.children) for x in nodes]
     for k, x in enumerate(nodes):
         row = out[k]
         if (g := TAG_OF.get(x.tag)) is not None:
@@ -161,10 +169,10 @@ def node_features(dom: Dom) -> np.ndarray:
         for g in p.above:
             row[t + w + g] = 1
         size = len(p.children) or 1
-        place = p.children.index(k) if k and size < 400 else 0
+        place = places.get(k, 0)
         row[t + w + N_ABOVE :] = (
             x.depth, np.log1p(text[k]), text[k] / total, link[k] / max(text[k], 1.0), text[k] / tags[k], own[k] / max(text[k], 1.0),
-            paras[k], stops[k] / max(text[k], 1.0), len(x.children), size, place / size, sum(nodes[c].tag == x.tag for c in p.children[:400]) / size,
+            paras[k], stops[k] / max(text[k], 1.0), len(x.children), size, place / size, alike[max(x.parent, 0)][x.tag] / size,
             x.tag in UNSEEN, text[max(x.parent, 0)] / total,
         )
     return out
@@ -252,6 +260,7 @@ def decode_states(dom: Dom, margin: np.ndarray) -> np.ndarray:
         parent[1] += max(m, x - TURN_COST)
         parent[2] += x
     states = np.zeros(len(nodes), int)
+    states[0] = nodes[0].own > 0 and rows[0][1] - TURN_COST > rows[0][0]  # text may stand outside all elements
     for k in range(1, len(nodes)):
         states[k] = choice[k, states[nodes[k].parent]]
     return states
@@ -271,6 +280,28 @@ def joined_text(dom: Dom, states: np.ndarray) -> str:
     return "\n".join(blocks)
 
 
+def prose_words(dom: Dom) -> int:
+    """Words outside links, unseen elements and whatever is marked, by its
+    name or by one around it, as something other than an article."""
+    fine = [x.tag not in UNSEEN and x.tag != "a" and x.above <= {0, len(WORD_GROUPS)} for x in dom.nodes]
+    for k, x in enumerate(dom.nodes[1:], 1):
+        fine[k] &= fine[x.parent]
+    return sum(len(run.split()) for node, run in dom.runs if node >= 0 and fine[node])
+
+
+def main_text(dom: Dom, margin: np.ndarray) -> str:
+    """The text of the likeliest labelling. A page with ``PROSE`` words or more
+    that nothing marks as other than an article has an article: if none is
+    found, all elements are held for likelier, step by step."""
+    text = joined_text(dom, decode_states(dom, margin))
+    if text or prose_words(dom) < PROSE:
+        return text
+    for more in LIFTS:
+        if text := joined_text(dom, decode_states(dom, margin + more)):
+            break
+    return text
+
+
 def generated_page(rng: random.Random) -> str:
     """A page by rule, its article marked ``data-main``; what the article must
     not contain is marked ``data-not``."""
@@ -310,11 +341,11 @@ def generated_page(rng: random.Random) -> str:
 
     def noise(kind: str) -> str:
         if kind == "nav":
-            return rng.choice([f"<nav data-not>{links(3, 9)}</nav>", f"<div data-not{attr('menu', 'navbar', 'navigation', 'breadcrumb')}>{links(3, 8)}</div>", f"<ul data-not{attr('menu', 'nav')}><li><a href='/'>{words(1, 2)}</a><li><a href='/b'>{words(1, 3)}</a></ul>"])
+            return rng.choice([f"<nav data-not>{links(3, 9)}</nav>", f"<nav data-not>{words(2, 90)}</nav>", f"<div data-not{attr('menu', 'navbar', 'navigation', 'breadcrumb')}>{links(3, 8)}</div>", f"<ul data-not{attr('menu', 'nav')}><li><a href='/'>{words(1, 2)}</a><li><a href='/b'>{words(1, 3)}</a></ul>"])
         if kind == "header":
             return rng.choice([f"<header data-not><h1><a href='/'>{words(1, 3)}</a></h1><p>{words(2, 9)}</p></header>", f"<div data-not{attr('header', 'masthead', 'banner')}><p>{words(1, 8)}</p></div>"])
         if kind == "footer":
-            return rng.choice([f"<footer data-not>&copy; {words(1, 4)} &middot; {words(2, 12)}</footer>", f"<footer data-not><p>{words(4, 40)}</p>{links(2, 5)}</footer>", f"<div data-not{attr('footer', 'copyright')}><p>{words(3, 20)}</p></div>"])
+            return rng.choice([f"<footer data-not>&copy; {words(1, 4)} &middot; {words(2, 12)}</footer>", f"<footer data-not>{words(20, 120)}</footer>", f"<footer data-not><p>{words(4, 40)}</p>{links(2, 5)}</footer>", f"<div data-not{attr('footer', 'copyright')}><p>{words(3, 20)}</p></div>"])
         if kind == "side":
             inner = rng.choice([links(3, 7), f"<h3>{words(1, 3)}</h3><p>{words(5, 40)}</p>"])
             return rng.choice([f"<aside data-not>{inner}</aside>", f"<div data-not{attr('sidebar', 'widget', 'related', 'rail')}>{inner}</div>"])
@@ -335,6 +366,8 @@ def generated_page(rng: random.Random) -> str:
         head = f"<header>{head}</header>" if rng.random() < 0.3 else f"<div>{head}</div>"
     if rng.random() < 0.12:
         inside += noise("comments")
+    if rng.random() < 0.25:
+        return _plain_page(rng, head + inside, noise, words)
     tag = rng.choice(["article"] * 5 + ["main", "div", "div", "section"])
     mark = "" if tag in ("article", "main") and rng.random() < 0.6 else attr("content", "article", "post", "entry", "story", "main")
     if tag in ("div", "section") and not mark:
@@ -349,6 +382,27 @@ def generated_page(rng: random.Random) -> str:
     return f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{words(2, 8)}</title><style>p{{margin:0}}</style><script>var a='</p>';</script></head><body>{body}</body></html>"
 
 
+def _plain_page(rng: random.Random, article: str, noise: Callable[[str], str], words: Callable[[int, int], str]) -> str:
+    """A page whose article stands in no telling element: in the body itself,
+    in nameless nested ``div`` elements, or in a cell of a layout table."""
+    first = "".join(noise(k) for k in ("nav", "header", "notice") if rng.random() < 0.3)
+    last = "".join(noise(k) for k in ("side", "comments", "footer") if rng.random() < 0.35)
+    article = article or f"<p>{words(30, 90)}</p>"
+    kind = rng.randrange(5)
+    if kind == 4:  # no article at all
+        return f"<html><body>{noise('nav')}{first}{last}{noise('footer')}</body></html>"
+    if kind == 0:
+        return f"<html><head><title>{words(1, 5)}</title></head><body data-main>{first}{article}{last}</body></html>"
+    if kind == 1:
+        depth = rng.randint(1, 4)
+        return f"<html><body>{first}{'<div>' * depth}<div data-main>{article}</div>{'</div>' * depth}{last}</body></html>"
+    if kind == 2:
+        left = f"<td data-not width=120>{''.join(f'<a href=/{k}>{words(1, 2)}</a><br>' for k in range(rng.randint(3, 8)))}</td>"
+        return f"<html><body>{first}<table border=0><tr>{left}<td data-main>{article}</td></tr></table>{last}</body></html>"
+    text = "<br><br>".join(words(20, 80) for _ in range(rng.randint(1, 5)))
+    return f"<html><body data-main>{text}</body></html>" if rng.random() < 0.7 else f"{text}"
+
+
 class _Labelled(Dom):
     """A DOM of a generated page, with the label of each element."""
 
@@ -356,6 +410,7 @@ class _Labelled(Dom):
         self.excluded: set[int] = set()
         super().__init__(html)
         self.labels = np.zeros(len(self.nodes), int)
+        self.labels[0] = len(self.nodes) == 1 or all(x.tag == "br" for x in self.nodes[1:])
         for k, x in enumerate(self.nodes[1:], 1):
             self.labels[k] = (x.main or self.labels[x.parent]) and k not in self.excluded and x.tag not in UNSEEN
 
@@ -366,7 +421,7 @@ class _Labelled(Dom):
 
 
 @functools.lru_cache
-def train(pages: int = 500, seed: int = 11) -> BoostedTrees:
+def train(pages: int = 700, seed: int = 11) -> BoostedTrees:
     """Trees from ``pages`` generated pages (the bound on what is learned)."""
     rng = random.Random(seed)
     doms = [_Labelled(generated_page(rng)) for _ in range(pages)]
@@ -379,12 +434,13 @@ def extract(htmls: list[str | None], model: BoostedTrees) -> list[str]:
     rows = [node_features(d) for d in doms]
     margin = model.margin(np.concatenate(rows)) if rows else np.zeros(0)
     ends = np.cumsum([len(r) for r in rows])
-    return [joined_text(d, decode_states(d, margin[e - len(d.nodes) : e])) for d, e in zip(doms, ends, strict=True)]
+    return [main_text(d, margin[e - len(d.nodes) : e]) for d, e in zip(doms, ends, strict=True)]
 
 
 def extract_pages(pages: DataFrame, model: BoostedTrees | None = None) -> DataFrame:
-    """``page_id, url, text, n_chars`` of every page; ids and urls may be null
-    or repeated and pass through. The trees (some kB) go with the task."""
+    """``page_id, url, text, n_chars`` of every page, in rows as many as there
+    are, repeated ones too; ids and urls may be null and pass through; null and
+    empty pages have an empty text; other columns are not read. The trees (some kB) go with the task."""
     model = model or train()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,4 +455,5 @@ def extract_pages(pages: DataFrame, model: BoostedTrees | None = None) -> DataFr
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all of ``pages``; for odd rows see ``extract_pages``."""
     return extract_pages(read_table(spark, sf_dir, "pages"))

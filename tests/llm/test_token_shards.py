@@ -65,9 +65,23 @@ def test_odd_rows_and_many_shards(spark, tmp_path):
     assert [r["start"] for r in found] == [0, *accumulate(r["n_tokens"] for r in found)][:-1]
 
 
+def test_keys_are_found_over_many_shards(spark, tmp_path):
+    path = str(tmp_path / "s")
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").unionByName(odd_documents(spark).selectExpr("doc_id * 10000000 AS doc_id", "text"))
+    token_shards.write_token_shards(docs.repartition(4), path, PATH, shard_bytes=4096)
+    texts = {}
+    for r in sorted(docs.collect(), key=lambda r: r["text"] or ""):
+        texts.setdefault(r["doc_id"], r["text"])
+    asked = [*texts, -5, 10**15, 3 * 10**7 + 1]
+    found = token_shards.lookup_tokens(spark, path, spark.createDataFrame([(k,) for k in [*asked, *asked]], "doc_id long"))
+    assert {r["doc_id"]: r["ids"] for r in found.collect()} == {k: [*plain_ids(t), 2] for k, t in texts.items()}
+    assert len(found.collect()) == len(texts)
+
+
 def test_empty_table(spark, tmp_path):
     path = str(tmp_path / "s")
     token_shards.write_token_shards(empty(spark), path, PATH)
+    assert token_shards.lookup_tokens(spark, path, spark.createDataFrame([(1,)], "doc_id long")).count() == 0
     assert token_shards.read_token_shards(spark, path).count() == 0
 
 

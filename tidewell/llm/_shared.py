@@ -62,10 +62,11 @@ def arrow_batches(spark: SparkSession, size: str = "8m", rows: int = 2000) -> It
             spark.conf.set(k, v)
 
 
-def small(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint only if it is counted to hold at most
-    ``max_rows`` rows; otherwise unchanged, so that Spark shuffles."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def small(df: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """``df`` with a broadcast hint only if its rows, measured as JSON, take at
+    most ``most`` bytes; otherwise unchanged, so that Spark shuffles."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

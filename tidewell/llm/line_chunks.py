@@ -16,7 +16,6 @@ from tidewell.llm._shared import read_table, small, stored
 DIVISOR = 4
 LONG_WORDS = 50
 MIN_WORDS = 10
-BROADCAST_ROWS = 500_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -72,7 +71,7 @@ def dedup_chunks(docs: DataFrame, divisor: int = DIVISOR, long_words: int = LONG
     firsts = keys.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first")
     marks = keys.join(firsts, "h").select("tw_id", "tw_hash", F.struct("pos", (~place.eqNullSafe(F.col("first"))).alias("again")).alias("mark"))
     wanted = marks.groupBy("tw_id", "tw_hash").agg(F.map_from_entries(F.collect_set("mark")).alias("wanted")).select(F.col("tw_id").alias("w_id"), F.col("tw_hash").alias("w_hash"), "wanted")
-    wanted = small(stored(wanted, "chunk-wanted"), BROADCAST_ROWS)
+    wanted = small(stored(wanted, "chunk-wanted"))
     texts = (
         base.join(wanted, base.tw_id.eqNullSafe(wanted.w_id) & (base.tw_hash == wanted.w_hash))
         .select("tw_id", "tw_hash", "wanted", F.posexplode(marked_chunks(F.col("tw_text"), divisor, long_words)).alias("pos", "chunk"))
@@ -83,7 +82,7 @@ def dedup_chunks(docs: DataFrame, divisor: int = DIVISOR, long_words: int = LONG
     kept = stored(texts.where("NOT again").select(F.col("h").alias("k"), F.col("chunk").alias("kept")).distinct(), "chunk-kept")
     same = texts.where("again").join(kept, (F.col("h") == F.col("k")) & (F.col("chunk") == F.col("kept")))
     removed = same.groupBy("tw_id", "tw_hash").agg(F.collect_set("pos").alias("tw_removed")).withColumnsRenamed({"tw_id": "r_id", "tw_hash": "r_hash"})
-    removed = small(stored(removed, "chunk-removed"), BROADCAST_ROWS)
+    removed = small(stored(removed, "chunk-removed"))
     others = [c for c in docs.columns if c != "text"]
     row = F.struct(*[F.col(f"`{c}`") for c in others]).alias("tw_row")
     rows = docs.select(key["tw_id"].alias("tw_id"), key["tw_hash"].alias("tw_hash"), F.col("text").alias("tw_text"), row)

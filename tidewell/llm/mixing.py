@@ -104,7 +104,7 @@ def mix(docs: DataFrame, source: Column | None = None, lang: Column | None = Non
     cells = rows.groupBy(*DIMS).agg(F.sum("tw_tokens").alias("tokens"))
     raked = rake(cells, DIMS, temper, sweeps, targets)
     ratio = F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(1.0)
-    factor = small(raked.select(*[F.col(d).alias(f"c_{d}") for d in DIMS], ratio.alias("tw_ratio")), MAX_CELLS)
+    factor = small(raked.select(*[F.col(d).alias(f"c_{d}") for d in DIMS], ratio.alias("tw_ratio")))
     on = [rows[d].eqNullSafe(factor[f"c_{d}"]) for d in DIMS]
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     joined = rows.join(factor, on[0] & on[1] & on[2]).drop(*[f"c_{d}" for d in DIMS])

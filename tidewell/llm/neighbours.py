@@ -34,7 +34,6 @@ BEAM = 32
 POOL = 96
 RERANK = 48
 ENTRIES = 256
-SHORT = 10_000
 ROUNDING = 1e-6  # of a cosine, by single precision of tables of doubles
 LISTS = "node long, ids binary, sims binary, fresh binary"
 
@@ -422,7 +421,7 @@ def nearest(table: DataFrame, is_query: Callable[[str], object], k: int = 5, id_
     short = stored(queries.join(full, "query_id", "left_anti"), "short")
     if short.isEmpty():
         return answers
-    exact = first(small_table(short, SHORT).crossJoin(nodes.select("members", "v")))
+    exact = first(small_table(short).crossJoin(nodes.select("members", "v")))
     return answers.join(full, "query_id", "left_semi").unionByName(exact)
 
 

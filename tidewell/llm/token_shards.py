@@ -4,8 +4,9 @@ Documents are range-partitioned by id before they are encoded, so each task
 holds a run of ids and fills shards in order. A shard is one file: header, raw
 ids, then the index. Shards go through Spark's text writer, one record a file
 with a closing line feed, so that any store that Spark reaches will do. The
-folder names carry each shard's token count; the global offsets come from a
-listing, without opening files.
+folder names carry each shard's token count and its first and last key; the
+global offsets and the shard of a key come from a listing, without opening
+files.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import os
 import struct
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -246,8 +248,9 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
         def shard() -> pa.RecordBatch:
             blob = build_shard(keys, ids, encoder.dtype)
-            row = [[part], [seq], [size // encoder.dtype.itemsize], [blob]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["part", "seq", "n_tokens", "value"])
+            row = [[part], [seq], [keys[0]], [keys[-1]], [size // encoder.dtype.itemsize], [blob]]
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, kinds, strict=True)], names=["part", "seq", "first_key", "last_key", "n_tokens", "value"])
 
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
@@ -266,12 +269,12 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         docs.select(F.col("doc_id").cast("long"), F.col("text"))
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", "text")
-        .mapInArrow(build, "part int, seq int, n_tokens long, value binary")
+        .mapInArrow(build, "part int, seq int, first_key long, last_key long, n_tokens long, value binary")
     )
     with arrow_batches(docs.sparkSession):
         (
             shards.withColumn("value", F.col("value").cast("string"))
-            .write.partitionBy("part", "seq", "n_tokens")
+            .write.partitionBy("part", "seq", "first_key", "last_key", "n_tokens")
             .option("lineSep", "\n")
             .text(path)
         )
@@ -280,8 +283,9 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
     """Per document ``doc_id, start, n_tokens, ids_crc32`` from the files.
 
-    Each document is fetched through its shard's index. ``start`` adds the
-    token counts of all earlier shards: sums per task, then within a task.
+    Each document's ids are found through its shard's index (rows that repeat
+    a key follow the first one). ``start`` adds the token counts of all earlier
+    shards: sums per task, then within a task.
     """
     files = spark.read.format("binaryFile").load(path)
 
@@ -290,10 +294,12 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
             for part, seq, content in zip(*(batch.column(k) for k in range(3)), strict=True):
                 shard = Shard(content.as_py())
                 firsts = shard.find(shard.keys)
-                rows = []
-                for at, (key, first) in enumerate(zip(shard.keys, firsts.tolist(), strict=True)):
-                    if first < 0 or shard.keys[first] != key:
+                rows, seen = [], Counter()
+                for key, first in zip(shard.keys, firsts.tolist(), strict=True):
+                    if first < 0:
                         raise ValueError("a document is not found by the shard's index")
+                    at = first + seen[key]
+                    seen[key] += 1
                     a, b = int(shard.offsets[at]), int(shard.offsets[at + 1])
                     rows.append((key, a, b - a, zlib.crc32(shard.ids[a:b].astype("<u4").tobytes())))
                 cols = [*zip(*rows, strict=True)]
@@ -312,7 +318,40 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
     return docs.join(starts, ["part", "seq"]).select("doc_id", (F.col("shard_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def lookup_tokens(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """``doc_id, ids`` of the first document of each of ``keys`` (column
+    ``doc_id``; null is a key too) that the shards at ``path`` hold.
+
+    A key goes to the write tasks whose bounds hold it (a row a task, sent to
+    all), then to the shard within the task by the bounds in the folder names;
+    only these shards are opened, and the perfect hash gives the place.
+    Keys that no shard holds give no row; repeated keys give one.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    if files.columns[-1] != "n_tokens":
+        return spark.createDataFrame([], "doc_id long, ids array<long>")
+    low, least = F.col("first_key").cast("long"), F.lit(-(2**63))  # null keys come first
+    shards = files.select("path", F.col("part").cast("int").alias("part"), F.col("seq").cast("int").alias("seq"), F.coalesce(low, least).alias("first_key"), F.coalesce(F.col("last_key").cast("long"), least).alias("last_key"))
+    parts = shards.groupBy(F.col("part").alias("in_part")).agg(F.min("first_key").alias("low"), F.max("last_key").alias("high"))
+    wanted = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("k", F.coalesce("doc_id", least))
+    wanted = wanted.join(F.broadcast(parts), F.col("k").between(F.col("low"), F.col("high"))).select("doc_id", "k", F.col("in_part").alias("part"))
+    found = wanted.join(shards, "part").where(F.col("k").between(F.col("first_key"), F.col("last_key")))
+    asked = found.groupBy("path").agg(F.min("part").alias("part"), F.min("seq").alias("seq"), F.collect_list(F.struct("doc_id")).alias("asked"))  # no more than a shard's documents
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content, rows, seq in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                shard = Shard(content.as_py())
+                hits = [(r["doc_id"], ids.astype(np.int64)) for r in rows if (ids := shard.lookup(r["doc_id"])) is not None]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in hits], pa.int64()), pa.array([x for _, x in hits], pa.list_(pa.int64())), pa.array([seq] * len(hits), pa.int32())], names=["doc_id", "ids", "seq"])
+
+    opened = files.select("path", "content").join(asked, "path").select("content", "asked", asked["seq"])
+    return opened.mapInArrow(read, "doc_id long, ids array<long>, seq int").groupBy("doc_id").agg(F.min_by("ids", "seq").alias("ids"))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of all of ``documents``, read back; for odd rows see
+    ``write_token_shards``; an empty table gives an empty result."""
     import public_tokenizers
 
     path = shared_path(spark, "token-shards")

@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from tidewell.llm._shared import read_table, shared_path, small, stored
 
 CRLF = "\r\n"
-BROADCAST_ROWS = 200_000  # of 72 bytes each
 SIZE_CLASSES = (32 << 10, 512 << 10)  # payload bytes; longer ones are the last class
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -58,7 +57,7 @@ def join_revisits(records: DataFrame, min_bytes: int = 100) -> DataFrame:
     """
     drop = [c for c in ("record_type", "refers_to") if c in records.columns]
     keys = records.select("page_id", "payload_digest", "payload_bytes", *[c for c in drop if c == "record_type"])
-    originals = small(stored(resolve_revisits(keys, min_bytes), "warc-originals"), BROADCAST_ROWS)
+    originals = small(stored(resolve_revisits(keys, min_bytes), "warc-originals"))
     joined = records.drop(*drop).join(originals, "payload_digest", "left")
     again = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
     return joined.withColumns(

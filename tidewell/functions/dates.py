@@ -6,11 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Accepted forms besides ISO.
-FORMATS = ("yyyy-MM-dd HH:mm 'UTC'", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
+FORMATS = ("yyyy-MM-dd HH:mm 'UTC'", "yyyy-MM-dd HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
 
 
 def parse_utc(text: Column) -> Column:
-    """ISO with ``Z``, offset or none (UTC), or one of three forms; else null."""
+    """ISO with ``Z``, offset or none (UTC), or one of four forms; else null."""
     t = F.trim(text)
     iso = F.when(F.regexp_like(t, F.lit(r"^\d{4}-\d{2}-\d{2}T")), F.try_to_timestamp(t))
     return F.coalesce(iso, *[F.try_to_timestamp(t, F.lit(f)) for f in FORMATS])
@@ -27,7 +27,8 @@ def age_days(now: Column, day: Column) -> Column:
 
 def minutes_seconds(seconds: Column) -> Column:
     whole = F.floor(seconds).cast("long")
-    return F.concat(F.lpad(F.floor(whole / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((whole % 60).cast("string"), 2, "0"))
+    minutes = F.floor(whole / 60).cast("string")
+    return F.concat(F.lpad(minutes, F.greatest(F.lit(2), F.length(minutes)), F.lit("0")), F.lit(":"), F.lpad((whole % 60).cast("string"), 2, "0"))
 
 
 def epoch_date(seconds: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +12,21 @@ from pyspark.sql import functions as F
 TRACKING = ("gclid", "fbclid", "ref", "source")
 
 
+# The parts of a summary, with older names, and the run log's lines.
+SOURCE_KEYS = ("topic", "video_id", "url", "title", "channel_namespace", "published_at", "fetched_at", "info_density")
+SECTIONS = {"Summary": ("Executive Summary",), "Key Points & Insights": ("Key Points",), "Numbers": (), "Chances": ("Opportunities",), "Risks": (), "Unknowns": ()}
+LOG_PATTERNS = {
+    "start": r"Starting mining\.\.\.",
+    "end": r"Aggregation completed\.",
+    "wait": r"Rate limiting: waiting ([0-9.]+)s",
+    "report": r"LLM report call completed: .* duration_ms=([0-9.]+)",
+    "per_video": r"LLM per-video call completed: .* duration_ms=([0-9.]+)",
+    "aggregate": r"LLM aggregate call completed: .* duration_ms=([0-9.]+)",
+    "channels": r"Starting to process (\d+) channels",
+    "prepare": r"Preparing LLM request: \d+ transcripts, \d+ chars, ~([0-9]+) tokens",
+}
+
+
 def first_of(*cols: Column) -> Column:
     """The first that is not blank."""
     return F.coalesce(*[F.when(F.trim(c) != "", F.trim(c)) for c in cols])
@@ -35,9 +53,9 @@ def handle(name: Column) -> Column:
 
 
 def video_id(filename: Column) -> Column:
-    """Eleven id characters before ``.txt``, or what follows the last ``_``."""
-    whole, tail = F.regexp_extract(filename, r"^([A-Za-z0-9_\-]{11})\.txt$", 1), F.regexp_extract(filename, r"_([^_]+)\.txt$", 1)
-    return F.coalesce(F.when(whole != "", whole), F.when(tail != "", tail))
+    """The eleven id characters before ``.txt``, at the start or after ``_``."""
+    found = F.regexp_extract(filename, r"(?:^|_)([A-Za-z0-9_\-]{11})\.txt$", 1)
+    return F.when(found != "", found)
 
 
 def file_base(name: Column) -> Column:
@@ -128,23 +146,37 @@ def markdown_trim(text: Column) -> Column:
     return F.concat(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit("\n"))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _last_of_keys(pairs: Column) -> Column:
+    """Map from an array of key and value; the last of equal keys wins."""
+
+    def kept(pairs: Column) -> Column:
+        later = lambda i: F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1)))
+        return F.map_from_entries(F.filter(pairs, lambda x, i: ~F.exists(later(i), lambda y: y["key"] == x["key"])))
+
+    return _bound(pairs, kept)
+
+
 def sections(text: Column) -> Column:
-    """Map of level-2 headings to the text below; the last of equal names
-    wins (session setting ``spark.sql.mapKeyDedupPolicy=LAST_WIN``)."""
+    """Map of level-2 headings to the text below; the last of equal names wins."""
     parts = F.filter(F.split(F.concat(F.lit("\n"), text), r"\n## "), lambda x, i: i > 0)
-    return F.map_from_entries(F.transform(parts, lambda x: F.struct(F.trim(F.split(x, "\n", 2)[0]), F.trim(F.coalesce(F.get(F.split(x, "\n", 2), F.lit(1)), F.lit("")), F.lit(" \n")))))
+    return _last_of_keys(F.transform(parts, lambda x: F.struct(F.trim(F.split(x, "\n", 2)[0]).alias("key"), F.trim(F.coalesce(F.get(F.split(x, "\n", 2), F.lit(1)), F.lit("")), F.lit(" \n")).alias("value"))))
 
 
 def bullets(text: Column) -> Column:
     """Lines that start with ``- ``, without it."""
     lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
-    return F.transform(F.filter(lines, lambda x: x.startswith("- ")), lambda x: F.trim(F.substring(x, 3, 1_000_000)))
+    return F.transform(F.filter(lines, lambda x: x.startswith("- ")), lambda x: F.trim(F.regexp_replace(x, "^- ", "")))
 
 
 def source_block(text: Column) -> Column:
     """Map of ``- key: value`` lines, split at the first colon."""
     pairs = F.filter(bullets(text), lambda x: x.contains(":"))
-    return F.map_from_entries(F.transform(pairs, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)), F.trim(F.regexp_replace(x, "^[^:]*:", "")))))
+    return _last_of_keys(F.transform(pairs, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value"))))
 
 
 def as_bullets(text: Column) -> Column:
@@ -203,7 +235,7 @@ def sse_events(body: Column) -> Column:
     """JSON payloads of ``data:`` lines up to ``[DONE]``; bad JSON is skipped."""
     before = F.substring_index(body, "data: [DONE]", 1)
     lines = F.filter(F.split(before, "\r?\n"), lambda x: x.startswith("data:"))
-    return F.filter(F.transform(lines, lambda x: F.trim(F.substring(x, 6, 10_000_000))), lambda x: F.get_json_object(x, "$").isNotNull())
+    return F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, "^data:", ""))), lambda x: F.get_json_object(x, "$").isNotNull())
 
 
 def sse_text(body: Column) -> Column:
@@ -215,14 +247,113 @@ def sse_tool_calls(body: Column) -> Column:
     return F.size(F.filter(sse_events(body), lambda x: F.get_json_object(x, "$.choices[0].delta.tool_calls").isNotNull()))
 
 
+def sse_field(body: Column, path: str) -> Column:
+    """The last value of a JSON path among the events, as for usage."""
+    found = F.array_compact(F.transform(sse_events(body), lambda x: F.get_json_object(x, path)))
+    return F.try_element_at(found, F.lit(-1))
+
+
+def sse_has_reasoning(body: Column) -> Column:
+    return F.exists(sse_events(body), lambda x: F.coalesce(F.get_json_object(x, "$.choices[0].delta.reasoning"), F.lit("")) != "")
+
+
+def uuid5(name: Column, namespace: str) -> Column:
+    """Name-based UUID (version 5) of a text under a namespace UUID."""
+    raw = F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8"))
+    h = F.sha1(raw)
+    variant = F.lower(F.hex(F.conv(F.substring(h, 17, 2), 16, 10).cast("int").bitwiseAND(F.lit(0x3F)).bitwiseOR(F.lit(0x80))))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 19, 2)), F.substring(h, 21, 12))
+
+
+def source_id(direct: Column, meta: Column, content: Column, filename: Column) -> Column:
+    """The first that is there: the field, the metadata's field, the
+    ``source_id`` line in the first 3,000 characters (where front matter
+    stands), the id at the end of a file name."""
+    line = F.regexp_extract(F.substring(content, 1, 3000), r'(?m)^source_id:[ \t]*"?([^"\n]+)"?[ \t]*$', 1)
+    tail = F.regexp_extract(filename, r"__([A-Za-z0-9_-]{6,20})\.md$", 1)
+    return first_of(direct, meta, line, F.when(tail != "", F.concat(F.lit("youtube:"), tail)))
+
+
+def log_line(line: Column) -> Column:
+    """``ts, kind, amount`` of a line of the run log; null for other lines.
+    Kinds: start, end, wait (seconds), report, per_video and aggregate
+    (milliseconds), channels, prepare (tokens)."""
+    ts = F.regexp_extract(line, r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}),\d{3}", 1)
+    kind, amount = F.lit(None).cast("string"), F.lit(None).cast("double")
+    for name, pattern in reversed(LOG_PATTERNS.items()):
+        found = F.regexp_like(line, F.lit(pattern))
+        kind = F.when(found, name).otherwise(kind)
+        if "(" in pattern:
+            amount = F.when(found, F.try_to_number(F.regexp_extract(line, pattern, 1), F.lit("999999999999999D999999")).cast("double")).otherwise(amount)
+        else:
+            amount = F.when(found, F.lit(None).cast("double")).otherwise(amount)
+    return F.when(ts != "", F.struct(F.to_timestamp(ts).alias("ts"), kind.alias("kind"), amount.alias("amount")))
+
+
+def summary_markdown(source: dict[str, Column], found: Column) -> Column:
+    """A summary in its fixed order: title, source block, then the sections
+    (from a map of them, by their names or older names)."""
+    density = F.lower(F.trim(F.coalesce(source.get("info_density", F.lit(None)), F.lit(""))))
+    values = {k: F.coalesce(F.nullif(v, F.lit("")), F.lit("unknown")) for k, v in source.items()}
+    values["info_density"] = F.when(density.isin("low", "medium", "high"), density).otherwise("medium")
+    head = [F.concat(F.lit("# "), values["title"]), F.lit(""), F.lit("## Source"), *[F.concat(F.lit(f"- {k}: "), values[k]) for k in SOURCE_KEYS if k in values], F.lit("")]
+
+    def body(found: Column) -> Column:
+        parts: list[Column] = []
+        for name, older in SECTIONS.items():
+            text = first_of(*[found[n] for n in (name, *older)])
+            parts += [F.lit(f"## {name}"), F.coalesce(text, F.lit("none")) if name == "Summary" else as_bullets(text), F.lit("")]
+        return F.array_join(F.array(*parts), "\n")
+
+    return F.concat(F.regexp_replace(F.concat_ws("\n", *head, _bound(found, body)), r"\s+$", ""), F.lit("\n"))
+
+
+def summary_fault(text: Column, video: Column, channel: Column) -> Column:
+    """``ok``, or the first fault in the fixed order: sections, source keys,
+    then values that differ from the transcript's."""
+
+    def first(x: Column) -> Column:
+        return _first_fault(x["source"], x["parts"], video, channel)
+
+    return _bound(text, lambda t: _bound(F.struct(source_block(t).alias("source"), sections(t).alias("parts")), first))
+
+
+def _first_fault(source: Column, parts: Column, video: Column, channel: Column) -> Column:
+    checks = [F.when(~F.map_contains_key(parts, F.lit(s)), F.lit(f"missing_section:{s}")) for s in ("Source", *SECTIONS)]
+    checks += [F.when(F.coalesce(source[k], F.lit("")) == "", F.lit(f"missing_source_key:{k}")) for k in SOURCE_KEYS]
+    checks += [F.when(source["video_id"] != video, "video_id_mismatch"), F.when(source["channel_namespace"] != channel, "channel_namespace_mismatch")]
+    return F.coalesce(*checks, F.lit("ok"))
+
+
+def link_target(base: Column, link: Column) -> Column:
+    """A link from a file in folder ``base``, with ``.`` and ``..`` resolved."""
+    parts = F.split(F.when(link.startswith("/"), link).otherwise(F.concat_ws("/", base, link)), "/")
+
+    def step(done: Column, x: Column) -> Column:
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(x == "..", up).when(x.isin("", "."), done).otherwise(F.concat(done, F.array(x)))
+
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+
+
 def sha_id(*parts: Column) -> Column:
     """SHA-256 of the parts joined by colons."""
     return F.sha2(F.concat_ws(":", *parts), 256)
 
 
 def glob_regex(pattern: str) -> str:
-    """Java regex of a shell pattern; ``*`` crosses slashes."""
-    return "^" + "".join({"*": ".*", "?": "."}.get(c, "\\" + c if c in ".+^$()[]{}|\\" else c) for c in pattern) + "$"
+    """Java regex of a shell pattern; ``*`` crosses slashes, ``[..]`` is one
+    of a set and ``[!..]`` one of none of it."""
+    made, at = "(?s)^", 0
+    while at < len(pattern):
+        c, at = pattern[at], at + 1
+        end = pattern.find("]", at + 1 + (pattern[at : at + 1] == "!")) if c == "[" else -1
+        if end > 0:
+            inner = re.sub(r"([\\\[\]&~^])", r"\\\1", pattern[at:end])
+            made, at = f"{made}[{'^' + inner[1:] if inner[0] == '!' else inner}]", end + 1
+        else:
+            made += {"*": ".*", "?": "."}.get(c, re.escape(c))
+    return made + "$"
 
 
 def glob_match(path: Column, include: list[str], exclude: list[str]) -> Column:

@@ -15,11 +15,13 @@ def by_host() -> WindowSpec:
 
 
 def cpu_percent(samples: DataFrame, total: str = "total", idle: str = "idle") -> DataFrame:
-    """``cpu_pct`` from running totals: 100 (1 - idle / total) of the deltas,
-    the total's at least 1, idle's at least 0; null for a host's first."""
+    """``cpu_pct`` from running totals (whole numbers): 100 (1 - idle / total)
+    of the deltas, the total's at least 1, idle's at least 0; null for a host's
+    first. Two places, halves up, worked out in whole numbers."""
     d_total = F.greatest(F.col(total) - F.lag(total).over(by_host()), F.lit(1))
     d_idle = F.greatest(F.col(idle) - F.lag(idle).over(by_host()), F.lit(0))
-    return samples.withColumn("cpu_pct", F.when(F.lag(total).over(by_host()).isNotNull(), F.round((1 - d_idle / d_total) * 100, 2)))
+    d_total, d_idle = d_total.cast("decimal(20,0)"), d_idle.cast("decimal(20,0)")
+    return samples.withColumn("cpu_pct", F.when(F.lag(total).over(by_host()).isNotNull(), F.floor(((d_total - d_idle) * 20000 + d_total) / (2 * d_total)) / 100))
 
 
 def delta(samples: DataFrame, reading: str, name: str) -> DataFrame:

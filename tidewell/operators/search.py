@@ -185,10 +185,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
-def postings(chunks: DataFrame, id_col: str = "chunk_id", text: Column | None = None) -> DataFrame:
-    """``term, id, tf, dl``: counts of each term and the length of its text."""
+def postings(chunks: DataFrame, id_col: str = "chunk_id", only: list[str] | None = None, text: Column | None = None) -> DataFrame:
+    """``term, id, tf, dl``: counts of each term and the length of its text.
+    ``only`` keeps some terms, before the terms of a text become rows."""
     tokens = words(F.col("text") if text is None else text)
-    rows = chunks.select(F.col(id_col).alias("id"), tokens.alias("tokens")).select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    held = F.col("tokens") if only is None else F.filter("tokens", lambda x: x.isin(*only))
+    rows = chunks.select(F.col(id_col).alias("id"), tokens.alias("tokens")).select("id", F.size("tokens").alias("dl"), F.explode(held).alias("term"))
     return rows.groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -1,6 +1,6 @@
 """Registered queries over the driver tables, with their SQL."""
 
-from tidewell.plans import corpus, cycles, index
+from tidewell.plans import corpus, cycles, index, records
 
-QUERIES = cycles.QUERIES | corpus.QUERIES | index.QUERIES
-ORACLES = cycles.ORACLES | corpus.ORACLES | index.ORACLES
+QUERIES = cycles.QUERIES | corpus.QUERIES | index.QUERIES | records.QUERIES
+ORACLES = cycles.ORACLES | corpus.ORACLES | index.ORACLES | records.ORACLES

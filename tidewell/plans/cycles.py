@@ -75,7 +75,7 @@ def cycle_band_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cycle_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     signal = S.build_signal(weekly(spark, sf_dir))
-    return rounded(S.windowed(signal, S.window_plan(300, [104, 156], 52)).groupBy("series", "window", "n").agg(F.count(F.lit(1)).alias("rows"), F.sum("value").alias("total")))
+    return rounded(S.windowed_by_length(signal, [104, 156], 52).groupBy("series", "window", "n").agg(F.count(F.lit(1)).alias("rows"), F.sum("value").alias("total")))
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +156,9 @@ BAND = f"""{SPECTRUM},
 bd AS (SELECT series, k, n * 7.0 / k AS period_days, power / sum(power) OVER (PARTITION BY series) AS norm_power FROM d WHERE n * 7.0 / k BETWEEN {LOW} AND {HIGH})
 SELECT series, k, round(CAST(period_days AS DOUBLE), 6) AS period_days, round(norm_power, 6) AS norm_power FROM bd"""
 Z = "CASE WHEN stddev_pop(ln(1 + greatest({c}, 0))) OVER p > 1e-12 THEN (ln(1 + greatest({c}, 0)) - avg(ln(1 + greatest({c}, 0))) OVER p) / stddev_pop(ln(1 + greatest({c}, 0))) OVER p ELSE 0 END"
-WINDOWS = "(VALUES " + ", ".join(f"({k}, {s}, {w})" for k, (s, w) in enumerate(S.window_plan(300, [104, 156], 52))) + ") AS v(win, s0, w)"
+WINDOWS = """len_ AS (SELECT series, max(n) AS n FROM t GROUP BY series),
+st AS (SELECT DISTINCT series, w, s0 FROM (SELECT series, n, w, unnest(list_append(generate_series(0, n - w, 52), n - w)) AS s0 FROM len_, (VALUES (104), (156)) AS l(w) WHERE w <= n)),
+pl AS (SELECT series, w, s0, row_number() OVER (PARTITION BY series ORDER BY w, s0) - 1 AS win FROM (SELECT * FROM st UNION ALL SELECT series, n, 0 FROM len_ WHERE series NOT IN (SELECT series FROM st)))"""
 
 QUERIES = {
     "cycle_resample": cycle_resample, "cycle_step": cycle_step, "cycle_date_range": cycle_date_range, "cycle_returns": cycle_returns, "cycle_diff": cycle_diff, "cycle_detrend": cycle_detrend, "cycle_signal": cycle_signal,
@@ -179,7 +181,7 @@ SELECT series, CAST(ts AS VARCHAR) AS ts, round(CASE WHEN n < 30 THEN value ELSE
     "cycle_band_filter": f"WITH {BAND}",
     "cycle_peaks": f"WITH {PEAKS} SELECT series, k, round(power, 9) AS power FROM pk",
     "cycle_band_metrics": f"WITH {METRICS} SELECT series, k, round(band_ratio, 6) AS band_ratio, round(snr, 6) AS snr FROM me",
-    "cycle_windows": f'WITH {SIGNAL} SELECT series, win AS "window", w AS n, count(*) AS rows, round(sum(value), 6) AS total FROM t JOIN {WINDOWS} ON i >= s0 AND i < s0 + w GROUP BY ALL',
+    "cycle_windows": f'WITH {SIGNAL}, {WINDOWS} SELECT t.series, win AS "window", w AS n, count(*) AS rows, round(sum(value), 6) AS total FROM t JOIN pl ON pl.series = t.series AND i >= s0 AND i < s0 + w GROUP BY ALL',
     "cycle_rank": f"""WITH {METRICS}, sc AS (SELECT series, k, 1.0 * {Z.format(c="snr")} + 0.5 * {Z.format(c="band_ratio")} AS rank_score FROM me WINDOW p AS (PARTITION BY series))
 SELECT series, k, round(CAST(rank_score AS DOUBLE), 6) AS rank_score, round(CAST(CASE WHEN max(rank_score) OVER q > min(rank_score) OVER q THEN (rank_score - min(rank_score) OVER q) / (max(rank_score) OVER q - min(rank_score) OVER q) ELSE 0 END AS DOUBLE), 6) AS rank_norm FROM sc WINDOW q AS (PARTITION BY series)""",
     "cycle_reconstruct": f"""WITH {SPECTRUM}, e AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY round(power, 9) DESC, k) AS place FROM d),

@@ -29,7 +29,7 @@ def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = X.postings(docs, "doc_id")
+    index = X.postings(docs, "doc_id", sorted({t for _, t in TERMS}))
     total, average = docs.select(F.count(F.lit(1)), F.avg(F.size(X.words(F.col("text"))).cast("double"))).first()
     found = X.bm25(index, spark.createDataFrame(TERMS, "query string, term string"), total, average)
     return rounded(X.ranked(rounded(found, 9), 50)).select("query", "id", "rank", "score")
@@ -106,7 +106,7 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", T.snippet(t, 220).alias("snippet"), T.truncated(t, 40, " ...").alias("cut"), T.approx_tokens(t, 1).alias("tokens"), T.slug(F.substring(t, 1, 60), 30).alias("slug"), T.sha_id(F.col("source"), F.col("doc_id").cast("string")).alias("id"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.snippet(t, 220).alias("snippet"), T.truncated(t, 40, " ...").alias("cut"), T.approx_tokens(t, 1).alias("tokens"), T.slug(t, 30).alias("slug"), T.sha_id(F.col("source"), F.col("doc_id").cast("string")).alias("id"))
 
 
 def document_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +164,9 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As ``search_bm25``, over stems: terms are stemmed after counting."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = X.postings(docs, "doc_id").withColumn("term", stemmed("term")).groupBy("term", "id", "dl").agg(F.sum("tf").alias("tf"))
+    index = X.postings(docs, "doc_id")
+    stems = index.select(F.col("term").alias("word")).distinct().select("word", stemmed("word").alias("stem"))  # each word once
+    index = index.join(stems, index["term"] == stems["word"]).groupBy(F.col("stem").alias("term"), "id", "dl").agg(F.sum("tf").alias("tf"))
     total, average = docs.select(F.count(F.lit(1)), F.avg(F.size(X.words(F.col("text"))).cast("double"))).first()
     asked = spark.createDataFrame(TERMS, "query string, term string").withColumn("term", stemmed("term"))
     return rounded(X.ranked(rounded(X.bm25(index, asked, total, average), 9), 50)).select("query", "id", "rank", "score")
@@ -187,7 +189,7 @@ def backfill_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crawl_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Breadth-first over links from parts to the numbers of their suppliers."""
     _checkpoints(spark)
-    links = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    links = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
     seeds = table(spark, sf_dir, "part").where("p_partkey <= 3").select(F.col("p_partkey").alias("url"))
     return U.crawl(links, seeds, 3)
 
@@ -244,7 +246,7 @@ SELECT page_id, s || '://' || h || CASE WHEN p IN ('', '/') THEN '/' ELSE regexp
 SELECT page_id, title, CAST(len(l) AS INTEGER) AS n_links, coalesce(array_to_string(l[1:5], ' '), '') AS first_links FROM a""",
     "document_text": """WITH a AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM documents)
 SELECT doc_id, CASE WHEN length(f) <= 220 THEN f ELSE rtrim(substr(f, 1, 219)) || '…' END AS snippet, CASE WHEN length(text) <= 40 THEN text ELSE rtrim(substr(text, 1, 40)) || ' ...' END AS cut, CAST(greatest(1, length(text) // 4) AS INTEGER) AS tokens,
-substr(trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '-'), 1, 30) AS slug, sha256(source || ':' || doc_id) AS id FROM a""",
+substr(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), 1, 30) AS slug, sha256(source || ':' || doc_id) AS id FROM a""",
     "document_keywords": f"""SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '{_KEY.format(w="that")}') THEN 'that' END, CASE WHEN regexp_matches(text, '{_KEY.format(w="Licensed")}') THEN 'Licensed' END, CASE WHEN regexp_matches(text, '{_KEY.format(w="der")}') THEN 'der' END) AS found,
 CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_KEY.format(w="that")}'))) + len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_KEY.format(w="Licensed")}'))) AS INTEGER) AS n_lines FROM documents""",
     "conversation_ends": "SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'system') AS first_system, arg_max(text, turn) FILTER (WHERE role = 'user') AS last_user, count(*) AS turns FROM conversations GROUP BY conv_id",
@@ -254,11 +256,11 @@ p AS (SELECT *, sum(CASE WHEN b THEN 1 ELSE 0 END) OVER (PARTITION BY host, run
 SELECT seq, CAST(CASE WHEN b THEN (place - 1) % 3 + 1 ELSE 0 END AS BIGINT) AS consecutive, b AND (place - 1) % 3 = 2 AS fired FROM p""",
     "monitor_delta": f"WITH {_SAMPLES} SELECT seq, round(value - last_value(value IGNORE NULLS) OVER (PARTITION BY host ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS change FROM s",
     "monitor_cpu": """WITH s AS (SELECT user_id AS host, ts, event_id AS seq, event_id * 10 AS total, event_id * 7 + CAST(floor(value) AS BIGINT) AS idle FROM events)
-SELECT seq, CASE WHEN lag(total) OVER w IS NOT NULL THEN round((1 - greatest(idle - lag(idle) OVER w, 0) / greatest(total - lag(total) OVER w, 1)) * 100, 2) END AS cpu_pct FROM s WINDOW w AS (PARTITION BY host ORDER BY ts, seq)""",
+SELECT seq, CASE WHEN lag(total) OVER w IS NOT NULL THEN floor(((greatest(total - lag(total) OVER w, 1) - greatest(idle - lag(idle) OVER w, 0)) * 20000 + greatest(total - lag(total) OVER w, 1)) / (2 * greatest(total - lag(total) OVER w, 1))) / 100 END AS cpu_pct FROM s WINDOW w AS (PARTITION BY host ORDER BY ts, seq)""",
     "monitor_waits": "SELECT event_type, count(value) AS n, round(sum(value), 6) AS total, round(avg(value), 6) AS mean, round(min(value), 6) AS least, round(max(value), 6) AS most, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type",
     "backfill_policy": """WITH d AS (SELECT doc_id, doc_id % 4 < 2 AS soft, CASE WHEN doc_id % 13 <> 0 THEN TIMESTAMP '2024-01-01' + (doc_id % 60) * INTERVAL 1 DAY END AS p FROM documents)
 SELECT doc_id, NOT soft OR p IS NULL OR p >= TIMESTAMP '2024-02-06' AS allowed, CASE WHEN NOT soft THEN 'hard_invalid' WHEN p IS NULL THEN 'soft_unknown_reference_time' WHEN p >= TIMESTAMP '2024-02-06' THEN 'soft_within_window' ELSE 'soft_outside_window:14d' END AS why FROM d""",
-    "crawl_depths": """WITH RECURSIVE l AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_linenumber = 1), w AS (SELECT p_partkey AS url, 0 AS depth FROM part WHERE p_partkey <= 3 UNION SELECT dst, depth + 1 FROM w JOIN l ON src = url WHERE depth < 3)
+    "crawl_depths": """WITH RECURSIVE l AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem), w AS (SELECT p_partkey AS url, 0 AS depth FROM part WHERE p_partkey <= 3 UNION SELECT dst, depth + 1 FROM w JOIN l ON src = url WHERE depth < 3)
 SELECT url, min(depth) AS depth FROM w GROUP BY url""",
     "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type AS key, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
 }

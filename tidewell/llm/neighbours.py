@@ -29,7 +29,7 @@ TREES = 4
 LEAF = 256  # nodes that are compared with each other at the start, at most
 PIVOTS = 8
 PARTNERS = 4
-SETTLED = 0.01  # share of new list entries at which the graph is done
+SETTLED = 0.05  # share of new list entries at which the graph is done
 BEAM = 32
 POOL = 96
 RERANK = 48

@@ -53,9 +53,10 @@ def handle(name: Column) -> Column:
 
 
 def video_id(filename: Column) -> Column:
-    """The eleven id characters before ``.txt``, at the start or after ``_``."""
-    found = F.regexp_extract(filename, r"(?:^|_)([A-Za-z0-9_\-]{11})\.txt$", 1)
-    return F.when(found != "", found)
+    """The eleven id characters before ``.txt``, at the start or after ``_``,
+    else what follows the last ``_``."""
+    whole, tail = F.regexp_extract(filename, r"(?:^|_)([A-Za-z0-9_\-]{11})\.txt$", 1), F.regexp_extract(filename, r"_([^_]+)\.txt$", 1)
+    return F.coalesce(F.when(whole != "", whole), F.when(tail != "", tail))
 
 
 def file_base(name: Column) -> Column:

@@ -36,6 +36,7 @@ RERANK = 48
 ENTRIES = 256
 ROUNDING = 1e-6  # of a cosine, by single precision of tables of doubles
 LISTS = "node long, ids binary, sims binary, fresh binary"
+ENTRIES_OF = "node long, nbr long, sim double, new boolean"
 
 
 def valid_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -135,26 +136,25 @@ def _lists(owner: np.ndarray, ids: np.ndarray, sims: np.ndarray, fresh: np.ndarr
     return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *packed], names=["node", "ids", "sims", "fresh"])
 
 
+def _flat(owner: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> pa.RecordBatch:
+    """New entries, a row for each."""
+    columns = [pa.array(owner, pa.int64()), pa.array(ids, pa.int64()), pa.array(sims, pa.float64()), pa.array(np.ones(len(ids), bool))]
+    return pa.RecordBatch.from_arrays(columns, names=["node", "nbr", "sim", "new"])
+
+
 def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     parts = [[np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in (("ids", "<i8"), ("sims", "<f8"), ("fresh", "u1"))]
     return np.repeat(table.column("node").to_numpy(), [len(x) for x in parts[0]]), *(np.concatenate(x) for x in parts)
 
 
-def merge_lists(lists: DataFrame, most: int) -> DataFrame:
-    """One list of each node, with its ``most`` nearest. Lists are cut to that
-    before they are dealt by node as well, batch by batch, so a node that very
-    many others know does not gather all of them in one task."""
-
-    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield _lists(*_best(*_entries(pa.Table.from_batches([batch])), most))
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _by_key(batches):
-            yield _lists(*_best(*_entries(table), most))
-
-    return lists.mapInArrow(shorten, LISTS).repartition("node").sortWithinPartitions("node").mapInArrow(merge, LISTS)
+def merge_lists(entries: DataFrame, most: int) -> DataFrame:
+    """``node, nbr, sim, new`` of each node's ``most`` nearest. An entry that was known
+    before stays known. Equal entries are one before they are ranked, and Spark
+    cuts the ranks before it deals entries by node, so a node that very many
+    others know does not gather all of them in one task."""
+    each = entries.groupBy("node", "nbr").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sim"), "nbr"))
+    return each.withColumn("r", rank).where(F.col("r") <= most).drop("r")
 
 
 def dealt_leaves(small: DataFrame, trees: int, leaf: int, seed: int = 5) -> DataFrame:
@@ -218,7 +218,7 @@ def first_lists(small: DataFrame, degree: int, trees: int, leaf: int, seed: int
                 sims = x @ x.T
                 np.fill_diagonal(sims, -2)
                 at = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-                yield _lists(np.repeat(ids, k), ids[at].ravel(), np.take_along_axis(sims, at, 1).ravel(), np.ones(k * len(ids)))
+                yield _flat(np.repeat(ids, k), ids[at].ravel(), np.take_along_axis(sims, at, 1).ravel())
 
     leaves = stored(dealt_leaves(small, trees, leaf, seed), "leaves")
     least = leaves.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= degree).select("tree", "key")
@@ -230,7 +230,7 @@ def first_lists(small: DataFrame, degree: int, trees: int, leaf: int, seed: int
     meet = meet.unionByName(entries.select(part.alias("part"), "node", "q")).dropDuplicates(["part", "node"])
     split = leaves.select("tree", "key", F.lit(0).cast("long").alias("part"), "node", "q")
     split = split.unionByName(meet.select(F.lit(trees).cast("long").alias("tree"), F.lit(0).cast("long").alias("key"), "part", "node", "q"))
-    met = split.repartition("tree", "key", "part").sortWithinPartitions("tree", "key", "part", "node").mapInArrow(compare, LISTS)
+    met = split.repartition("tree", "key", "part").sortWithinPartitions("tree", "key", "part", "node").mapInArrow(compare, ENTRIES_OF)
     return merge_lists(met, degree)
 
 
@@ -250,7 +250,8 @@ def descend(lists: DataFrame, small: DataFrame, degree: int, partners: int) -> D
     """One round of NN-descent: a node's list members are compared with each
     other, unless both were in the list before, and pass on to each its nearest
     ``partners`` there that are nearer than the farthest it knows; lists then
-    take these and reversed entries."""
+    take these and reversed entries. Nodes with known members only are passed
+    over before vectors are dealt to them."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_key(batches):
@@ -260,7 +261,7 @@ def descend(lists: DataFrame, small: DataFrame, degree: int, partners: int) -> D
             for a, b in _runs(table, 1):
                 x, ids, least, new = x_all[a:b], ids_all[a:b], least_all[a:b], new_all[a:b]
                 k = min(partners, len(ids) - 1)
-                if k < 1 or not new.any():
+                if k < 1:
                     continue
                 sims = np.where(new[:, None] | new[None, :], x @ x.T, -3)
                 np.fill_diagonal(sims, -3)
@@ -269,46 +270,28 @@ def descend(lists: DataFrame, small: DataFrame, degree: int, partners: int) -> D
                 good = near > least[:, None]
                 out.append((np.repeat(ids, good.sum(axis=1)), ids[at[good]], near[good]))
             if out:
-                owner, ids, sims = (np.concatenate(c) for c in zip(*out, strict=True))
-                yield _lists(*_best(owner, ids, sims, np.ones(len(ids)), degree))
+                yield _flat(*(np.concatenate(c) for c in zip(*out, strict=True)))
 
-    edges = stored(_edges(lists), "edges")
-    known = small.join(edges.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("m")), "node", "left")
+    of_node = lists.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("m"), F.max("new").alias("any"))
+    known = small.join(of_node, "node", "left")
     known = known.select(F.col("node").alias("nbr"), "q", F.when(F.col("n") >= degree, F.col("m")).otherwise(F.lit(-2.0)).alias("least"))
-    gathered = edges.select("node", "nbr", "new").join(known, "nbr").select("node", "nbr", "least", "q", "new")
-    found = gathered.repartition("node").sortWithinPartitions("node").mapInArrow(meet, LISTS)
-    turned = edges.groupBy("nbr", "node").agg(F.max("sim").alias("sim"))
-    return merge_lists(_known(lists).unionByName(found).unionByName(_single(turned)), degree)
-
-
-def _known(lists: DataFrame) -> DataFrame:
-    """The lists with all of their entries marked as known."""
-    return lists.withColumn("fresh", F.unhex(F.repeat(F.lit("00"), F.octet_length("fresh"))))
-
-
-def _single(edges: DataFrame) -> DataFrame:
-    """Entries of ``nbr, node, sim`` as one-entry lists of ``nbr``."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, ids, sims = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            order = np.argsort(node, kind="stable")
-            if len(order):
-                yield _lists(node[order], ids[order], sims[order], np.ones(len(order)))
-
-    return edges.select("nbr", "node", "sim").mapInArrow(pack, LISTS)
+    active = lists.select("node", "nbr", "new").join(of_node.where("any").select("node"), "node", "left_semi")
+    gathered = active.join(known, "nbr").select("node", "nbr", "least", "q", "new")
+    found = gathered.repartition("node").sortWithinPartitions("node").mapInArrow(meet, ENTRIES_OF)
+    before = lists.select("node", "nbr", "sim", F.lit(False).alias("new"))
+    turned = lists.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "sim", F.lit(True).alias("new"))
+    return merge_lists(before.unionByName(found).unionByName(turned), degree)
 
 
 def build_graph(small: DataFrame, degree: int = DEGREE, trees: int = TREES, leaf: int = LEAF, partners: int = PARTNERS, settled: float = SETTLED) -> DataFrame:
-    """``LISTS``: the nearest ``degree`` neighbours found of each node. Rounds
-    go on, at every size, until at most ``settled`` of all entries are new; the
-    sum of similarities only rises, so they end."""
+    """``node, nbr, sim, new``: the nearest ``degree`` neighbours found of each
+    node. Rounds go on, at every size, until at most ``settled`` of all entries
+    are new; the sum of similarities only rises, so they end."""
     lists = stored(first_lists(small, degree, trees, leaf), "graph")
     while True:
         lists = stored(descend(lists, small, degree, partners), "graph")
-        new = F.octet_length(F.replace(F.hex("fresh"), F.lit("00"), F.lit(""))) / 2
-        made, entries = lists.agg(F.sum(new), F.sum(F.octet_length("fresh"))).first()
-        if (made or 0) <= settled * (entries or 0):
+        made, entries = lists.agg(F.count_if("new"), F.count(F.lit(1))).first()
+        if made <= settled * entries:
             return lists
 
 
@@ -318,8 +301,7 @@ def search_graph(lists: DataFrame, small: DataFrame, starts: DataFrame, beam: in
     A round expands those of each query's ``beam`` best nodes that are not yet
     expanded, all queries side by side; it ends when no query has any.
     """
-    edges = _edges(lists)
-    near = edges.join(small.withColumnRenamed("node", "nbr"), "nbr").select("node", "nbr", "q")
+    near = lists.join(small.withColumnRenamed("node", "nbr"), "nbr").select("node", "nbr", "q")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_key(batches):
@@ -360,13 +342,13 @@ def search_graph(lists: DataFrame, small: DataFrame, starts: DataFrame, beam: in
 
     empty = F.lit(b"")
     state = _start(starts).withColumn("done", empty)
-    queries = small.join(starts, "node", "left_semi")
+    queries = stored(small.join(starts, "node", "left_semi"), "query-vectors")
     while True:
         state = stored(state.repartition("node").sortWithinPartitions("node").mapInArrow(advance, LISTS + ", done binary, next array<long>"), "search")
         steps = state.select("node", F.explode("next").alias("at"))
         if steps.isEmpty():
             return state.select("node", "ids", "sims", "fresh")
-        ahead = steps.join(queries, "node").join(table, "at")
+        ahead = small_table(steps.join(queries, "node")).join(table, "at")
         found = ahead.select("node", "q", "nbrs", "qs").mapInArrow(measure, LISTS + ", done binary")
         state = state.drop("next").unionByName(found)
 

@@ -11,6 +11,7 @@ from tidewell.llm.main_text import op8_html
 from tidewell.llm.media import op6_media
 from tidewell.llm.mixing import OP5_SQL, op5_mixing
 from tidewell.llm.neighbours import op10_neighbours
+from tidewell.llm.periodic_runs import op12_periodic
 from tidewell.llm.pieces import op4_sentencepiece
 from tidewell.llm.simhash import op2_simhash
 from tidewell.llm.token_shards import op9_token_ids
@@ -20,6 +21,7 @@ from tidewell.llm.warc import OP1_SQL, op1_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op10_neighbours": op10_neighbours,
+    "op12_periodic": op12_periodic,
     "op2_simhash": op2_simhash,
     "op3_toxicity": op3_toxicity,
     "op4_sentencepiece": op4_sentencepiece,

@@ -69,5 +69,14 @@ def small(df: DataFrame, most: int = 32 << 20) -> DataFrame:
     return F.broadcast(df) if size <= most else df
 
 
+def broadcast_blocks(df: DataFrame, key: str, most: int = 32 << 20) -> list[DataFrame]:
+    """``df``, a stored table of a stated query set, dealt by the hash of
+    ``key`` over blocks of at most about ``most`` bytes, measured as JSON, each
+    with a broadcast hint. What is joined to them is read once a block."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    blocks = -(-size // most) or 1
+    return [F.broadcast(df if blocks == 1 else df.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == k)) for k in range(blocks)]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

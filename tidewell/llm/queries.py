@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewell.llm.decontaminate import OP11_SQL, op11_decontaminate
+from tidewell.llm.lexical import OP13_SQL, op13_lexical
 from tidewell.llm.line_chunks import OP7_SQL, op7_line_dedup
 from tidewell.llm.main_text import op8_html
 from tidewell.llm.media import op6_media
@@ -21,7 +23,9 @@ from tidewell.llm.warc import OP1_SQL, op1_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op10_neighbours": op10_neighbours,
+    "op11_decontaminate": op11_decontaminate,
     "op12_periodic": op12_periodic,
+    "op13_lexical": op13_lexical,
     "op2_simhash": op2_simhash,
     "op3_toxicity": op3_toxicity,
     "op4_sentencepiece": op4_sentencepiece,
@@ -32,4 +36,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_ids": op9_token_ids,
 }
 
-ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op5_mixing": OP5_SQL, "op7_line_dedup": OP7_SQL}
+ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op11_decontaminate": OP11_SQL, "op13_lexical": OP13_SQL, "op5_mixing": OP5_SQL, "op7_line_dedup": OP7_SQL}

@@ -60,20 +60,6 @@ def test_spaced_choice_keeps_its_distance(spark):
     assert sorted(r["period_days"] for r in found.collect()) == [50.0, 100.0, 112.0]
 
 
-def test_selection_falls_back(spark):
-    schema = "series string, period_days double, presence_ratio double, phase_locking_r double, rank_norm double"
-    made = spark.createDataFrame([("a", 10.0, 0.9, 0.9, 0.2), ("a", 20.0, 0.9, 0.1, 1.0), ("b", 10.0, 0.9, 0.1, 0.5), ("c", 10.0, 0.1, 0.1, 0.5), ("c", 30.0, 0.1, 0.1, 0.7)], schema)
-    assert rows(S.select_cycles(made).select("series", "period_days", "tier"), "series") == [("a", 10.0, 1), ("b", 10.0, 2), ("c", 30.0, 3)]
-
-
-def test_surrogates_can_be_repeated(spark, signal):
-    made = S.build_signal(signal, "levels")
-    a, b = (tuple(S.surrogate_p(made, 40).first()) for _ in range(2))
-    y = np.array([r["value"] for r in made.orderBy("i").collect()])
-    power = np.abs(np.fft.rfft((z := (y - y.mean()) * np.hanning(len(y))) - z.mean())[2:]) ** 2
-    assert a == b and a[1] == pytest.approx(power.max() / np.median(power)) and 0 <= a[2] <= 1
-
-
 def test_scalogram_peaks_at_the_period(signal):
     found = S.scalogram(S.build_signal(signal, "levels", taper=False), 5.0, 60.0, 16)
     assert found.count() == 16 * 200

@@ -1,36 +1,12 @@
-"""What SQL does not say: window measures against numpy, streams into tables."""
+"""What SQL does not say: streams into tables."""
 
 from __future__ import annotations
 
-import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import series as S
 from tidewell.streaming.summaries import write_summaries
 
 
-def test_window_measures_equal_numpy(spark):
-    rng = np.random.default_rng(4)
-    n, p = 128, 16.0
-    y = np.cos(2 * np.pi * np.arange(n) / p + 0.4) + 0.1 * rng.standard_normal(n)
-    windows = spark.createDataFrame([("a", 0, i, n, float(v)) for i, v in enumerate(y)], "series string, window int, i long, n int, value double")
-    periods = spark.createDataFrame([("a", p), ("a", 5.0)], "series string, period_days double")
-    found = {r["period_days"]: r for r in S.window_measures(windows, periods).collect()}
-    freqs, power = np.fft.rfftfreq(n)[1:], (np.abs(np.fft.rfft(y)) ** 2 / n**2)[1:]
-    for period, r in found.items():
-        f0 = 1 / period
-        near = max(1.5 * (freqs[1] - freqs[0]), 0.03 * f0)
-        far, gap = max(2 * near, 0.2 * f0), max(1.2 * near, 0.05 * f0)
-        band, ring = abs(freqs - f0) <= near, (abs(freqs - f0) <= far) & (abs(freqs - f0) > gap)
-        assert r["band_ratio"] == pytest.approx(power[band].sum() / power.sum())
-        assert r["snr"] == pytest.approx(power[band].sum() / (np.median(power[ring]) * band.sum()))
-        assert r["lag"] == pytest.approx(r["phase"] / (2 * np.pi) * period)
-    assert found[p]["amplitude"] == pytest.approx(1, abs=0.1) and found[p]["phase"] == pytest.approx(0.4, abs=0.1)
-    stable = {r["period_days"]: r for r in S.stability_measures(S.window_measures(windows, periods)).collect()}
-    assert stable[p]["stable"] and stable[p]["presence_ratio"] == 1 and not stable[5.0]["stable"]
-
-
 def test_batches_are_written_once_with_their_route(spark, tmp_path):
     rows = [(k, s) for k, s in enumerate(["success", "no_transcript", "blocked", "error"])]
     spark.createDataFrame(rows, "video long, status string").write.parquet(str(tmp_path / "in"))

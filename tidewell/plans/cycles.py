@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators import series as S
+from tidewell.operators import stability as T
 from tidewell.plans.tables import DAILY, daily, rounded
 
 LOW, HIGH = 21.0, 364.0
@@ -78,24 +79,51 @@ def cycle_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.windowed_by_length(signal, [104, 156], 52).groupBy("series", "window", "n").agg(F.count(F.lit(1)).alias("rows"), F.sum("value").alias("total")))
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Peaks of the band with their stability over windows."""
+LENGTHS, EVERY = [104, 156], 52  # weeks
+LIMITS = T.Limits()
+
+
+def whole_candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The weekly signal and its candidate cycles."""
     signal = S.build_signal(weekly(spark, sf_dir))
-    bins = S.dft(signal)
-    band = S.in_band(bins, 35.0, HIGH, 7.0)
-    peaks = S.local_peaks(band.drop("norm_power")).select("series", "k", "period_days")
-    metrics = S.band_metrics(peaks.select("series", "k"), bins)
-    fits = S.harmonic_fit(S.windowed_by_length(signal, [104, 156], 52), peaks.select("series", "period_days"), 7.0)
-    return peaks.join(metrics, ["series", "k"]).join(S.stability(fits), ["series", "period_days"])
+    band = T.in_periods(T.spectra(signal, ["series"], 7.0), ["series"], LOW, HIGH)
+    return signal, T.candidates(band, ["series"])
+
+
+def cycle_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The peaks that keep their distance from stronger ones."""
+    return rounded(whole_candidates(spark, sf_dir)[1].select("series", "k", "freq", "period_days", "power", "norm_power"), 9)
 
 
 def cycle_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(candidates(spark, sf_dir))
+    """Every candidate cycle in every window."""
+    signal, cycles = whole_candidates(spark, sf_dir)
+    found = T.window_measures(S.windowed_by_length(signal, LENGTHS, EVERY), cycles, 7.0, LOW, HIGH, LIMITS)
+    return rounded(found.select("series", "period_days", "start", "n", "start_date", "mid_date", "end_date", "band_ratio", "snr", "amplitude", "phase", "lag", F.col("r2").alias("fit"), "present"))
+
+
+def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.evaluate(S.build_signal(weekly(spark, sf_dir)), 7.0, LOW, HIGH, LENGTHS, EVERY, LIMITS)
+
+
+def cycle_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All measures of stability, and the ranks, of every candidate cycle."""
+    rows = evaluated(spark, sf_dir)
+    return rounded(rows.withColumn("window_ratios", F.array_join(F.transform("window_ratios", lambda x: F.format_string("%.6f", F.round(x, 6))), ",")))
 
 
 def cycle_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = S.rank_score(candidates(spark, sf_dir), {"snr": 1.0, "presence_ratio": 1.0, "amp_median": 0.5})
-    return rounded(S.select_cycles(ranked, 5).select("series", "k", "period_days", "rank_norm", "presence_ratio", "phase_locking_r", "tier"))
+    """The selection from all candidates, p-values not asked for."""
+    chosen = T.select_cycles(evaluated(spark, sf_dir))
+    return rounded(chosen.select("series", "chosen", "rung", "period_days", "rank_norm", "presence_ratio", "phase_locking_r", "snr_median", "norm_power"))
+
+
+def cycle_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The p-value of each candidate among 100 surrogates of its series."""
+    signal, cycles = whole_candidates(spark, sf_dir)
+    own = T.band_snr(cycles, T.spectra(signal, ["series"], 7.0), ["series"], ["series"], LIMITS)
+    maxima = T.band_maxima(T.surrogate_spectra(signal, 100, 7.0), LOW, HIGH, LIMITS)
+    return rounded(T.p_values(own.withColumnRenamed("snr", "snr_global"), maxima))
 
 
 def cycle_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,10 +139,6 @@ def cycle_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.reconstruct(best.select("series", "k", "n", "re", "im"), 352))
 
 
-def cycle_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(S.surrogate_p(S.build_signal(weekly(spark, sf_dir)), 100))
-
-
 def cycle_scalogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.scalogram(S.build_signal(weekly(spark, sf_dir)), 4.0, 40.0, 12).groupBy("series", "period").agg(F.avg("amplitude").alias("mean"), F.max("amplitude").alias("most")))
 
@@ -160,10 +184,63 @@ WINDOWS = """len_ AS (SELECT series, max(n) AS n FROM t GROUP BY series),
 st AS (SELECT DISTINCT series, w, s0 FROM (SELECT series, n, w, unnest(list_append(generate_series(0, n - w, 52), n - w)) AS s0 FROM len_, (VALUES (104), (156)) AS l(w) WHERE w <= n)),
 pl AS (SELECT series, w, s0, row_number() OVER (PARTITION BY series ORDER BY w, s0) - 1 AS win FROM (SELECT * FROM st UNION ALL SELECT series, n, 0 FROM len_ WHERE series NOT IN (SELECT series FROM st)))"""
 
+
+
+def _bands(name: str, bins: str, cycles: str, keys: str) -> str:
+    """CTE ``name``: band ratio and SNR of ``cycles`` (series, freq) in the
+    spectra ``bins`` (keys, freq, power), by comparison with every bin."""
+    on = " AND ".join(f"w.{k} = b.{k}" for k in keys.split(", "))
+    return f"""{name}_g AS (SELECT {keys}, count(*) AS bins, sum(power) AS total, median(power) AS middle, max(freq) - min(freq) AS span FROM {bins} GROUP BY {keys}),
+{name}_s AS (SELECT g.*, c.freq AS f0, greatest(CASE WHEN bins > 1 THEN span / (bins - 1) ELSE greatest(c.freq / 20, 1e-6) END, 1e-12) AS step FROM {name}_g g JOIN {cycles} c USING (series)),
+{name}_w AS (SELECT *, greatest(near * 2, f0 * {LIMITS.background}) * (1 + 1e-9) AS far, greatest(near * 1.2, f0 * {LIMITS.apart}) * (1 + 1e-9) AS gap FROM (SELECT *, greatest(step * 1.5, f0 * {LIMITS.peak}) AS near FROM {name}_s)),
+{name}_a AS (SELECT {", ".join(f"w.{k}" for k in keys.split(", "))}, f0, any_value(total) AS total, any_value(middle) AS middle, sum(CASE WHEN abs(freq - f0) <= near * (1 + 1e-9) THEN power END) AS band, count(CASE WHEN abs(freq - f0) <= near * (1 + 1e-9) THEN 1 END) AS held, median(CASE WHEN abs(freq - f0) <= far AND abs(freq - f0) > gap THEN power END) AS level FROM {name}_w w JOIN {bins} b ON {on} GROUP BY ALL),
+{name} AS (SELECT {keys}, f0 AS freq, CASE WHEN held > 0 AND total > 0 THEN band / total ELSE 0 END AS band_ratio, CASE WHEN held > 0 AND total > 0 THEN band / greatest(coalesce(level, middle) * held, 1e-18) ELSE 0 END AS snr FROM {name}_a)"""
+
+
+CANDIDATES = f"""{SPECTRUM},
+fb AS (SELECT series, k, k * (1 / (n * CAST(7 AS DOUBLE))) AS freq, power FROM d UNION ALL SELECT series, 0, 0, sum(value) * sum(value) / (max(n) * max(n)) FROM t GROUP BY series),
+bb AS (SELECT *, 1 / freq AS period_days, power / sum(power) OVER (PARTITION BY series) AS norm_power FROM fb WHERE k > 0 AND 1 / freq BETWEEN {LOW} AND {HIGH}),
+bp AS (SELECT *, coalesce(power > lag(power) OVER v AND power >= lead(power) OVER v, false) AS peak, count(*) OVER (PARTITION BY series) AS bins, row_number() OVER (PARTITION BY series ORDER BY power DESC, period_days) AS place FROM bb WINDOW v AS (PARTITION BY series ORDER BY period_days)),
+bq AS (SELECT * EXCLUDE (place), row_number() OVER (PARTITION BY series ORDER BY power DESC, period_days) AS place FROM (SELECT *, bool_or(peak) OVER (PARTITION BY series) AS any_peak FROM bp) WHERE bins <= 2 OR peak OR (NOT any_peak AND place = 1)),
+gr AS (SELECT series, CAST(0 AS BIGINT) AS place, CAST([] AS DOUBLE[]) AS kept FROM (SELECT DISTINCT series FROM bq) UNION ALL
+  SELECT gr.series, q.place, CASE WHEN len(kept) < 48 AND len([x FOR x IN kept IF abs(x - period_days) / greatest(x, period_days) < 0.1]) = 0 THEN list_append(kept, period_days) ELSE kept END FROM gr JOIN bq q ON q.series = gr.series AND q.place = gr.place + 1),
+ca AS (SELECT q.series, k, freq, period_days, power, norm_power FROM bq q JOIN (SELECT series, arg_max(kept, place) AS kept FROM gr GROUP BY series) USING (series) WHERE list_contains(kept, period_days))"""
+MEASURED = f"""{CANDIDATES},
+{WINDOWS},
+wt AS (SELECT t.series, win, w, s0, i - s0 AS i, ts, value FROM t JOIN pl ON pl.series = t.series AND i >= s0 AND i < s0 + w),
+wf AS (SELECT series, win, k * (1 / (w * CAST(7 AS DOUBLE))) AS freq, (pow(sum(value * cos(2 * pi() * ((k * i) % w) / w)), 2) + pow(sum(value * sin(2 * pi() * ((k * i) % w) / w)), 2)) / (w * w) AS power FROM (SELECT *, unnest(range(1, w // 2 + 1)) AS k FROM wt) GROUP BY series, win, w, k),
+wb AS (SELECT * FROM wf WHERE 1 / freq BETWEEN {LOW} AND {HIGH}),
+{_bands("sn", "wb", "ca", "series, win")},
+h0 AS (SELECT wt.series, win, freq, period_days, value AS y, 7 * (i - (w - 1) / 2) AS t, cos(2 * pi() * 7 * i / period_days) AS c, sin(2 * pi() * 7 * i / period_days) AS s FROM wt JOIN ca USING (series)),
+h1 AS (SELECT series, win, freq, avg(y) AS my, avg(c) AS mc, avg(s) AS ms, sum(t * y) / sum(t * t) AS ty, sum(t * c) / sum(t * t) AS tc, sum(t * s) / sum(t * t) AS tn FROM h0 GROUP BY ALL),
+h2 AS (SELECT h0.series, h0.win, h0.freq, sum(pow(c - mc - tc * t, 2)) AS cc, sum(pow(s - ms - tn * t, 2)) AS ss, sum((c - mc - tc * t) * (s - ms - tn * t)) AS cs, sum((c - mc - tc * t) * y) AS cy, sum((s - ms - tn * t) * y) AS sy, sum(pow(y - my - ty * t, 2)) AS yy, sum(pow(y - my, 2)) AS sst FROM h0 JOIN h1 ON h0.series = h1.series AND h0.win = h1.win AND h0.freq = h1.freq GROUP BY ALL),
+h3 AS (SELECT *, (cy * ss - sy * cs) / (cc * ss - cs * cs) AS a, (sy * cc - cy * cs) / (cc * ss - cs * cs) AS b FROM h2),
+wd AS (SELECT series, win, min(s0) AS s0, max(w) AS w, min(ts) AS d0, max(CASE WHEN i = w // 2 THEN ts END) AS d1, max(ts) AS d2 FROM wt GROUP BY series, win),
+wm AS (SELECT h3.series, h3.win, ca.freq, ca.period_days, s0, w, d0, d1, d2, coalesce(band_ratio, 0) AS band_ratio, coalesce(snr, 0) AS snr, sqrt(a * a + b * b) AS amplitude, atan2(-b, a) AS phase, atan2(-b, a) / (2 * pi()) * period_days AS lag, CASE WHEN sst > 0 THEN greatest(0, least(1, 1 - (yy - a * cy - b * sy) / sst)) ELSE 0 END AS fit,
+  coalesce(snr >= {LIMITS.snr} AND band_ratio >= {LIMITS.ratio}, false) AS present FROM h3 JOIN ca USING (series, freq) JOIN wd ON wd.series = h3.series AND wd.win = h3.win LEFT JOIN sn ON sn.series = h3.series AND sn.win = h3.win AND sn.freq = h3.freq)"""
+EVALUATED = f"""{MEASURED},
+{_bands("sg", "fb", "ca", "series")},
+st_ AS (SELECT series, freq, avg(CAST(present AS INTEGER)) AS presence_ratio, median(band_ratio) AS band_ratio_median, string_agg(printf('%.6f', round(band_ratio, 6)), ',' ORDER BY s0, w) AS window_ratios, median(amplitude) AS amp_median, quantile_cont(amplitude, 0.25) AS amp_p25, min(amplitude) AS amp_min, median(fit) AS fit_median,
+  median(snr) AS snr_median, quantile_cont(snr, 0.25) AS snr_p25, median(lag) AS lag_median, quantile_cont(lag, 0.75) - quantile_cont(lag, 0.25) AS lag_iqr, sqrt(pow(avg(cos(phase)), 2) + pow(avg(sin(phase)), 2)) AS phase_locking_r FROM wm GROUP BY series, freq),
+e0 AS (SELECT st_.*, ca.period_days, ca.power, ca.norm_power, sg.snr AS snr_global, snr_median - {LIMITS.snr} AS margin_median, presence_ratio * norm_power AS stability_score, presence_ratio >= {LIMITS.presence} AS stable FROM st_ JOIN ca USING (series, freq) JOIN sg USING (series, freq)),
+e1 AS (SELECT *, {" + ".join(f"(CASE WHEN stddev_pop({x}) OVER p > 1e-12 THEN ({x} - avg({x}) OVER p) / stddev_pop({x}) OVER p ELSE 0 END)" for x in ("ln(1 + amp_median)", "ln(1 + snr_median)", "presence_ratio", "phase_locking_r"))} AS rank_score FROM e0 WINDOW p AS (PARTITION BY series)),
+e2 AS (SELECT *, CASE WHEN max(rank_score) OVER p > min(rank_score) OVER p THEN (rank_score - min(rank_score) OVER p) / (max(rank_score) OVER p - min(rank_score) OVER p) ELSE 0 END AS rank_norm, CASE WHEN max(stability_score) OVER p > 0 THEN stability_score / max(stability_score) OVER p ELSE 0 END AS stability_norm FROM e1 WINDOW p AS (PARTITION BY series)),
+ev AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY stable DESC, rank_norm DESC, presence_ratio DESC, snr_median DESC, period_days) AS place FROM e2)"""
+CHOICE = T.Choice()
+SELECTED = f"""{EVALUATED},
+s1 AS (SELECT *, CASE WHEN presence_ratio >= {CHOICE.presence} AND phase_locking_r >= {CHOICE.locking} AND amp_median >= {CHOICE.amplitude} THEN 1 WHEN presence_ratio >= {CHOICE.presence} THEN 2 ELSE 3 END AS rung FROM ev WHERE stable),
+s2 AS (SELECT * FROM (SELECT *, min(rung) OVER (PARTITION BY series) AS first FROM s1) WHERE rung = first),
+s3 AS (SELECT * FROM (SELECT *, quantile_cont(norm_power, {CHOICE.percentile}) OVER (PARTITION BY series) AS least FROM s2) WHERE norm_power >= least),
+s4 AS (SELECT * EXCLUDE (place), row_number() OVER (PARTITION BY series ORDER BY rank_norm DESC, presence_ratio DESC, phase_locking_r DESC, snr_median DESC, period_days) AS place FROM s3),
+s5 AS (SELECT series, CAST(0 AS BIGINT) AS place, CAST([] AS DOUBLE[]) AS kept FROM (SELECT DISTINCT series FROM s4) UNION ALL
+  SELECT s5.series, q.place, CASE WHEN len(kept) < {CHOICE.most} AND len([x FOR x IN kept IF abs(x - period_days) / greatest(x, period_days) < {CHOICE.distance}]) = 0 THEN list_append(kept, period_days) ELSE kept END FROM s5 JOIN s4 q ON q.series = s5.series AND q.place = s5.place + 1),
+s6 AS (SELECT s4.*, row_number() OVER (PARTITION BY s4.series ORDER BY s4.place) AS chosen FROM s4 JOIN (SELECT series, arg_max(kept, place) AS kept FROM s5 GROUP BY series) k ON k.series = s4.series WHERE list_contains(kept, period_days))"""
+_NUMBERS = lambda names: ", ".join(f"round(CAST({x} AS DOUBLE), 6) AS {x}" for x in names.split())
+
 QUERIES = {
     "cycle_resample": cycle_resample, "cycle_step": cycle_step, "cycle_date_range": cycle_date_range, "cycle_returns": cycle_returns, "cycle_diff": cycle_diff, "cycle_detrend": cycle_detrend, "cycle_signal": cycle_signal,
     "cycle_dft_top": cycle_dft_top, "cycle_periodogram": cycle_periodogram, "cycle_band_filter": cycle_band_filter, "cycle_peaks": cycle_peaks, "cycle_band_metrics": cycle_band_metrics, "cycle_windows": cycle_windows,
-    "cycle_stability": cycle_stability, "cycle_select": cycle_select, "cycle_rank": cycle_rank, "cycle_reconstruct": cycle_reconstruct, "cycle_surrogates": cycle_surrogates, "cycle_scalogram": cycle_scalogram, "cycle_recovery": cycle_recovery,
+    "cycle_candidates": cycle_candidates, "cycle_measures": cycle_measures, "cycle_stability": cycle_stability, "cycle_select": cycle_select, "cycle_rank": cycle_rank, "cycle_reconstruct": cycle_reconstruct, "cycle_surrogates": cycle_surrogates, "cycle_scalogram": cycle_scalogram, "cycle_recovery": cycle_recovery,
 }
 ORACLES = {
     "cycle_resample": f"""WITH {DAILY}, b AS (SELECT series, min(ts) AS a, max(ts) AS z FROM s GROUP BY series),
@@ -182,6 +259,10 @@ SELECT series, CAST(ts AS VARCHAR) AS ts, round(CASE WHEN n < 30 THEN value ELSE
     "cycle_peaks": f"WITH {PEAKS} SELECT series, k, round(power, 9) AS power FROM pk",
     "cycle_band_metrics": f"WITH {METRICS} SELECT series, k, round(band_ratio, 6) AS band_ratio, round(snr, 6) AS snr FROM me",
     "cycle_windows": f'WITH {SIGNAL}, {WINDOWS} SELECT t.series, win AS "window", w AS n, count(*) AS rows, round(sum(value), 6) AS total FROM t JOIN pl ON pl.series = t.series AND i >= s0 AND i < s0 + w GROUP BY ALL',
+    "cycle_candidates": f"WITH RECURSIVE {CANDIDATES} SELECT series, k, round(freq, 9) AS freq, round(period_days, 9) AS period_days, round(power, 9) AS power, round(norm_power, 9) AS norm_power FROM ca",
+    "cycle_stability": f"""WITH RECURSIVE {MEASURED} SELECT series, CAST(s0 AS BIGINT) AS start, CAST(w AS INTEGER) AS n, CAST(d0 AS VARCHAR) AS start_date, CAST(d1 AS VARCHAR) AS mid_date, CAST(d2 AS VARCHAR) AS end_date, present, {_NUMBERS("period_days band_ratio snr amplitude phase lag fit")} FROM wm""",
+    "cycle_measures": f"""WITH RECURSIVE {EVALUATED} SELECT series, window_ratios, stable, CAST(place AS INTEGER) AS place, {_NUMBERS("freq period_days power norm_power presence_ratio band_ratio_median amp_median amp_p25 amp_min fit_median snr_median snr_p25 snr_global lag_median lag_iqr phase_locking_r margin_median stability_score rank_score rank_norm stability_norm")} FROM ev""",
+    "cycle_select": f"""WITH RECURSIVE {SELECTED} SELECT series, CAST(chosen AS INTEGER) AS chosen, CAST(rung AS INTEGER) AS rung, {_NUMBERS("period_days rank_norm presence_ratio phase_locking_r snr_median norm_power")} FROM s6""",
     "cycle_rank": f"""WITH {METRICS}, sc AS (SELECT series, k, 1.0 * {Z.format(c="snr")} + 0.5 * {Z.format(c="band_ratio")} AS rank_score FROM me WINDOW p AS (PARTITION BY series))
 SELECT series, k, round(CAST(rank_score AS DOUBLE), 6) AS rank_score, round(CAST(CASE WHEN max(rank_score) OVER q > min(rank_score) OVER q THEN (rank_score - min(rank_score) OVER q) / (max(rank_score) OVER q - min(rank_score) OVER q) ELSE 0 END AS DOUBLE), 6) AS rank_norm FROM sc WINDOW q AS (PARTITION BY series)""",
     "cycle_reconstruct": f"""WITH {SPECTRUM}, e AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY round(power, 9) DESC, k) AS place FROM d),

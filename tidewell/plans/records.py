@@ -325,17 +325,9 @@ def cycle_superposed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.superposed(rows.unionByName(rows.withColumn("value", F.col("value") * 2)), last), 4)
 
 
-def cycle_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stability measures of each series' twelve strongest peaks."""
-    signal = S.build_signal(weekly(spark, sf_dir))
-    best = S.cycle_table(_peaks(spark, sf_dir), "power", 12).select("series", "period_days")
-    measures = S.window_measures(S.windowed_by_length(signal, [104, 156], 52), best, 7.0, 21.0, 364.0)
-    return rounded(S.stability_measures(measures))
-
-
 QUERIES = {
     f.__name__: f
-    for f in (allow_list, live_after_limit, newest_since, missing_summaries, orphan_prune, mention_videos, status_counts, run_counters, conversation_text, symbol_sources, extractor_counts, legacy_flatten, result_accounting, retry_routes, name_lookup, config_lookup, name_search, ordered_paths, version_write, result_display, chunk_upsert, index_status, wait_budget, link_audit, top_processes, best_configurations, point_ids, source_ids, log_lines, summary_render, summary_faults, sse_fields, name_functions, markdown_functions, date_functions, cycle_table, cycle_sorted, cycle_matched, cycle_filled, cycle_cumulative, cycle_superposed, cycle_measures)
+    for f in (allow_list, live_after_limit, newest_since, missing_summaries, orphan_prune, mention_videos, status_counts, run_counters, conversation_text, symbol_sources, extractor_counts, legacy_flatten, result_accounting, retry_routes, name_lookup, config_lookup, name_search, ordered_paths, version_write, result_display, chunk_upsert, index_status, wait_budget, link_audit, top_processes, best_configurations, point_ids, source_ids, log_lines, summary_render, summary_faults, sse_fields, name_functions, markdown_functions, date_functions, cycle_table, cycle_sorted, cycle_matched, cycle_filled, cycle_cumulative, cycle_superposed)
 }
 
 _ORDERS = "o AS (SELECT o_custkey AS channel, o_orderkey AS video, o_orderdate AS published, o_orderstatus = 'F' AS live FROM orders)"

@@ -148,7 +148,7 @@ def test_mention_fixtures(spark):
 
 
 def test_candidates_over_the_tables(spark):
-    found = cycles.cycle_stability(spark, "/root/testdata/sf0.001").collect()
+    found = cycles.cycle_measures(spark, "/root/testdata/sf0.001").collect()
     assert found and all(0 <= r["presence_ratio"] <= 1 and 0 <= r["phase_locking_r"] <= 1 + 1e-9 for r in found)
 
 

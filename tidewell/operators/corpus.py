@@ -179,3 +179,31 @@ def skip_merge(mine: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
 def collisions(df: DataFrame, col: str, name: str) -> DataFrame:
     """Values that two different names share."""
     return df.groupBy(col).agg(F.array_sort(F.collect_set(name)).alias("names")).where(F.size("names") > 1)
+
+
+def cold_plan(entries: DataFrame, active: DataFrame, cold: DataFrame) -> DataFrame:
+    """What becomes of each ``video`` that is to go cold, blank ids left out:
+    ``move`` (active, not cold), ``replace`` (both), ``done`` (cold only) or
+    ``absent``."""
+    wanted = entries.select(F.trim("video").alias("video")).where("video <> ''").distinct()
+    here, there = active.select("video").distinct().withColumn("here", F.lit(True)), cold.select("video").distinct().withColumn("there", F.lit(True))
+    rows = wanted.join(here, "video", "left").join(there, "video", "left")
+    both = F.col("here").isNotNull() & F.col("there").isNotNull()
+    step = F.when(both, "replace").when(F.col("here").isNotNull(), "move").when(F.col("there").isNotNull(), "done").otherwise("absent")
+    return rows.select("video", step.alias("step"))
+
+
+def cold_counts(plan: DataFrame) -> DataFrame:
+    """One row: candidates, those that move (or would, in a dry run), those
+    that are cold already and those that are nowhere."""
+    n = lambda *steps: F.coalesce(F.sum(F.col("step").isin(*steps).cast("long")), F.lit(0))
+    return plan.agg(F.count("*").alias("old_candidates"), n("move", "replace").alias("cold_moved"), n("done").alias("already_cold"), n("absent").alias("absent"))
+
+
+def apply_cold(plan: DataFrame, active: DataFrame, cold: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``active`` and ``cold`` after the plan: moved rows take the place of
+    cold ones with their id. A plan of the result moves nothing more."""
+    moved = plan.where(F.col("step").isin("move", "replace")).select("video")
+    kept = cold.join(moved, "video", "left_anti").select(*cold.columns)
+    arrived = active.join(moved, "video", "left_semi").select(*cold.columns)
+    return active.join(moved, "video", "left_anti").select(*active.columns), kept.unionByName(arrived)

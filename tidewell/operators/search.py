@@ -194,17 +194,18 @@ def postings(chunks: DataFrame, id_col: str = "chunk_id", only: list[str] | None
     return rows.groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(index: DataFrame, queries: DataFrame, total: int, average: float) -> DataFrame:
+def bm25(index: DataFrame, queries: DataFrame, total: int, average: float, counts: DataFrame | None = None) -> DataFrame:
     """``query, id, score`` for ``queries`` (``query, term``), a bounded table.
 
     A text must hold all terms of a query. Lower scores are better, as in the
     engine whose formula this is; ``total`` and ``average`` are the number of
-    texts and their mean length.
+    texts and their mean length. ``counts`` (``term, n``) says how many texts
+    have a term, where ``index`` is only a part of the postings.
     """
     asked = queries.distinct()
     wanted = asked.groupBy("query").agg(F.count(F.lit(1)).alias("wanted"))
     held = index.join(F.broadcast(asked.select("term").distinct()), "term")  # a query set is small by contract
-    seen = held.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    seen = held.groupBy("term").agg(F.count(F.lit(1)).alias("n")) if counts is None else counts.join(asked.select("term").distinct(), "term")
     idf = F.greatest(F.ln((total - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(LEAST_IDF))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / average))
     rows = held.join(F.broadcast(seen), "term").join(F.broadcast(asked), "term")
@@ -223,3 +224,78 @@ def fuse(lists: DataFrame, k: int = FUSION_K) -> DataFrame:
     a list, at its best rank."""
     best = lists.groupBy("query", "list", "id").agg(F.min("rank").alias("rank"))
     return best.groupBy("query", "id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"))
+
+
+def write_postings(chunks: DataFrame, path: str) -> None:
+    """Stores the postings of ``chunks`` (``chunk_id, source, text``) in a
+    folder a source, by term, with the counts of all terms and the totals.
+
+    Ranges of (source, term, chunk) are dealt over the tasks, so neither a
+    large source nor a common term is one task's work, and a file holds few
+    terms: readers pass over the others by the files' statistics.
+    """
+    rows = chunks.select("chunk_id", "source", words(F.col("text")).alias("tokens"))
+    sized = rows.select(F.struct("chunk_id", "source").alias("of"), "tokens", F.size("tokens").alias("dl"))
+    counted = sized.select("of", "dl", F.explode("tokens").alias("term")).groupBy("term", "of", "dl").agg(F.count("*").alias("tf"))
+    placed = counted.select("term", "of.chunk_id", "of.source", "dl", "tf")
+    placed.repartitionByRange("source", "term", "chunk_id").sortWithinPartitions("source", "term").write.mode("overwrite").partitionBy("source").parquet(f"{path}/postings")
+    stored = chunks.sparkSession.read.parquet(f"{path}/postings")
+    stored.groupBy("term").agg(F.count("*").alias("n")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    rows.agg(F.count("*").alias("total"), F.avg(F.size("tokens").cast("double")).alias("average")).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def search_stored(path: str, queries: DataFrame, versions: DataFrame, source: str | None = None, snapshot: str | None = None, top_k: int = 10) -> DataFrame:
+    """``query, rank, score, chunk_id, source, snapshot, title`` from stored
+    postings: only the asked terms, and with ``source`` only its folder, are
+    read. ``queries`` is a stated set, a few words each.
+
+    A chunk appears with each of its ``versions`` (``chunk_id, source,
+    snapshot, title``) that the filters leave. The best ``max(50, 4 * top_k)``
+    of these rows (by BM25 over all sources' counts, chunk and snapshot) are
+    ranked; a chunk counts once, at its best place, and the first ``top_k`` by
+    reciprocal rank are returned with the newest version among the rows.
+    """
+    spark = queries.sparkSession
+    terms = [r[0] for r in queries.select("term").distinct().collect()]
+    index = spark.read.parquet(f"{path}/postings").where(F.col("term").isin(terms))
+    if source is not None:
+        index = index.where(F.col("source") == source)
+        versions = versions.where(F.col("source") == source)
+    if snapshot is not None:
+        versions = versions.where(F.col("snapshot") == snapshot)
+    counts = spark.read.parquet(f"{path}/terms").where(F.col("term").isin(terms))
+    total, average = spark.read.parquet(f"{path}/totals").first()
+    scores = bm25(index.select("term", F.col("chunk_id").alias("id"), "dl", "tf"), queries, total, average, counts)
+    scores = scores.withColumn("score", F.round("score", 9))
+    fanned = scores.join(versions.withColumnRenamed("chunk_id", "id"), "id")
+    place = F.row_number().over(Window.partitionBy("query").orderBy("score", "id", "snapshot"))
+    rows = fanned.withColumn("place", place).where(F.col("place") <= max(50, 4 * top_k))
+    newest = F.max_by(F.struct("source", "snapshot", "title"), F.col("snapshot")).alias("v")
+    best = rows.groupBy("query", "id").agg(F.min("place").alias("place"), newest).withColumn("score", 1.0 / (FUSION_K + F.col("place")))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= top_k).select("query", "rank", "score", F.col("id").alias("chunk_id"), "v.source", "v.snapshot", "v.title")
+
+
+def chunk_by_id(asked: DataFrame, chunks: DataFrame, versions: DataFrame) -> DataFrame:
+    """``chunks`` (``chunk_id, doc_id, ...``) asked for by ``chunk_id``, each
+    with the newest of its ``versions``; unknown ids have no row."""
+    newest = versions.groupBy("chunk_id").agg(F.max_by(F.struct("snapshot", "title"), F.col("snapshot")).alias("v"))
+    rows = chunks.join(asked.select("chunk_id").distinct(), "chunk_id")
+    return rows.join(newest, "chunk_id", "left").select(*chunks.columns, "v.snapshot", "v.title")
+
+
+def document_by_id(asked: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``documents`` asked for by ``doc_id``, each with its ``chunks`` in order
+    (``chunk_id, heading_path, idx``); a document without any has an empty list."""
+    parts = F.array_sort(F.collect_list(F.struct("idx", "chunk_id", "heading_path")))
+    wanted = asked.select("doc_id").distinct()
+    held = chunks.join(wanted, "doc_id").groupBy("doc_id").agg(parts.alias("parts"))
+    none = F.array().cast(held.schema["parts"].dataType)
+    return documents.join(wanted, "doc_id").join(held, "doc_id", "left").withColumn("parts", F.coalesce("parts", none))
+
+
+def snapshot_list(snapshots: DataFrame, source: str, limit: int) -> DataFrame:
+    """The last ``limit`` snapshots of a source, newest first, with ``place``."""
+    rows = snapshots.where(F.col("source") == source)
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("started"), F.desc("snapshot")))
+    return rows.withColumn("place", place).where(F.col("place") <= limit)

@@ -147,18 +147,42 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("n = 1").drop("n")
 
 
-def crawl(links: DataFrame, seeds: DataFrame, depth: int, allowed: Callable[[str], Column] | None = None, most: int | None = None) -> DataFrame:
+def robots_allowed(urls: DataFrame, rules: DataFrame, hosts: DataFrame, longest: bool = False) -> DataFrame:
+    """The rows of ``urls`` (``url``) that their host's robots rules permit.
+
+    ``rules`` (``host, seq, allow, prefix``): of those whose prefix begins the
+    path and query, the first by ``seq`` decides, or with ``longest`` the one
+    with the longest prefix (of equal ones an allowing one). An empty prefix
+    that disallows says nothing. Without a rule that fits, pages of ``hosts``
+    (``host``: their rules could be read) are permitted; all others are not.
+    """
+    host, path = F.lower(F.regexp_extract("url", "^[^:]+://([^/?#]*)", 1)), F.regexp_extract("url", "^[^:]+://[^/?#]*([^#]*)", 1)
+    rows = urls.select("url").distinct().select("url", host.alias("host"), F.when(path == "", "/").otherwise(path).alias("path"))
+    rows = rows.join(hosts.select(F.lower("host").alias("host")).distinct(), "host", "left_semi")
+    said = rules.where("allow OR prefix <> ''").select(F.lower("host").alias("host"), "seq", "allow", "prefix")
+    fits = rows.join(said, "host").where(F.col("path").startswith(F.col("prefix")))
+    first = F.struct(-F.length("prefix"), (~F.col("allow")).cast("int"), "seq") if longest else F.struct("seq")
+    ruled = fits.groupBy("url").agg(F.min_by("allow", first).alias("allow"))
+    permitted = rows.join(ruled, "url", "left").where("allow OR allow IS NULL").select("url")
+    return urls.join(permitted, "url", "left_semi")
+
+
+def crawl(links: DataFrame, seeds: DataFrame, depth: int, allowed: Callable[[str], Column] | None = None, most: int | None = None, permitted: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``url, depth`` of pages reached from ``seeds`` (``url``) over ``links``
     (``src, dst``) in at most ``depth`` steps, each at its first step; only
-    allowed targets. ``most`` keeps the first pages by (depth, url), as the
+    allowed targets, and of targets and seeds only what ``permitted`` leaves
+    (see ``robots_allowed``). ``most`` keeps the first pages by (depth, url), as the
     feature of a page cap. Each step is one join and is checkpointed."""
-    seen = seeds.select("url").distinct().withColumn("depth", F.lit(0))
+    seen = seeds.select("url").distinct()
+    seen = (seen if permitted is None else permitted(seen)).withColumn("depth", F.lit(0))
     frontier = seen
     for step in range(1, depth + 1):
         targets = links.join(frontier.select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url")).distinct()
         if allowed is not None:
             targets = targets.where(allowed("url"))
-        frontier = targets.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(step)).checkpoint()
+        fresh = targets.join(seen.select("url"), "url", "left_anti")
+        fresh = fresh if permitted is None else permitted(fresh)
+        frontier = fresh.withColumn("depth", F.lit(step)).checkpoint()
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)

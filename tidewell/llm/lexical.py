@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm._shared import read_table, shared_path, small, stored
+from tidewell.llm._shared import read_table, small, stored
 
 BEST = 50
 FIRST = 512
-STEP = 8
+STEP = 4
 BLOCK_BYTES = 16 << 20
 BUCKET = 4096
 #: Digits, A-Z as a-z and all bytes of other characters; the rest parts words.
@@ -108,14 +108,13 @@ def cut_tiers(found: DataFrame, total: int, first: int, step: int) -> tuple[Data
 
 
 def write_tiers(found: DataFrame, terms: DataFrame, tiers: int) -> DataFrame:
-    """The postings by tier and term; common terms go to many files, so a
-    reader of one tier, or of some terms, passes over the rest."""
+    """The postings of each shard of documents by tier and term, so a reader of
+    the first tiers passes over the rest of each file. As a document's postings
+    lie in one shard, its scores are summed there before they are shuffled."""
     bucket = F.expr(f"impact div {BUCKET}")
     tier = sum((F.when(bucket < F.col(f"cut_{k}"), 1).otherwise(0) for k in range(tiers - 1)), F.lit(0))
     placed = found.join(small(terms.select("t", *[f"cut_{k}" for k in range(tiers)])), "t").select(tier.alias("tier"), "t", "key", "impact")
-    spark, path = found.sparkSession, shared_path(found.sparkSession, "postings")
-    placed.repartitionByRange("tier", "t", "key").sortWithinPartitions("tier", "t", "key").write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(placed.schema).parquet(path)
+    return stored(placed.sortWithinPartitions("tier", "t", "key"), "postings")
 
 
 def exact_scores(pairs: DataFrame, forward: DataFrame, asked: DataFrame, total: int, length: int) -> DataFrame:

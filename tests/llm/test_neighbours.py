@@ -63,6 +63,17 @@ def test_odd_vectors(spark):
     assert {q: [x for x, _ in f] for q, f in found.items()} == {0: [1, 2, 200, 4, 5], 200: [0, 1, 2, 4, 5]}
 
 
+def test_tiny_and_huge_components(spark):
+    """Squares of these vanish or overflow in double precision."""
+    base = np.random.default_rng(2).standard_normal((60, 4))
+    sizes = np.array([1e-170, 1e170, 1.0, 5e-324 * 2**40])[np.arange(60) % 4]
+    rows = [(i, (x * s).tolist()) for i, (x, s) in enumerate(zip(base, sizes, strict=True))]
+    found = answers(neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda c: F.col(c) % 10 == 0))
+    plain = [(i, (np.array(v) / 2.0 ** np.floor(np.log2(np.abs(v).max()))).tolist()) for i, v in rows]
+    wanted = brute(plain, found)
+    assert len(found) == 6 and {q: [v for v, _ in f] for q, f in found.items()} == {q: [v for v, _ in w] for q, w in wanted.items()}
+
+
 def test_empty_table(spark):
     assert neighbours.nearest(empty(spark, SCHEMA), lambda c: F.col(c) % 50 == 0).count() == 0
 

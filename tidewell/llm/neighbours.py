@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm._shared import arrow_batches, read_table, stored
+from tidewell.llm._shared import arrow_batches, broadcast_blocks, read_table, stored
 from tidewell.llm._shared import small as small_table
 
 DEGREE = 48
@@ -43,12 +43,15 @@ def valid_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     """``vec_id, v`` (array of double) of vectors that take part: not null,
     all components finite, not zero; of rows that repeat an id, the one with
     the least vector; of other lengths than the most frequent (of equally
-    frequent ones the shortest), none."""
+    frequent ones the shortest), none. Each is scaled by a power of two, which
+    changes no cosine, so that squares neither vanish nor overflow."""
     v = F.col(vec_col).cast("array<double>")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL").where(fine)
     usual = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (usual["n"] if usual else 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
+    kept = rows.where(F.size("v") == (usual["n"] if usual else 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
+    scale = F.pow(F.lit(2.0), F.floor(F.log2(F.array_max(F.transform("v", F.abs)))))
+    return kept.withColumn("scale", scale).select("vec_id", F.transform("v", lambda x: x / F.col("scale")).alias("v"))
 
 
 def nodes_of(vectors: DataFrame, most: int) -> DataFrame:
@@ -403,9 +406,14 @@ def nearest(table: DataFrame, is_query: Callable[[str], object], k: int = 5, id_
     short = stored(queries.join(full, "query_id", "left_anti"), "short")
     if short.isEmpty():
         return answers
-    exact = first(small_table(short).crossJoin(nodes.select("members", "v")))
-    return answers.join(full, "query_id", "left_semi").unionByName(exact)
+    out = answers.join(full, "query_id", "left_semi")
+    for block in broadcast_blocks(short, "query_id"):  # the stated queries against all rows
+        out = out.unionByName(first(nodes.select("members", "v").join(block, F.lit(True))))
+    return out
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every fiftieth vector of ``embeddings``; null, zero
+    and non-finite vectors take no part, for repeats, ties and empty tables see
+    ``nearest``."""
     return nearest(read_table(spark, sf_dir, "embeddings"), lambda c: F.col(c) % 50 == 0)

@@ -3,6 +3,7 @@ import random
 import re
 
 from tests.compare import SMALL
+from tests.llm.hand_pages import NOISE, PAGES
 from tests.llm.helpers import empty
 from tidewell.llm import main_text
 
@@ -37,7 +38,7 @@ def test_labels_never_rise_along_a_path():
     model = main_text.train()
     for _ in range(30):
         dom = main_text.Dom(main_text.generated_page(rng))
-        states = main_text.decode_states(dom, model.margin(main_text.node_features(dom)))
+        states = main_text.decode_states(dom, model.trees.margin(main_text.node_features(dom, model.odds)))
         assert all(states[x.parent] <= s or states[x.parent] == 0 for x, s in zip(dom.nodes[1:], states[1:], strict=True))
 
 
@@ -107,6 +108,22 @@ def test_pages_that_look_unlike_the_table():
     assert main_text.extract(["<body><nav>" + PROSE * 9 + "</nav><footer>" + PROSE * 9 + "</footer></body>"], main_text.train()) == [""]
 
 
+def test_pages_by_hand():
+    """Usual themes and wrappers, short texts, scripts without spaces."""
+    found = main_text.extract([h for h, _ in PAGES.values()], main_text.train())
+    for name, text, (_, blocks) in zip(PAGES, found, PAGES.values(), strict=True):
+        assert bag_f1(text, "\n".join(blocks)) > 0.9, (name, text)
+        assert not any(x in text for x in NOISE), (name, text)
+
+
+def test_what_tokens_say():
+    """Noise words count against an element, unknown ones say nothing."""
+    odds = main_text.train().odds
+    say = lambda name: [odds[b] for b in main_text.token_buckets([name])]
+    assert max(say("cookie-notice")) < -1 and max(say("comments")) < -1 and max(say("content")) > 0.5 and max(say("has-sidebar")) > 0.5
+    assert sum(x != 0 for name in (f"qq{k}zz" for k in range(200)) for x in say(name)[:1]) < 10
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None, "kept", 1), (2, "u", "", "kept", 1), (2, "u", "", "kept", 1), (None, "u", "<p>unclosed <b>text", "kept", 1), (3, "u", "no markup at all", "kept", 1), (4, "u", "<article>" + "<div>" * 3000 + "<p>deep text here.</p>" + "</article>", "kept", 1), (5, "u", "<article><p>" + "long words. " * 100_000 + "</p></article>", "kept", 1)]
     found = main_text.extract_pages(spark.createDataFrame(rows, SCHEMA)).collect()

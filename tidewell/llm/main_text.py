@@ -1,9 +1,12 @@
 """Main text of web pages by boosted trees over DOM nodes.
 
 Each element gets features of its subtree (text, link and tag density), its
-attribute tokens, its depth and its siblings; gradient-boosted trees, trained
-here on generated pages with known main text, give the chance that the element
-is part of the article. Decoding is hierarchical: along each path elements are
+attribute tokens, its depth and its siblings. What a token (a class, an id, or
+a part of one) says is learned too: the log odds that an element which has it
+holds main text, in hashed buckets; of those around an element only the nearest
+with a known token counts. Gradient-boosted trees, trained here on generated
+pages with known main text, give the chance that the element is part of the
+article. Decoding is hierarchical: along each path elements are
 outside, then main, then excluded, in that order only, and the best labelling
 of the whole tree is found by dynamic programming, so no main text lies below
 an excluded element.
@@ -14,6 +17,7 @@ from __future__ import annotations
 import functools
 import random
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -35,27 +39,26 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SCOPE = frozenset("article aside body div footer form header html main nav section table td th ul ol".split())
 TAG_GROUPS = [("p",), ("h1", "h2", "h3", "h4", "h5", "h6"), ("li",), ("ul", "ol", "dl", "menu"), ("a",), ("article",), ("main",), ("div", "section"), ("nav",), ("header",), ("footer",), ("aside",), ("form", "fieldset", "label", "input"), ("table", "tr", "td", "th", "tbody"), ("blockquote", "pre", "figure", "figcaption"), ("html", "body")]
-WORD_GROUPS = [
-    ("article", "content", "main", "post", "entry", "story", "text", "body", "prose", "page"),
-    ("nav", "menu", "navbar", "navigation", "breadcrumb", "breadcrumbs", "topbar", "tabs", "pagination"),
-    ("header", "masthead", "banner", "hero", "site", "logo", "branding"),
-    ("footer", "copyright", "colophon", "legal", "bottom"),
-    ("sidebar", "side", "aside", "widget", "rail", "related", "recommended", "more", "complementary"),
-    ("ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "promoted"),
-    ("cookie", "cookies", "notice", "consent", "gdpr", "popup", "modal", "alert", "overlay", "dialog"),
-    ("comment", "comments", "reply", "replies", "disqus", "discussion", "responses", "respond"),
-    ("form", "search", "login", "signup", "subscribe", "newsletter", "contact", "register"),
-    ("share", "social", "sharing", "follow", "tags", "meta", "byline", "author", "tools"),
-]
-WORD_OF = {w: k for k, group in enumerate(WORD_GROUPS) for w in group}
 TAG_OF = {t: k for k, group in enumerate(TAG_GROUPS) for t in group}
-LANDMARKS = {"article": 0, "main": 0, "nav": 1, "header": 2, "footer": 3, "aside": 4, "form": 8}
-N_ABOVE = len(WORD_GROUPS) + 1  # word groups and, last, article elements among the ancestors
-N_FEATURES = len(TAG_GROUPS) + len(WORD_GROUPS) + N_ABOVE + 14
-PROSE = 40
+LANDMARKS = {"article": 0, "main": 0, "nav": 1, "header": 2, "footer": 3, "aside": 4, "form": 5}
+N_LANDMARKS = 6
+NOISE = frozenset("nav header footer aside".split())
+BUCKETS = 1 << 14  # of tokens
+N_FEATURES = len(TAG_GROUPS) + N_LANDMARKS + 22
 LIFTS = (1, 2, 3, 4, 6, 8, 12, 16, 24)
 TURN_COST = 2.0  # of leaving the outside, and of excluding part of the main text
 _TOKEN = re.compile(r"[a-z]+")
+_STOPS = re.compile("[.,。，、؟،।]")
+
+
+def token_buckets(names: list[str]) -> frozenset[int]:
+    """Buckets of whole names and of the words in them."""
+    return frozenset(_bucket(t) for n in names for t in (n, *_TOKEN.findall(n)))
+
+
+@functools.lru_cache(1 << 16)
+def _bucket(token: str) -> int:
+    return zlib.crc32(token.encode()) % BUCKETS
 
 
 @dataclass
@@ -63,8 +66,8 @@ class Node:
     tag: str
     parent: int
     depth: int
-    groups: frozenset[int]
-    above: frozenset[int] = frozenset()  # of the element and its ancestors
+    tokens: frozenset[int] = frozenset()  # buckets of attribute tokens
+    landmark: int = 0  # nearest element around it, or itself, of ``LANDMARKS``; 0: none
     main: bool = False  # of generated pages
     own: int = 0
     children: list[int] = field(default_factory=list)
@@ -75,7 +78,7 @@ class Dom(HTMLParser):
 
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.nodes = [Node("html", -1, 0, frozenset())]
+        self.nodes = [Node("html", -1, 0)]
         self.open = [0]
         self.runs: list[tuple[int, str]] = []  # (node, text), or (-1, "") for a break
         self.feed(html)
@@ -101,13 +104,10 @@ class Dom(HTMLParser):
             self._close_last({"p"}, SCOPE)
         if tag in CLOSES:
             self._close_last(CLOSES[tag], SCOPE - CLOSES[tag])
-        words = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "aria-label", "itemprop")).lower()
-        groups = frozenset(WORD_OF[w] for w in _TOKEN.findall(words) if w in WORD_OF) if words else frozenset()
+        names = [n for k, v in attrs if v and k in ("class", "id", "role", "aria-label", "itemprop") for n in v.lower().split()]
         at, parent = len(self.nodes), self.open[-1]
-        above = self.nodes[parent].above | groups
-        if tag in LANDMARKS:
-            above |= {LANDMARKS[tag] or len(WORD_GROUPS)}
-        self.nodes.append(Node(tag, parent, self.nodes[parent].depth + 1, groups, above, any(k == "data-main" for k, _ in attrs)))
+        landmark = at if tag in LANDMARKS else self.nodes[parent].landmark
+        self.nodes.append(Node(tag, parent, self.nodes[parent].depth + 1, token_buckets(names), landmark, any(k == "data-main" for k, _ in attrs)))
         self.nodes[parent].children.append(at)
         if tag not in INLINE:
             self.runs.append((-1, ""))
@@ -133,15 +133,15 @@ class Dom(HTMLParser):
         self.nodes[node].own += len(data.strip())
 
 
-def node_features(dom: Dom) -> np.ndarray:
-    """A row of numbers for each element."""
+def node_features(dom: Dom, odds: np.ndarray) -> np.ndarray:
+    """A row of numbers for each element; ``odds`` by token bucket."""
     nodes = dom.nodes
     n = len(nodes)
     own = np.array([0 if x.tag in UNSEEN else x.own for x in nodes], float)
     text, link, tags, paras, stops = own.copy(), np.zeros(n), np.ones(n), np.zeros(n), np.zeros(n)
     for node, run in dom.runs:
         if node >= 0 and nodes[node].tag not in UNSEEN:
-            stops[node] += run.count(".") + run.count(",")
+            stops[node] += len(_STOPS.findall(run))
     for k in range(n - 1, 0, -1):
         x = nodes[k]
         if x.tag == "a":
@@ -156,28 +156,53 @@ def node_features(dom: Dom) -> np.ndarray:
         stops[p] += stops[k]
     out = np.zeros((n, N_FEATURES), np.float32)
     total = max(text[0], 1.0)
-    t, w = len(TAG_GROUPS), len(WORD_GROUPS)
+    t = len(TAG_GROUPS)
     places = {c: i for x in nodes for i, c in enumerate(x.children)}
     alike = [Counter(nodes[c].tag for c in x.children) for x in nodes]
+    said = [[o for b in x.tokens if (o := odds[b])] for x in nodes]
+    named = [0] * n  # nearest element around with known tokens, 0: none
+    for k in range(1, n):
+        p = nodes[k].parent
+        named[k] = p if said[p] else named[p]
     for k, x in enumerate(nodes):
         row = out[k]
         if (g := TAG_OF.get(x.tag)) is not None:
             row[g] = 1
-        for g in x.groups:
-            row[t + g] = 1
         p = nodes[x.parent] if x.parent >= 0 else x
-        for g in p.above:
-            row[t + w + g] = 1
+        if p.landmark:
+            row[t + LANDMARKS[nodes[p.landmark].tag]] = 1
         size = len(p.children) or 1
         place = places.get(k, 0)
-        row[t + w + N_ABOVE :] = (
+        near = said[named[k]]
+        row[t + N_LANDMARKS :] = (
             x.depth, np.log1p(text[k]), text[k] / total, link[k] / max(text[k], 1.0), text[k] / tags[k], own[k] / max(text[k], 1.0),
             paras[k], stops[k] / max(text[k], 1.0), len(x.children), size, place / size, alike[max(x.parent, 0)][x.tag] / size,
             x.tag in UNSEEN, text[max(x.parent, 0)] / total,
+            min(said[k], default=0), max(said[k], default=0), sum(said[k]), min(near, default=0), max(near, default=0), sum(near),
+            text[named[k]] / total, text[p.landmark] / total,
         )
     return out
 
 
+def token_odds(doms: list[_Labelled], smooth: float = 4.0) -> np.ndarray:
+    """Log odds, against all elements with tokens, that an element with a
+    token of the bucket holds main text; 0 for buckets never seen."""
+    ones, seen = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    held, n = 0, 0
+    for dom in doms:
+        holds = dom.labels.copy()
+        for k in range(len(dom.nodes) - 1, 0, -1):
+            holds[dom.nodes[k].parent] |= holds[k]
+        for x, y in zip(dom.nodes, holds.tolist(), strict=True):
+            if x.tokens:
+                held, n = held + y, n + 1
+                at = list(x.tokens)
+                seen[at] += 1
+                ones[at] += y
+    share = (held + 1) / (n + 2)
+    return np.where(seen > 0, np.log((ones + smooth * share) / (seen - ones + smooth * (1 - share))) - np.log(share / (1 - share)), 0.0)
+
+
 class BoostedTrees:
     """Logistic gradient boosting with small trees over binned features."""
 
@@ -188,43 +213,48 @@ class BoostedTrees:
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
         edges = [np.unique(np.quantile(col, np.linspace(0, 1, self.bins + 1)[1:-1])) for col in x.T]
         binned = np.stack([np.searchsorted(e, col, "left") for e, col in zip(edges, x.T, strict=True)], 1)
+        cells = binned + np.arange(x.shape[1]) * self.bins
         self.base = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
         margin = np.full(len(y), self.base)
         for _ in range(self.n_trees):
             p = 1 / (1 + np.exp(-margin))
-            tree = self._grow(binned, edges, y - p, p * (1 - p))
+            tree = self._grow(binned, cells, edges, y - p, p * (1 - p))
             self.trees.append(tree)
             margin += self._walk(tree, x)
         return self
 
-    def _grow(self, binned: np.ndarray, edges: list[np.ndarray], grad: np.ndarray, hess: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _sums(self, cells: np.ndarray, at: np.ndarray, wide: int, weight: np.ndarray) -> np.ndarray:
+        """Sums of ``weight`` by node of the level, feature and bin, added up
+        over the bins."""
+        f = cells.shape[1]
+        flat = np.bincount((at[:, None] * (f * self.bins) + cells).ravel(), np.repeat(weight, f), wide * f * self.bins)
+        return np.cumsum(flat.reshape(wide, f, self.bins), axis=2)
+
+    def _grow(self, binned: np.ndarray, cells: np.ndarray, edges: list[np.ndarray], grad: np.ndarray, hess: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A tree as arrays, node k above 2k + 1 and 2k + 2. A node that no cut
+        improves passes all rows to the left, its value to both."""
         size = 2 ** (self.depth + 1) - 1
         feature, cut, value = np.zeros(size, int), np.full(size, np.inf), np.zeros(size)
-        rows = {0: np.arange(len(grad))}
-        for node in range(size):
-            at = rows.pop(node, None)
-            if at is None:
-                continue
-            g, h = grad[at].sum(), hess[at].sum()
-            value[node] = self.rate * g / (h + 1)
-            best = (1e-6, -1, 0)
-            if node < 2**self.depth - 1 and h > 2 * self.least:
-                for f, e in enumerate(edges):
-                    if len(e):
-                        gl = np.cumsum(np.bincount(binned[at, f], grad[at], len(e) + 1))[:-1]
-                        hl = np.cumsum(np.bincount(binned[at, f], hess[at], len(e) + 1))[:-1]
-                        gain = gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g**2 / (h + 1)
-                        gain[(hl < self.least) | (h - hl < self.least)] = 0
-                        k = int(gain.argmax())
-                        best = max(best, (float(gain[k]), f, k))
-            if best[1] < 0:  # a leaf: its value goes on to the last level
-                if node < 2**self.depth - 1:
-                    value[2 * node + 1] = value[2 * node + 2] = value[node]
-                    rows[2 * node + 1] = at
-                continue
-            feature[node], cut[node] = best[1], edges[best[1]][best[2]]
-            left = binned[at, best[1]] <= best[2]
-            rows[2 * node + 1], rows[2 * node + 2] = at[left], at[~left]
+        allowed = np.array([[k < len(e) for k in range(self.bins)] for e in edges])
+        at = np.zeros(len(grad), int)
+        for level in range(self.depth + 1):
+            first, wide = 2**level - 1, 2**level
+            g, h = np.bincount(at, grad, wide), np.bincount(at, hess, wide)
+            value[first : first + wide] = self.rate * g / (h + 1)
+            if level == self.depth:
+                break
+            gl, hl = self._sums(cells, at, wide, grad), self._sums(cells, at, wide, hess)
+            g, h = g[:, None, None], h[:, None, None]
+            gain = gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g**2 / (h + 1)
+            gain[~(allowed[None] & (hl >= self.least) & (h - hl >= self.least))] = 0
+            flat = gain.reshape(wide, -1)
+            best = flat.argmax(axis=1)
+            good = flat[np.arange(wide), best] > 1e-6
+            f, b = best // self.bins, best % self.bins
+            feature[first : first + wide] = np.where(good, f, 0)
+            cut[first : first + wide] = [edges[i][j] if ok else np.inf for i, j, ok in zip(f, b, good, strict=True)]
+            right = good[at] & (binned[np.arange(len(at)), f[at]] > b[at])
+            at = 2 * at + right
         return feature, cut, value
 
     def _walk(self, tree: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
@@ -280,24 +310,29 @@ def joined_text(dom: Dom, states: np.ndarray) -> str:
     return "\n".join(blocks)
 
 
-def prose_words(dom: Dom) -> int:
-    """Words outside links, unseen elements and whatever is marked, by its
-    name or by one around it, as something other than an article."""
-    fine = [x.tag not in UNSEEN and x.tag != "a" and x.above <= {0, len(WORD_GROUPS)} for x in dom.nodes]
+def unmarked(dom: Dom, odds: np.ndarray) -> np.ndarray:
+    """The elements whose text may be an article's where none is found: all
+    but links, unseen ones, noise by their tag or by the tokens nearest to
+    them, and what lies in any of these."""
+    fine = np.ones(len(dom.nodes), bool)
     for k, x in enumerate(dom.nodes[1:], 1):
-        fine[k] &= fine[x.parent]
-    return sum(len(run.split()) for node, run in dom.runs if node >= 0 and fine[node])
+        said = [o for b in x.tokens if (o := odds[b])]
+        fine[k] = fine[x.parent] and x.tag not in UNSEEN and x.tag != "a" and x.tag not in NOISE and not (said and max(said) < 0)
+    return fine
 
 
-def main_text(dom: Dom, margin: np.ndarray) -> str:
-    """The text of the likeliest labelling. A page with ``PROSE`` words or more
-    that nothing marks as other than an article has an article: if none is
-    found, all elements are held for likelier, step by step."""
+def main_text(dom: Dom, margin: np.ndarray, odds: np.ndarray) -> str:
+    """The text of the likeliest labelling. If it has none, though some text
+    stands in elements that nothing marks as other than an article, these are
+    held for likelier, step by step."""
     text = joined_text(dom, decode_states(dom, margin))
-    if text or prose_words(dom) < PROSE:
+    if text:
+        return text
+    fine = unmarked(dom, odds)
+    if not any(node >= 0 and fine[node] and run.strip() for node, run in dom.runs):
         return text
     for more in LIFTS:
-        if text := joined_text(dom, decode_states(dom, margin + more)):
+        if text := joined_text(dom, decode_states(dom, np.where(fine, margin + more, margin))):
             break
     return text
 
@@ -306,7 +341,12 @@ def generated_page(rng: random.Random) -> str:
     """A page by rule, its article marked ``data-main``; what the article must
     not contain is marked ``data-not``."""
 
+    eastern = rng.random() < 0.08
+
     def words(a: int, b: int) -> str:
+        if eastern:  # a script without spaces
+            made = "".join(chr(rng.randrange(0x4E00, 0x5E00)) + ("，" if rng.random() < 0.08 else "") for _ in range(2 * rng.randint(a, b)))
+            return made + rng.choice(["", "。"])
         made = ["".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(a, b))]
         for k in range(rng.randint(3, 9), len(made), rng.randint(6, 14)):
             made[k] += rng.choice(".,.,;")
@@ -321,6 +361,8 @@ def generated_page(rng: random.Random) -> str:
 
     def para() -> str:
         kind, body = rng.random(), words(2, 90)
+        if kind < 0.03:
+            return f"<p>{body} {rng.choice(['<svg/>', '<svg><path d=1></path></svg>', '<img src=i>'])} {words(2, 40)}</p>"
         if kind < 0.12:
             return f"<p><b>{words(2, 12)}<br>"
         if kind < 0.2:
@@ -377,9 +419,22 @@ def generated_page(rng: random.Random) -> str:
     after = [noise(k) for k in ("side", "comments", "form", "ad", "share", "nav") if rng.random() < 0.35] + [noise("footer")] * (rng.random() < 0.85)
     rng.shuffle(before)
     body = "".join(before) + (f"<main>{article}</main>" if rng.random() < 0.1 and tag == "article" else article) + "".join(after)
-    for _ in range(rng.choice([0, 0, 0, 1, 2])):
-        body = f"<div{attr('wrapper', 'container', 'page', 'site')}>{body}</div>"
-    return f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{words(2, 8)}</title><style>p{{margin:0}}</style><script>var a='</p>';</script></head><body>{body}</body></html>"
+    return f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{words(2, 8)}</title><style>p{{margin:0}}</style><script>var a='</p>';</script></head>{_wrapped(rng, body)}</html>"
+
+
+# Names of elements round a whole page, some of words that name noise elsewhere.
+WRAPPERS = "wrapper container page site wrap outer inner layout row main-wrapper site-content site-container content-wrapper has-sidebar with-sidebar right-sidebar sidebar-layout no-nav fixed-header header-fixed sticky-footer home contact single blog post-template".split()
+
+
+def _wrapped(rng: random.Random, body: str, mark: str = "") -> str:
+    """The body element of a page, with elements round all of it."""
+    for _ in range(rng.choice([0, 0, 0, 1, 1, 2, 3])):
+        names = " ".join(rng.sample(WRAPPERS, rng.choice([1, 1, 2])))
+        body = f"<div {rng.choice(['class', 'class', 'id'])}='{names}'>{body}</div>"
+    if rng.random() < 0.06:
+        body = f"<form id={rng.choice(['aspnetForm', 'form1'])} method=post>{body}</form>"
+    name = f" class='{' '.join(rng.sample(WRAPPERS, rng.choice([1, 2, 3])))}'" if rng.random() < 0.4 else ""
+    return f"<body{mark}{name}>{body}</body>"
 
 
 def _plain_page(rng: random.Random, article: str, noise: Callable[[str], str], words: Callable[[int, int], str]) -> str:
@@ -387,15 +442,17 @@ def _plain_page(rng: random.Random, article: str, noise: Callable[[str], str], w
     in nameless nested ``div`` elements, or in a cell of a layout table."""
     first = "".join(noise(k) for k in ("nav", "header", "notice") if rng.random() < 0.3)
     last = "".join(noise(k) for k in ("side", "comments", "footer") if rng.random() < 0.35)
-    article = article or f"<p>{words(30, 90)}</p>"
+    article = article or f"<p>{words(5, 90)}</p>"
     kind = rng.randrange(5)
     if kind == 4:  # no article at all
-        return f"<html><body>{noise('nav')}{first}{last}{noise('footer')}</body></html>"
+        return f"<html>{_wrapped(rng, noise('nav') + first + last + noise('footer'))}</html>"
     if kind == 0:
-        return f"<html><head><title>{words(1, 5)}</title></head><body data-main>{first}{article}{last}</body></html>"
+        name = f" class='{rng.choice(WRAPPERS)}'" if rng.random() < 0.4 else ""
+        return f"<html><head><title>{words(1, 5)}</title></head><body data-main{name}>{first}{article}{last}</body></html>"
     if kind == 1:
         depth = rng.randint(1, 4)
-        return f"<html><body>{first}{'<div>' * depth}<div data-main>{article}</div>{'</div>' * depth}{last}</body></html>"
+        name = f" class='{rng.choice(WRAPPERS)}'" if rng.random() < 0.4 else ""
+        return f"<html>{_wrapped(rng, first + '<div>' * depth + f'<div data-main{name}>{article}</div>' + '</div>' * depth + last)}</html>"
     if kind == 2:
         left = f"<td data-not width=120>{''.join(f'<a href=/{k}>{words(1, 2)}</a><br>' for k in range(rng.randint(3, 8)))}</td>"
         return f"<html><body>{first}<table border=0><tr>{left}<td data-main>{article}</td></tr></table>{last}</body></html>"
@@ -420,27 +477,37 @@ class _Labelled(Dom):
         super().handle_starttag(tag, attrs)
 
 
+@dataclass
+class Model:
+    """Trees over elements and the log odds of attribute tokens."""
+
+    trees: BoostedTrees
+    odds: np.ndarray
+
+
 @functools.lru_cache
-def train(pages: int = 700, seed: int = 11) -> BoostedTrees:
-    """Trees from ``pages`` generated pages (the bound on what is learned)."""
+def train(pages: int = 1000, seed: int = 11) -> Model:
+    """Model of ``pages`` generated pages (the bound on what is learned)."""
     rng = random.Random(seed)
     doms = [_Labelled(generated_page(rng)) for _ in range(pages)]
-    return BoostedTrees().fit(np.concatenate([node_features(d) for d in doms]), np.concatenate([d.labels for d in doms]).astype(float))
+    odds = token_odds(doms)
+    return Model(BoostedTrees().fit(np.concatenate([node_features(d, odds) for d in doms]), np.concatenate([d.labels for d in doms]).astype(float)), odds)
 
 
-def extract(htmls: list[str | None], model: BoostedTrees) -> list[str]:
+def extract(htmls: list[str | None], model: Model) -> list[str]:
     """Main texts; null and empty pages have an empty one."""
     doms = [Dom(h or "") for h in htmls]
-    rows = [node_features(d) for d in doms]
-    margin = model.margin(np.concatenate(rows)) if rows else np.zeros(0)
+    rows = [node_features(d, model.odds) for d in doms]
+    margin = model.trees.margin(np.concatenate(rows)) if rows else np.zeros(0)
     ends = np.cumsum([len(r) for r in rows])
-    return [main_text(d, margin[e - len(d.nodes) : e]) for d, e in zip(doms, ends, strict=True)]
+    return [main_text(d, margin[e - len(d.nodes) : e], model.odds) for d, e in zip(doms, ends, strict=True)]
 
 
-def extract_pages(pages: DataFrame, model: BoostedTrees | None = None) -> DataFrame:
+def extract_pages(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page, in rows as many as there
     are, repeated ones too; ids and urls may be null and pass through; null and
-    empty pages have an empty text; other columns are not read. The trees (some kB) go with the task."""
+    empty pages have an empty text; other columns are not read. The model (some
+    200 kB) goes with the task."""
     model = model or train()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -43,8 +43,8 @@ TAG_OF = {t: k for k, group in enumerate(TAG_GROUPS) for t in group}
 LANDMARKS = {"article": 0, "main": 0, "nav": 1, "header": 2, "footer": 3, "aside": 4, "form": 5}
 N_LANDMARKS = 6
 NOISE = frozenset("nav header footer aside".split())
-BUCKETS = 1 << 14  # of tokens
 N_FEATURES = len(TAG_GROUPS) + N_LANDMARKS + 22
+Odds = dict[int, float]  # by token bucket; those never seen say nothing
 LIFTS = (1, 2, 3, 4, 6, 8, 12, 16, 24)
 TURN_COST = 2.0  # of leaving the outside, and of excluding part of the main text
 _TOKEN = re.compile(r"[a-z]+")
@@ -58,7 +58,7 @@ def token_buckets(names: list[str]) -> frozenset[int]:
 
 @functools.lru_cache(1 << 16)
 def _bucket(token: str) -> int:
-    return zlib.crc32(token.encode()) % BUCKETS
+    return zlib.crc32(token.encode())
 
 
 @dataclass
@@ -133,7 +133,7 @@ class Dom(HTMLParser):
         self.nodes[node].own += len(data.strip())
 
 
-def node_features(dom: Dom, odds: np.ndarray) -> np.ndarray:
+def node_features(dom: Dom, odds: Odds) -> np.ndarray:
     """A row of numbers for each element; ``odds`` by token bucket."""
     nodes = dom.nodes
     n = len(nodes)
@@ -159,7 +159,7 @@ def node_features(dom: Dom, odds: np.ndarray) -> np.ndarray:
     t = len(TAG_GROUPS)
     places = {c: i for x in nodes for i, c in enumerate(x.children)}
     alike = [Counter(nodes[c].tag for c in x.children) for x in nodes]
-    said = [[o for b in x.tokens if (o := odds[b])] for x in nodes]
+    said = [[o for b in x.tokens if (o := odds.get(b))] for x in nodes]
     named = [0] * n  # nearest element around with known tokens, 0: none
     for k in range(1, n):
         p = nodes[k].parent
@@ -184,10 +184,11 @@ def node_features(dom: Dom, odds: np.ndarray) -> np.ndarray:
     return out
 
 
-def token_odds(doms: list[_Labelled], smooth: float = 4.0) -> np.ndarray:
+def token_odds(doms: list[_Labelled], smooth: float = 4.0) -> Odds:
     """Log odds, against all elements with tokens, that an element with a
-    token of the bucket holds main text; 0 for buckets never seen."""
-    ones, seen = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    token of the bucket holds main text."""
+    ones: Counter[int] = Counter()
+    seen: Counter[int] = Counter()
     held, n = 0, 0
     for dom in doms:
         holds = dom.labels.copy()
@@ -196,11 +197,11 @@ def token_odds(doms: list[_Labelled], smooth: float = 4.0) -> np.ndarray:
         for x, y in zip(dom.nodes, holds.tolist(), strict=True):
             if x.tokens:
                 held, n = held + y, n + 1
-                at = list(x.tokens)
-                seen[at] += 1
-                ones[at] += y
+                seen.update(x.tokens)
+                if y:
+                    ones.update(x.tokens)
     share = (held + 1) / (n + 2)
-    return np.where(seen > 0, np.log((ones + smooth * share) / (seen - ones + smooth * (1 - share))) - np.log(share / (1 - share)), 0.0)
+    return {b: float(np.log((ones[b] + smooth * share) / (c - ones[b] + smooth * (1 - share))) - np.log(share / (1 - share))) for b, c in seen.items()}
 
 
 class BoostedTrees:
@@ -310,18 +311,18 @@ def joined_text(dom: Dom, states: np.ndarray) -> str:
     return "\n".join(blocks)
 
 
-def unmarked(dom: Dom, odds: np.ndarray) -> np.ndarray:
+def unmarked(dom: Dom, odds: Odds) -> np.ndarray:
     """The elements whose text may be an article's where none is found: all
     but links, unseen ones, noise by their tag or by the tokens nearest to
     them, and what lies in any of these."""
     fine = np.ones(len(dom.nodes), bool)
     for k, x in enumerate(dom.nodes[1:], 1):
-        said = [o for b in x.tokens if (o := odds[b])]
+        said = [o for b in x.tokens if (o := odds.get(b))]
         fine[k] = fine[x.parent] and x.tag not in UNSEEN and x.tag != "a" and x.tag not in NOISE and not (said and max(said) < 0)
     return fine
 
 
-def main_text(dom: Dom, margin: np.ndarray, odds: np.ndarray) -> str:
+def main_text(dom: Dom, margin: np.ndarray, odds: Odds) -> str:
     """The text of the likeliest labelling. If it has none, though some text
     stands in elements that nothing marks as other than an article, these are
     held for likelier, step by step."""
@@ -482,7 +483,7 @@ class Model:
     """Trees over elements and the log odds of attribute tokens."""
 
     trees: BoostedTrees
-    odds: np.ndarray
+    odds: Odds
 
 
 @functools.lru_cache
@@ -507,7 +508,7 @@ def extract_pages(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page, in rows as many as there
     are, repeated ones too; ids and urls may be null and pass through; null and
     empty pages have an empty text; other columns are not read. The model (some
-    200 kB) goes with the task."""
+    kB) goes with the task."""
     model = model or train()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

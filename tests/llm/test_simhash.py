@@ -192,6 +192,43 @@ def test_links_grow_with_the_texts_not_with_their_pairs(spark):
     assert rows[4000] <= 16 * rows[500]
 
 
+def test_classes_and_cells_equal_brute_force(spark, monkeypatch):
+    """Several families of near copies that hang together by their bits, few
+    leaders a round and small parts: every branch of the classes."""
+    monkeypatch.setattr(simhash, "CELL_SETS", 7)
+    for leaders in (1, 3):
+        monkeypatch.setattr(simhash, "LEADERS", leaders)
+        base, texts = words(150), []
+        for k in range(5):
+            own = base[: 150 - 3 * k] + words(3 * k)
+            texts += [changed(" ".join(own), RNG.randrange(1, 5)) for _ in range(25)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        label = np.arange(len(texts))
+        pairs = [(j, i) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+        label = simhash._unite(label, *(np.array(x, int) for x in zip(*pairs, strict=True)))
+        found = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(docs, hot=64, radius=64).collect()}
+        groups = lambda labels: sorted(sorted(k for k in range(len(texts)) if labels[k] == x) for x in {labels[k] for k in range(len(texts))})
+        assert groups(found) == groups(label)
+
+
+def test_sets_of_one_large_class_travel_few_times(spark):
+    """Near copies of one text: what is dealt grows with them, not with their
+    square (cells of two parts each would deal every set 20 times at the end)."""
+    base, dealt = words(120), {}
+    for n in (5_000, 20_000):
+        rows = []
+        for k in range(n):
+            parts = list(base)
+            parts[RNG.randrange(120)] = f"y{k}"
+            rows.append((1, k, np.sort(simhash.shingle_hashes(" ".join(parts), 5).view(np.int64)).tolist(), -(-n // 1024)))
+        sets = simhash.stored(spark.createDataFrame(rows, "cluster long, node long, shingles array<long>, parts long"), "t")
+        classes = simhash.stored(simhash.join_leaders(sets, 0.8), "t")
+        assert classes.count() == n
+        dealt[n] = simhash.class_cells(sets, classes, 0.8).count()
+        assert dealt[n] <= 3 * n
+    assert dealt[20_000] <= 5 * max(dealt[5_000], 5_000)
+
+
 def test_near_duplicates_with_clashing_names(spark):
     plain, odd = (sorted(map(str, simhash.near_duplicates(d).collect())) for d in (odd_documents(spark), clashing(odd_documents(spark))))
     assert plain == odd

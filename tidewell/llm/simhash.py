@@ -19,15 +19,17 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm._shared import cut, read_table, stored
+from tidewell.llm._shared import cut, read_table, small, stored
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 HOT = 4096
 HOT_TEXTS = 8192  # sets compared in one task by fingerprint
 CELL_SHINGLES = 1 << 20  # in each of the two parts that a task compares exactly
+CELL_SETS = 1024  # in each of these parts
+LEADERS = 16  # of a cluster, asked in one round
 PAIRS = list(combinations(range(4), 2))
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 BAND = 4
@@ -421,10 +423,10 @@ def band_groups(nodes: DataFrame, hot: int = HOT_TEXTS) -> DataFrame:
 
 
 def candidate_clusters(nodes: DataFrame, radius: int, hot: int = HOT_TEXTS, most: int = CELL_SHINGLES) -> DataFrame:
-    """``cluster, cell, node``: sets that agree in a key and hang together by
+    """``cluster, node, parts``: sets that agree in a key and hang together by
     fingerprints within ``radius`` bits. Of clusters with the same members one
-    is left. A cluster with over ``most`` shingles, or an eighth of ``hot``
-    sets, is cut into cells, so that a task holds few sets at once."""
+    is left. ``parts`` says into how many parts the cluster is to be cut, so
+    that none has much over ``most`` shingles or an eighth of ``hot`` sets."""
     found = (
         band_groups(nodes, hot)
         .repartition("band", "key", "cell")
@@ -436,26 +438,155 @@ def candidate_clusters(nodes: DataFrame, radius: int, hot: int = HOT_TEXTS, most
     each = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"), *marks)
     one = each.groupBy("n", "shingles", "mark1", "mark2").agg(F.min("cluster").alias("cluster"))
     parts = F.greatest(F.ceil(F.col("shingles") / most), F.ceil(F.col("n") * 8 / hot)).cast("long")
-    rows = found.join(one.select("cluster", parts.alias("parts")), "cluster")
-    return rows.select("cluster", F.explode(_cells(F.col("parts"), F.col("node"))).alias("cell"), "node")
+    return found.join(one.select("cluster", parts.alias("parts")), "cluster").select("cluster", "node", "parts")
+
+
+def _joining(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """``cluster, node, leader``: of the sorted groups ``cluster, part`` each
+    row's first leader (by ``place``, null for other rows) that is alike, or
+    none. Leaders come first in their group."""
+    for table, group in _whole_groups(batches, 2):
+        cluster, node = (table.column(k).to_numpy() for k in ("cluster", "node"))
+        place = table.column("place").to_pylist()
+        sets = table.column("shingles").combine_chunks()
+        values, sizes = sets.flatten().to_numpy(), sets.value_lengths().to_numpy().astype(np.int64)
+        begin = np.concatenate([[0], np.cumsum(sizes)])
+        starts = np.append(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])), len(group)).tolist()
+        leader: list[int | None] = [None] * len(node)
+        for first, last in zip(starts[:-1], starts[1:], strict=True):
+            asked = np.arange(first, last)
+            for k in range(first, last):
+                if place[k] is None or not len(asked):
+                    break
+                own = values[begin[k] : begin[k + 1]]
+                spans = np.arange(sizes[asked].sum()) + np.repeat(begin[asked] - np.cumsum(sizes[asked]) + sizes[asked], sizes[asked])
+                at = np.minimum(np.searchsorted(own, values[spans]), len(own) - 1)
+                owner = np.repeat(np.arange(len(asked)), sizes[asked])
+                common = np.bincount(owner, own[at] == values[spans], len(asked))
+                alike = common / (len(own) + sizes[asked] - common) >= similarity
+                for row in asked[alike].tolist():
+                    leader[row] = int(node[k])
+                asked = asked[~alike]
+        mine = [k for k in range(len(node)) if place[k] is None]
+        yield pa.RecordBatch.from_arrays([pa.array(cluster[mine], pa.int64()), pa.array(node[mine], pa.int64()), pa.array([leader[k] for k in mine], pa.int64())], names=["cluster", "node", "leader"])
+
+
+def join_leaders(sets: DataFrame, similarity: float) -> DataFrame:
+    """``cluster, node, leader`` of all rows of ``sets`` (``cluster, node,
+    shingles, parts``): a class of each cluster are the sets that are alike to
+    one leader.
+
+    Each round every set without a class meets ``LEADERS`` of those, chosen by
+    a hash, and joins the first that it is alike to; a leader at least joins
+    itself or an earlier one. Sets travel once a round, leaders once a part.
+    Rounds end when a tenth or less of the asked found a class; the rest have
+    none (null).
+    """
+    classes, rest = None, sets
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    asked = rest.count()
+    while asked:
+        turn = F.row_number().over(Window.partitionBy("cluster").orderBy(F.xxhash64("node", F.lit(asked)), "node"))
+        leaders = rest.withColumn("place", turn).where(F.col("place") <= LEADERS)
+        leaders = leaders.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "place", "node", "shingles")
+        both = leaders.unionByName(rest.select("cluster", part.alias("part"), F.lit(None).cast("int").alias("place"), "node", "shingles"))
+        met = both.repartition("cluster", "part").sortWithinPartitions("cluster", "part", F.asc_nulls_last("place"), "node")
+        met = stored(met.mapInArrow(lambda batches: _joining(batches, similarity), "cluster long, node long, leader long"), "classes")
+        new = met.where("leader IS NOT NULL")
+        classes = new if classes is None else classes.unionByName(new)
+        left = met.where("leader IS NULL").select("cluster", "node")
+        before, asked = asked, left.count()
+        if before - asked <= before / 10:
+            return classes.unionByName(met.where("leader IS NULL"))
+        rest = sets.join(left, ["cluster", "node"])
+    return classes if classes is not None else sets.select("cluster", "node", F.lit(None).cast("long").alias("leader"))
+
+
+def _near_leaders(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """``cluster, a, b``: pairs of a cluster's leaders, a before b, whose
+    classes may hold alike sets: by the triangle inequality of the Jaccard
+    distance, leaders no farther apart than three times the greatest distance."""
+    least = 1 - 3 * (1 - similarity) - 1e-9
+    for table, group in _whole_groups(batches, 1):
+        cluster, node = (table.column(k).to_numpy() for k in ("cluster", "node"))
+        sets = [np.asarray(x) for x in table.column("shingles").to_pylist()]
+        found = []
+        for b in range(len(node)):
+            for a in range(b - 1, -1, -1):
+                if group[a] != group[b]:
+                    break
+                common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if common / (len(sets[a]) + len(sets[b]) - common) >= least:
+                    found.append((cluster[a], *sorted((int(node[a]), int(node[b])))))
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], names=["cluster", "a", "b"])
+
+
+def class_cells(sets: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """``cluster, cell, node``: where the sets of large clusters still meet.
+
+    Sets of one class hang together by their leader and need not meet. Parts of
+    two classes meet if their leaders are near enough; the sets without a class
+    meet all classes and each other. So with one class that holds nearly all,
+    its sets travel once for each part of the few others.
+    """
+    rows = classes.select("cluster", "node", F.coalesce("leader", F.lit(0).cast("long")).alias("leader"), F.col("leader").isNull().alias("lone"))
+    held = rows.join(sets.select("cluster", "node", F.size("shingles").alias("size")), ["cluster", "node"])
+    kinds = held.groupBy("cluster", "leader", "lone").agg(F.greatest(F.ceil(F.count("*") / CELL_SETS), F.ceil(F.sum("size") / CELL_SHINGLES)).cast("long").alias("parts"))
+    kinds = stored(kinds, "class-parts")
+    heads = sets.join(kinds.where("NOT lone").select("cluster", F.col("leader").alias("node")), ["cluster", "node"]).select("cluster", "node", "shingles")
+    near = heads.repartition("cluster").sortWithinPartitions("cluster", "node").mapInArrow(lambda batches: _near_leaders(batches, similarity), "cluster long, a long, b long")
+    near = near.select("cluster", "a", F.lit(False).alias("a_lone"), "b", F.lit(False).alias("b_lone"))
+    lone = kinds.where("lone").select("cluster")
+    with_lone = kinds.join(lone, "cluster").select("cluster", F.lit(0).cast("long").alias("a"), F.lit(True).alias("a_lone"), F.col("leader").alias("b"), F.col("lone").alias("b_lone"))
+    pairs = near.unionByName(with_lone)
+    # Either side of a pair goes to all parts of the other side.
+    sides = []
+    for x, y, first in (("a", "b", True), ("b", "a", False)):
+        other = kinds.select("cluster", F.col("leader").alias(y), F.col("lone").alias(f"{y}_lone"), F.col("parts").alias("others"))
+        own = kinds.select("cluster", F.col("leader").alias(x), F.col("lone").alias(f"{x}_lone"), "parts")
+        sides.append(pairs.join(other, ["cluster", y, f"{y}_lone"]).join(own, ["cluster", x, f"{x}_lone"]).select("cluster", F.col(x).alias("leader"), F.col(f"{x}_lone").alias("lone"), "a", "a_lone", "b", "b_lone", "parts", "others", F.lit(first).alias("first")))
+    dealt = rows.join(small(stored(sides[0].unionByName(sides[1]), "class-pairs")), ["cluster", "leader", "lone"])
+    mine = F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts"))
+    dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
+    within = F.col("a_lone") & F.col("b_lone")  # parts of one kind: the smaller number first
+    i = F.when(within, F.least("mine", "other")).when(F.col("first"), F.col("mine")).otherwise(F.col("other"))
+    j = F.when(within, F.greatest("mine", "other")).when(F.col("first"), F.col("other")).otherwise(F.col("mine"))
+    return dealt.select("cluster", F.xxhash64("a", "a_lone", "b", "b_lone", i, j).alias("cell"), "node").distinct()
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float, radius: int, hot: int = HOT_TEXTS, most: int = CELL_SHINGLES) -> DataFrame:
     """``a, b``: links that connect all candidates whose whole shingle sets
-    are alike, a spanning forest for each cell. A set is made again from one
-    row of its texts, so copies of a text don't travel."""
+    are alike: a spanning forest for each cluster or cell, and in clusters of
+    several parts each set with its class's leader. A set is made again from
+    one row of its texts, so copies of a text don't travel."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([shingle_hashes(t, words).astype(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
+            found = pa.array([shingle_hashes(t, words).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["node", "shingles"])
 
     members = stored(candidate_clusters(nodes, radius, hot, most), "members")
-    wanted = members.select("node").distinct().join(nodes, "node").select("node", F.col("one.doc_id").alias("one_id"), F.col("one.text_hash").alias("one_hash"))
-    on = texts["doc_id"].eqNullSafe(wanted["one_id"]) & (texts["text_hash"] == wanted["one_hash"])
-    chosen = texts.join(wanted, on).select("node", "text").mapInArrow(sets, "node long, shingles array<long>")
-    rows = members.join(chosen.dropDuplicates(["node"]), "node").select("cluster", "cell", "node", "shingles")
-    return rows.repartition("cluster", "cell").sortWithinPartitions("cluster", "cell").mapInArrow(lambda batches: _alike(batches, similarity), "a long, b long")
+
+    def whole(rows: DataFrame) -> DataFrame:
+        wanted = rows.select("node").distinct().join(nodes, "node").select("node", F.col("one.doc_id").alias("one_id"), F.col("one.text_hash").alias("one_hash"))
+        on = texts["doc_id"].eqNullSafe(wanted["one_id"]) & (texts["text_hash"] == wanted["one_hash"])
+        chosen = texts.join(wanted, on).select("node", "text").mapInArrow(sets, "node long, shingles array<long>")
+        return rows.join(chosen.dropDuplicates(["node"]), "node")
+
+    def linked(cells: DataFrame) -> DataFrame:
+        return cells.repartition("cluster", "cell").sortWithinPartitions("cluster", "cell").mapInArrow(lambda batches: _alike(batches, similarity), "a long, b long")
+
+    one_part = whole(members.where("parts = 1")).select("cluster", F.lit(0).cast("long").alias("cell"), "node", "shingles")
+    links = linked(one_part)
+    large = members.where("parts > 1")
+    if large.isEmpty():
+        return links
+    # Sets are sorted as signed numbers from here on.
+    held = stored(whole(large).select("cluster", "node", "parts", F.array_sort("shingles").alias("shingles")), "large-sets")
+    classes = stored(join_leaders(held, similarity), "joined")
+    links = links.unionByName(classes.where("leader IS NOT NULL AND leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    cells = class_cells(held, classes, similarity).join(held.select("cluster", "node", "shingles"), ["cluster", "node"])
+    return links.unionByName(linked(cells.select("cluster", "cell", "node", "shingles")))
 
 
 def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 16, radius: int = 24, hot: int = HOT_TEXTS, most: int = CELL_SHINGLES) -> DataFrame:
@@ -514,5 +645,7 @@ def keep_representatives(docs: DataFrame, words: int = 5, similarity: float = 0.
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all of ``documents``; for nulls, empty
+    texts, repeats, ties and empty tables see ``near_duplicates``."""
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,8 +1,10 @@
-import __spark_entry__
-import corpus_pipeline
+import zlib
+
 import duckdb
 import pytest
 
+import __spark_entry__
+import corpus_pipeline
 from tests.compare import connection, sorted_rows
 from tests.llm.helpers import clashing, empty, odd_documents
 from tidewell.llm import line_chunks, mixing
@@ -35,7 +37,7 @@ def test_decisions_take_effect(stages):
 def test_clean_documents_stay(spark, stages):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
     kept = {r["doc_id"] for r in stages["toxicity"].select("doc_id").collect()}
-    clean = [d for d, t in labels.items() if t == 0]
+    clean = [d for d, t in labels.items() if t == 0 and zlib.crc32(str(d).encode()) % 4 == 2]  # not learned from
     assert sum(d in kept for d in clean) >= 0.95 * len(clean)
 
 

@@ -26,7 +26,9 @@ def test_held_out_rows_are_told_apart(spark):
     held = [d for d in labels if d in found and found[d]["held_out"]]
     y = np.array([labels[d] for d in held])
     assert auc(np.array([found[d]["score"] for d in held]), y) > 0.95
-    assert np.mean(np.array([found[d]["predicted"] for d in held]) == y) > 0.95
+    wrong = np.array([found[d]["predicted"] for d in held]) != y
+    print(f"{len(held)} held-out labels, wrong {wrong.mean():.4f}, false alarms {(wrong & (y == 0)).sum()}, missed {(wrong & (y == 1)).sum()}")
+    assert wrong.mean() < 0.025
 
 
 def test_held_out_labels_are_not_learned(spark):
@@ -87,7 +89,7 @@ def test_query_equals_brute_force(spark):
     for w in random.Random(2).sample(sorted(index.terms), 300):
         n, n1 = (sum(w in words[d] for d in known if known[d] or not one) for one in (False, True))
         gain = entropy(ones, total) - n / total * entropy(n1, n) - (total - n) / total * entropy(ones - n1, total - n)
-        assert math.isclose(index.weight[index.terms[w]], math.log((1 + total) / (1 + n)) * math.sqrt(max(gain, 0)), rel_tol=1e-6, abs_tol=1e-7)
+        assert math.isclose(index.weight[index.terms[w]], math.log((1 + total) / (1 + n)) * max(gain, 0) ** 2, rel_tol=1e-6, abs_tol=1e-9)
     examples = plain_vectors(index, [texts[d] for d in index.ids.tolist()])
 
     def vote(rows, sims):

@@ -1,15 +1,19 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 A bounded sample of labelled rows is the example set. Every word of it is a
-term; its weight in a text is (1 + log tf) * idf * sqrt(information gain), idf
-and gain taken from the examples, so that words which say nothing about the
-label don't decide what is near. (By plain idf, 6.7 % of held-out labels of the
-0.1 GB table are wrong at the best threshold; with the gain 0.1 %.) The
-inverted index holds, for each term and block of examples, the postings and
+term; its weight in a text is (1 + log tf) * idf * gain ** GAIN_POWER, idf and
+information gain taken from the examples, so that words which say nothing about
+the label don't decide what is near. The factor of the gain departs from plain
+TF-IDF. It was chosen on the learning rows alone, by three folds of 2,990 rows
+of 300 words each: of the labels of the fold left out, the best threshold gets
+5.8 % wrong by plain idf, 3.7 % with the root of the gain, 2.1 % with the gain
+and 1.8 % with its square. A word that no example holds has no gain, so its
+weight is zero in the norm too. The inverted index holds, for each term and block of examples, the postings and
 their greatest weight; the weights of words that very many examples hold stand
 side by side for all of them. Blocks are visited by their bound, so the nearest
 examples are exact; distance-weighted votes, calibrated by folds, each
-judged by weights and examples of the others, are the score, and the nearest examples are its evidence.
+judged by weights and examples of the others, are the score, and the nearest
+examples are its evidence.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ NEAREST = 15
 LEADING = 4  # blocks that are searched first
 BLOCK = 64
 THRESHOLD = 0.3
+GAIN_POWER = 2
 _WORD = re.compile(r"[^\W\d_]+")
 
 Vector = tuple[np.ndarray, np.ndarray]  # term numbers and weights, of length one (or no terms)
@@ -56,11 +61,11 @@ def _entropy(p: np.ndarray) -> np.ndarray:
 
 
 def term_weights(n: np.ndarray, n1: np.ndarray, total: int, ones: float) -> np.ndarray:
-    """idf * sqrt(information gain) of terms in ``n`` of ``total`` examples,
+    """idf * gain ** GAIN_POWER of terms in ``n`` of ``total`` examples,
     ``n1`` of them with label 1 (of ``ones`` in all)."""
     rest = np.maximum(total - n, 1)
     gain = _entropy(np.array(ones / total)) - n / total * _entropy(n1 / n) - (total - n) / total * _entropy((ones - n1) / rest)
-    return np.log((1 + total) / (1 + n)) * np.sqrt(np.maximum(gain, 0))
+    return np.log((1 + total) / (1 + n)) * np.maximum(gain, 0) ** GAIN_POWER
 
 
 @dataclass
@@ -83,8 +88,8 @@ class Index:
     chances: np.ndarray = field(default=None)  # ... to share of label 1
 
     def vector(self, counts: Counter[str]) -> Vector:
-        """Unit vector of a text's words; words that no example holds have no
-        weight anywhere and are left out."""
+        """Unit vector of a whole text's words; words that no example holds have
+        weight zero."""
         known = [(t, n) for w, n in counts.items() if (t := self.terms.get(w)) is not None]
         if not known:
             return np.zeros(0, np.int64), np.zeros(0)

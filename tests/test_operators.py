@@ -134,6 +134,39 @@ def test_start_and_end_pairs(spark):
     assert rows(M.pair_starts(log), "log", "start") == [(1, 1.0, 4.0), (1, 5.0, 6.0), (1, 7.0, None), (2, 3.0, 3.0)]
 
 
+def test_pairs_equal_plain_matching(spark):
+    """Many logs with ties, ends without a start and starts without an end."""
+    rng = np.random.default_rng(6)
+    lines = [(int(log), float(rng.integers(0, 25)), str(rng.choice(["start", "end", "end"]))) for log in range(40) for _ in range(rng.integers(0, 20))]
+    wanted = []
+    for log in range(40):
+        starts, ends = (sorted(t for g, t, k in lines if g == log and k == kind) for kind in ("start", "end"))
+        for s in starts:
+            end = next((e for e in ends if e >= s), None)
+            if end is not None:
+                ends = ends[ends.index(end) + 1 :]
+            wanted.append((log, s, end))
+    found = [tuple(r) for r in M.pair_starts(spark.createDataFrame([*lines, (1, 3.0, None)], "log long, ts double, kind string")).collect()]
+    assert sorted(found, key=repr) == sorted(wanted, key=repr)
+
+
+def test_waves_go_on_beyond_the_end(spark, signal):
+    made = S.build_signal(signal, "levels", taper=False)
+    bins = S.periodogram(made)
+    ahead = S.extended(made, 1.0, 30.5).withColumnRenamed("i", "j").withColumnRenamed("j", "i")
+    n = made.count()
+    found = S.reconstruct(bins.select("series", "k", "n", "re", "im").where(F.col("k") * 2 < F.col("n")), ahead).orderBy("i").collect()
+    assert len(found) == n + 31 and sum(r["projection"] for r in found) == 31
+    assert (found[-1]["ts"] - found[n - 1]["ts"]).days == 31 and found[n]["value"] == pytest.approx(found[0]["value"])
+    assert S.extended(made, 1.0, 0).count() == n
+
+
+def test_dates_come_from_the_last_row_of_the_index(spark):
+    index = spark.createDataFrame([("v", "2024-01-01", 1), ("v", None, 2), ("w", None, 1), ("w", "2024-02-02", 5)], "video string, published string, seq int")
+    found = C.with_dates(spark.createDataFrame([("v",), ("w",), ("x",)], "video string"), index)
+    assert rows(found, "video") == [("v", None), ("w", "2024-02-02"), ("x", None)]
+
+
 def test_breaches_skip_missing_readings(spark):
     made = spark.createDataFrame([(1, k, k, v) for k, v in enumerate([9.0, 9.0, None, 9.0, 9.0, 1.0, 9.0])], "host long, ts long, seq long, value double")
     found = rows(M.breach_runs(made, "value", 5.0, 3).select("ts", "consecutive", "fired"), "ts")

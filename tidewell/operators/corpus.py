@@ -85,6 +85,14 @@ def recent_windows(mentions: DataFrame, now: Column, key: str = "symbol") -> Dat
     return rows.withColumn("days_since", F.datediff(now, F.col("last_date"))).withColumn("stale", F.col("days_since") > 90)
 
 
+def with_dates(mentions: DataFrame, index: DataFrame) -> DataFrame:
+    """``mentions`` with ``published`` from ``index`` (``video, published,
+    seq``): of a video's rows the last counts, dated or not; mentions of videos
+    without a row have no date."""
+    last = index.groupBy("video").agg(F.max_by(F.struct("published"), "seq").alias("last"))
+    return mentions.drop("published").join(last, "video", "left").withColumn("published", F.col("last.published")).drop("last")
+
+
 def quality_breakdown(videos: DataFrame, grades: DataFrame) -> DataFrame:
     """Distinct videos of a channel by grade; none is ``unknown``."""
     rows = videos.select("channel", "video").distinct().join(grades, ["video"], "left")
@@ -145,10 +153,11 @@ def upload_plan(files: DataFrame, known: DataFrame) -> DataFrame:
     """``upload`` for files whose content and name are both new to ``known``
     (``sha256, name``); of equal contents the first name goes, others and
     known ones ``skip``."""
-    first = F.row_number().over(Window.partitionBy("sha256").orderBy("name"))
-    rows = files.withColumn("n", first)
+    first = files.groupBy("sha256").agg(F.min("name").alias("first"))
+    place = F.row_number().over(Window.partitionBy("sha256", "name").orderBy("name"))  # of rows with the same name and content
+    rows = files.join(first, "sha256").withColumn("again", (F.col("name") != F.col("first")) | (place > 1))
     rows = rows.join(known.select("sha256", F.lit(1).alias("a")).distinct(), "sha256", "left").join(known.select("name", F.lit(1).alias("b")).distinct(), "name", "left")
-    return rows.select("name", "sha256", F.when((F.col("n") > 1) | F.col("a").isNotNull() | F.col("b").isNotNull(), "skip").otherwise("upload").alias("action"))
+    return rows.select("name", "sha256", F.when(F.col("again") | F.col("a").isNotNull() | F.col("b").isNotNull(), "skip").otherwise("upload").alias("action"))
 
 
 def fingerprint(df: DataFrame, by: str, line: Column) -> DataFrame:

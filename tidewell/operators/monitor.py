@@ -143,20 +143,18 @@ def pair_starts(log: DataFrame) -> DataFrame:
     """``log, start, end`` of ``log, ts (double), kind`` (start or end): each
     start takes the next end at or after it that no earlier start took.
 
-    A log's lines are one group; its times are two short sorted lists.
+    An end that finds no start waiting is lost; these are where the running
+    sum of starts less ends falls to a new least below zero. Of the others the
+    n-th belongs to the n-th start.
     """
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        starts, ends = (sorted(part.loc[part["kind"] == k, "ts"].tolist()) for k in ("start", "end"))
-        rows, at = [], 0
-        for s in starts:
-            while at < len(ends) and ends[at] < s:
-                at += 1
-            rows.append((part["log"].iloc[0], s, ends[at] if at < len(ends) else None))
-            at += at < len(ends)
-        return pd.DataFrame(rows, columns=["log", "start", "end"]).astype({"end": float})
-
-    return log.groupBy("log").applyInPandas(run, "log long, start double, end double")
+    order = Window.partitionBy("log").orderBy("ts", F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)  # starts before ends
+    is_start = (F.col("kind") == "start").cast("long")
+    rows = log.where("kind IN ('start', 'end')").select("log", "ts", "kind", F.sum(is_start).over(order).alias("starts"), F.sum(1 - is_start).over(order).alias("ends"))
+    rows = rows.withColumn("waiting", F.col("starts") - F.col("ends")).withColumn("lost", -F.least(F.min("waiting").over(order), F.lit(0)))
+    before = F.coalesce(F.lag("lost").over(Window.partitionBy("log").orderBy("ts", F.desc("kind"), "ends")), F.lit(0))
+    ends = rows.withColumn("before", before).where("kind = 'end' AND lost = before").select("log", (F.col("ends") - F.col("lost")).alias("n"), F.col("ts").alias("end"))
+    starts = rows.where("kind = 'start'").select("log", F.col("starts").alias("n"), F.col("ts").alias("start"))
+    return starts.join(ends, ["log", "n"], "left").select("log", "start", "end")
 
 
 def wait_summary(waits: DataFrame, by: str, seconds: str = "seconds") -> DataFrame:

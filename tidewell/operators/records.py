@@ -137,9 +137,14 @@ def display_rows(results: DataFrame, versions: DataFrame) -> DataFrame:
 
 def replace_chunks(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Chunk rows (``doc_id, chunk_id``) after an upsert: documents that come
-    in lose their old rows and get the new ones, each chunk once."""
+    in lose their old rows and get the new ones, each chunk once: of several
+    the least by the other columns in order."""
     kept = current.join(incoming.select("doc_id").distinct(), "doc_id", "left_anti")
-    return kept.unionByName(incoming.dropDuplicates(["doc_id", "chunk_id"]))
+    others = [c for c in incoming.columns if c not in ("doc_id", "chunk_id")]
+    if not others:
+        return kept.unionByName(incoming.distinct())
+    least = incoming.groupBy("doc_id", "chunk_id").agg(F.min(F.struct(*others)).alias("row"))
+    return kept.unionByName(least.select("doc_id", "chunk_id", "row.*"))
 
 
 def index_status(documents: DataFrame) -> DataFrame:

@@ -49,6 +49,15 @@ def mention_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(C.recent_windows(mentions(spark, sf_dir), _date(NOW)))
 
 
+def mention_dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recent windows of mentions whose dates come from the index: of each
+    video the last event's day, none for every fifth."""
+    found = mentions(spark, sf_dir)
+    day = F.when(F.col("event_id") % 5 != 0, F.to_date("ts"))
+    index = table(spark, sf_dir, "events").select(F.col("user_id").alias("video"), day.alias("published"), F.col("event_id").alias("seq"))
+    return rounded(C.recent_windows(C.with_dates(found, index), _date(NOW)))
+
+
 def mention_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mentions(spark, sf_dir).where("symbol IS NOT NULL")
     return C.fingerprint(rows, "channel", F.concat_ws(":", F.col("video").cast("string"), "symbol"))
@@ -164,7 +173,7 @@ def _routed(name: str, now: str) -> str:
 
 QUERIES = {
     f.__name__: f
-    for f in (mention_channels, mention_symbols, mention_unresolved, mention_total, mention_grouping_sets, mention_labels, mention_top, mention_recent, mention_fingerprint, payload_mentions, coverage_gaps, channel_report, quality_breakdown, index_freshness, lifecycle_route, lifecycle_reconcile, newest_per_channel, keep_newest, first_seen, progress_sync, upload_plan, token_budget, freshness_check, name_collisions, timing_quantiles)
+    for f in (mention_channels, mention_symbols, mention_unresolved, mention_total, mention_grouping_sets, mention_labels, mention_top, mention_recent, mention_dated, mention_fingerprint, payload_mentions, coverage_gaps, channel_report, quality_breakdown, index_freshness, lifecycle_route, lifecycle_reconcile, newest_per_channel, keep_newest, first_seen, progress_sync, upload_plan, token_budget, freshness_check, name_collisions, timing_quantiles)
 }
 ORACLES = {
     "mention_channels": f"WITH {MENTIONS} SELECT channel, {_COUNTS} FROM m GROUP BY channel",
@@ -176,6 +185,10 @@ ORACLES = {
 SELECT symbol, array_to_string(ls, '|') AS labels, coalesce(list_filter(ls, lambda x: ends_with(x, '(' || symbol || ')'))[1], ls[1]) AS preferred FROM l""",
     "mention_top": f"WITH {MENTIONS} SELECT symbol, {_COUNTS} FROM m WHERE symbol IS NOT NULL GROUP BY symbol ORDER BY mention_count DESC, symbol LIMIT 20",
     "mention_recent": f"WITH {MENTIONS}, a AS (SELECT *, date_diff('day', published, DATE '2024-02-20') AS age FROM m) SELECT symbol, "
+    + ", ".join(f"count(*) FILTER (WHERE age <= {d}) AS mentions_{d}, count(DISTINCT CASE WHEN age <= {d} THEN video END) AS videos_{d}, count(DISTINCT CASE WHEN age <= {d} THEN channel END) AS channels_{d}" for d in (30, 60, 90))
+    + ", CAST(max(published) AS VARCHAR) AS last_date, CAST(min(age) AS INTEGER) AS days_since, min(age) > 90 AS stale FROM a GROUP BY symbol",
+    "mention_dated": f"""WITH {MENTIONS}, x AS (SELECT user_id AS video, CASE WHEN event_id % 5 <> 0 THEN CAST(ts AS DATE) END AS published, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM events),
+a AS (SELECT m.symbol, m.video, m.channel, x.published, date_diff('day', x.published, DATE '2024-02-20') AS age FROM m JOIN x ON x.video = m.video AND back = 1 AND x.published IS NOT NULL) SELECT symbol, """
     + ", ".join(f"count(*) FILTER (WHERE age <= {d}) AS mentions_{d}, count(DISTINCT CASE WHEN age <= {d} THEN video END) AS videos_{d}, count(DISTINCT CASE WHEN age <= {d} THEN channel END) AS channels_{d}" for d in (30, 60, 90))
     + ", CAST(max(published) AS VARCHAR) AS last_date, CAST(min(age) AS INTEGER) AS days_since, min(age) > 90 AS stale FROM a GROUP BY symbol",
     "mention_fingerprint": f"WITH {MENTIONS} SELECT channel, sha256(string_agg(video || ':' || symbol, chr(10) ORDER BY video || ':' || symbol)) AS fingerprint FROM m WHERE symbol IS NOT NULL GROUP BY channel",

@@ -18,7 +18,8 @@ def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.dft(S.build_signal(weekly(spark, sf_dir)))
+    found = S.periodogram(S.build_signal(weekly(spark, sf_dir)), 7.0)
+    return found.select("series", "k", "n", "re", "im", "power", (F.hypot("re", "im") / F.col("n")).alias("amplitude"))
 
 
 def cycle_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ def cycle_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cycle_dft_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strongest bins of each priority's weekly log returns."""
-    rows = rounded(spectrum(spark, sf_dir), 9).select("series", "k", "n", "amplitude", "power")
+    rows = rounded(S.dft(S.build_signal(weekly(spark, sf_dir))), 9).select("series", "k", "n", "amplitude", "power")
     place = F.row_number().over(S.by_series().orderBy(F.desc("power"), "k"))
     return rows.withColumn("place", place).where(F.col("place") <= TOP)
 
@@ -133,10 +134,11 @@ def cycle_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cycle_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three strongest bins as a wave, ten weeks past the end."""
-    bins = spectrum(spark, sf_dir)
+    """The three strongest bins as a wave, 120 days past the end."""
+    signal = S.build_signal(weekly(spark, sf_dir))
+    bins = S.periodogram(signal, 7.0)
     best = bins.withColumn("p", F.row_number().over(S.by_series().orderBy(F.desc(F.round("power", 9)), "k"))).where("p <= 3")
-    return rounded(S.reconstruct(best.select("series", "k", "n", "re", "im"), 352))
+    return rounded(S.reconstruct(best.select("series", "k", "n", "re", "im"), S.extended(signal, 7.0, 120)))
 
 
 def cycle_scalogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,6 +268,6 @@ SELECT series, CAST(ts AS VARCHAR) AS ts, round(CASE WHEN n < 30 THEN value ELSE
     "cycle_rank": f"""WITH {METRICS}, sc AS (SELECT series, k, 1.0 * {Z.format(c="snr")} + 0.5 * {Z.format(c="band_ratio")} AS rank_score FROM me WINDOW p AS (PARTITION BY series))
 SELECT series, k, round(CAST(rank_score AS DOUBLE), 6) AS rank_score, round(CAST(CASE WHEN max(rank_score) OVER q > min(rank_score) OVER q THEN (rank_score - min(rank_score) OVER q) / (max(rank_score) OVER q - min(rank_score) OVER q) ELSE 0 END AS DOUBLE), 6) AS rank_norm FROM sc WINDOW q AS (PARTITION BY series)""",
     "cycle_reconstruct": f"""WITH {SPECTRUM}, e AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY round(power, 9) DESC, k) AS place FROM d),
-a AS (SELECT *, unnest(generate_series(0, 351)) AS i FROM e WHERE place <= 3)
-SELECT series, i, round(sum(2.0 / n * (re * cos(2 * pi() * ((k * i) % n) / n) - im * sin(2 * pi() * ((k * i) % n) / n))), 6) AS value FROM a GROUP BY series, i""",
+xd AS (SELECT series, i, ts, false AS projection FROM t UNION ALL SELECT series, n - 1 + s, z + CAST(7 * s AS INTEGER), true FROM (SELECT series, max(n) AS n, max(ts) AS z, unnest(range(1, 19)) AS s FROM t GROUP BY series))
+SELECT series, xd.i, CAST(any_value(ts) AS VARCHAR) AS ts, any_value(projection) AS projection, round(sum(2.0 / n * (re * cos(2 * pi() * ((k * xd.i) % n) / n) - im * sin(2 * pi() * ((k * xd.i) % n) / n))), 6) AS value FROM xd JOIN e USING (series) WHERE place <= 3 GROUP BY series, xd.i""",
 }

@@ -257,6 +257,12 @@ SELECT seq, CAST(CASE WHEN b THEN (place - 1) % 3 + 1 ELSE 0 END AS BIGINT) AS c
     "monitor_delta": f"WITH {_SAMPLES} SELECT seq, round(value - last_value(value IGNORE NULLS) OVER (PARTITION BY host ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS change FROM s",
     "monitor_cpu": """WITH s AS (SELECT user_id AS host, ts, event_id AS seq, event_id * 10 AS total, event_id * 7 + CAST(floor(value) AS BIGINT) AS idle FROM events)
 SELECT seq, CASE WHEN lag(total) OVER w IS NOT NULL THEN floor(((greatest(total - lag(total) OVER w, 1) - greatest(idle - lag(idle) OVER w, 0)) * 20000 + greatest(total - lag(total) OVER w, 1)) / (2 * greatest(total - lag(total) OVER w, 1))) / 100 END AS cpu_pct FROM s WINDOW w AS (PARTITION BY host ORDER BY ts, seq)""",
+    "monitor_pairs": """WITH RECURSIVE e AS (SELECT user_id AS log, CAST(epoch(date_trunc('second', ts)) AS DOUBLE) AS ts, event_type = 'purchase' AS first FROM events WHERE event_type IN ('purchase', 'click')),
+r AS (SELECT *, row_number() OVER (PARTITION BY log ORDER BY ts, first DESC) AS rn FROM e),
+q AS (SELECT log, CAST(0 AS BIGINT) AS rn, CAST([] AS DOUBLE[]) AS waiting, CAST(NULL AS DOUBLE) AS start, CAST(NULL AS DOUBLE) AS stop FROM (SELECT DISTINCT log FROM r) UNION ALL
+  SELECT q.log, r.rn, CASE WHEN first THEN list_append(waiting, ts) ELSE waiting[2:] END, CASE WHEN NOT first THEN waiting[1] END, CASE WHEN NOT first THEN ts END FROM q JOIN r ON r.log = q.log AND r.rn = q.rn + 1),
+z AS (SELECT log, arg_max(waiting, rn) AS waiting FROM q GROUP BY log)
+SELECT log, start, stop AS "end" FROM q WHERE start IS NOT NULL UNION ALL SELECT log, unnest(waiting), NULL FROM z""",
     "monitor_waits": "SELECT event_type, count(value) AS n, round(sum(value), 6) AS total, round(avg(value), 6) AS mean, round(min(value), 6) AS least, round(max(value), 6) AS most, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type",
     "backfill_policy": """WITH d AS (SELECT doc_id, doc_id % 4 < 2 AS soft, CASE WHEN doc_id % 13 <> 0 THEN TIMESTAMP '2024-01-01' + (doc_id % 60) * INTERVAL 1 DAY END AS p FROM documents)
 SELECT doc_id, NOT soft OR p IS NULL OR p >= TIMESTAMP '2024-02-06' AS allowed, CASE WHEN NOT soft THEN 'hard_invalid' WHEN p IS NULL THEN 'soft_unknown_reference_time' WHEN p >= TIMESTAMP '2024-02-06' THEN 'soft_within_window' ELSE 'soft_outside_window:14d' END AS why FROM d""",

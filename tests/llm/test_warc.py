@@ -1,7 +1,7 @@
 import hashlib
 
 from tests.compare import SMALL, assert_same
-from tests.llm.helpers import empty
+from tests.llm.helpers import clashing, empty
 from tidewell.llm import warc
 
 PAGES = "page_id long, url string, html string, n int"
@@ -46,5 +46,14 @@ def test_revisit_rows_are_never_originals(spark):
     assert warc.resolve_revisits(headers).collect()[0]["refers_to"] == 2
 
 
+def test_clashing_names_are_not_read(spark, tmp_path):
+    rows = [(1, "u", "<p>one</p>" * 30, 1), (2, "u", "<p>one</p>" * 30, 1), (3, None, None, None)]
+    pages = spark.createDataFrame(rows, PAGES)
+    names = ("payload", "payload_digest", "payload_bytes", "record_type", "refers_to", "value", "class", "most")
+    odd = clashing(pages).selectExpr("*", *[f"'x' AS {n}" for n in names])
+    plain, found = (sorted(map(str, warc.archive_pages(p, str(tmp_path / n)).collect())) for p, n in ((pages, "a"), (odd, "b")))
+    assert plain == found
+
+
 def test_empty_table(spark, tmp_path):
     assert warc.archive_pages(empty(spark, PAGES), str(tmp_path / "w")).count() == 0

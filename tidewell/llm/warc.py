@@ -179,7 +179,8 @@ def archive_pages(pages: DataFrame, path: str, min_bytes: int = 100) -> DataFram
     """Write ``pages`` (``page_id, url, html``) and return what is read back.
 
     Null html is an empty payload, null url ``about:blank``; other columns are
-    ignored. One row per page, repeated rows included.
+    ignored, whatever their names. One row per page, repeated rows included.
+    Payloads are hashed once: what is stored is read by columns after that.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     records = pages.select(
@@ -189,11 +190,13 @@ def archive_pages(pages: DataFrame, path: str, min_bytes: int = 100) -> DataFram
         F.sha2(payload.cast("binary"), 256).alias("payload_digest"),
         F.octet_length(payload).cast("long").alias("payload_bytes"),
     )
-    write_archives(join_revisits(records, min_bytes), path)
+    write_archives(join_revisits(stored(records, "warc-records"), min_bytes), path)
     return read_archives(pages.sparkSession, path, with_payload=False)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record types of all of ``pages``, read back from their archives; for
+    nulls, empty and repeated rows and empty tables see ``archive_pages``."""
     pages = read_table(spark, sf_dir, "pages")
     back = archive_pages(pages, shared_path(spark, "warc"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -42,7 +42,7 @@ def dedup_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are sampled to the target weights; those of cells that need
     more than they have come more than once. Null sources and languages are
-    values of their own, and texts without words weigh nothing."""
+    values of their own; null and empty texts weigh nothing."""
     return mixing.sample_mixed(docs)
 
 

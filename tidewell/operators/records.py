@@ -116,8 +116,12 @@ def name_contains(table: DataFrame, name: str, part: str, order: str, most: int)
 
 
 def ordered_paths(paths: DataFrame, path: Column) -> DataFrame:
-    """Different paths without empty and ``.`` parts, in order."""
-    rows = paths.select(F.concat(F.lit("/"), F.array_join(F.filter(F.split(path, "/"), lambda x: ~x.isin("", ".")), "/")).alias("path"))
+    """Different paths in order, without empty and ``.`` parts; ``..`` takes
+    back the part before it, at the root nothing."""
+    parts = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
+    back = lambda kept: F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+    parts = F.aggregate(parts, F.array().cast("array<string>"), lambda kept, x: F.when(x == "..", back(kept)).otherwise(F.concat(kept, F.array(x))))
+    rows = paths.select(F.concat(F.lit("/"), F.array_join(parts, "/")).alias("path"))
     return rows.distinct().orderBy("path")
 
 

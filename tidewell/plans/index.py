@@ -101,7 +101,7 @@ def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages")
-    return rows.select("page_id", T.title(F.col("html")).alias("title"), F.size(T.hrefs(F.col("html"))).alias("n_links"), F.array_join(F.slice(T.hrefs(F.col("html")), 1, 5), " ").alias("first_links"))
+    return rows.select("page_id", T.title(F.col("html")).alias("title"), F.size(T.hrefs(F.col("html"))).alias("n_links"), F.array_join(T.hrefs(F.col("html")), " ").alias("links"))
 
 
 def document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,7 +243,7 @@ c AS (SELECT page_id, lower(regexp_extract(u, '^([^:]+)://', 1)) AS s, lower(reg
   array_to_string(list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_') AND string_split(x, '=')[1] NOT IN ('gclid', 'fbclid', 'ref', 'source')), '&') AS q FROM b)
 SELECT page_id, s || '://' || h || CASE WHEN p IN ('', '/') THEN '/' ELSE regexp_replace(p, '/$', '') END || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS canonical FROM c""",
     "page_links": """WITH a AS (SELECT page_id, regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["'']([^"''#]+)', 1) AS l, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '') AS title FROM pages)
-SELECT page_id, title, CAST(len(l) AS INTEGER) AS n_links, coalesce(array_to_string(l[1:5], ' '), '') AS first_links FROM a""",
+SELECT page_id, title, CAST(len(l) AS INTEGER) AS n_links, coalesce(array_to_string(l, ' '), '') AS links FROM a""",
     "document_text": """WITH a AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM documents)
 SELECT doc_id, CASE WHEN length(f) <= 220 THEN f ELSE rtrim(substr(f, 1, 219)) || '…' END AS snippet, CASE WHEN length(text) <= 40 THEN text ELSE rtrim(substr(text, 1, 40)) || ' ...' END AS cut, CAST(greatest(1, length(text) // 4) AS INTEGER) AS tokens,
 substr(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), 1, 30) AS slug, sha256(source || ':' || doc_id) AS id FROM a""",

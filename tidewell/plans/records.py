@@ -126,7 +126,7 @@ def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ordered_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
-    return R.ordered_paths(_docs(spark, sf_dir, "source"), _numbered("/srv//%s/./%s/", F.col("source"), d % 40))
+    return R.ordered_paths(_docs(spark, sf_dir, "source"), _numbered("/../srv//%s/./old/../%s/", F.col("source"), d % 40))
 
 
 def version_write(spark: SparkSession, sf_dir: str) -> DataFrame:

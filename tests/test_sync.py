@@ -134,3 +134,14 @@ def test_cold_moves_are_idempotent(spark):
     for before, after in zip((hot, moved), C.apply_cold(again, hot, moved), strict=True):
         assert sorted(map(tuple, before.collect())) == sorted(map(tuple, after.collect()))
     assert tuple(C.cold_counts(C.cold_plan(entries.limit(0), hot, moved)).first()) == (0, 0, 0, 0)
+
+
+def test_ring_of_lines(spark, tmp_path):
+    from tidewell.sources import files
+
+    path = str(tmp_path / "ring")
+    for k in range(0, 12, 3):
+        files.append_ring(spark.createDataFrame([(k + i, "é" * i) for i in range(3)], "seq int, text string"), path, "seq", 100)
+    lines = [x for f in (tmp_path / "ring").glob("part-*") for x in f.read_bytes().splitlines(keepends=True)]
+    assert sum(map(len, lines)) <= 100 and [json.loads(x)["seq"] for x in lines] == list(range(11, 11 - len(lines), -1)) or sorted(json.loads(x)["seq"] for x in lines) == list(range(12 - len(lines), 12))
+    assert len(lines) == 4

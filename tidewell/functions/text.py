@@ -191,6 +191,13 @@ def wrapped_docs(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"(?s)<<<DOC_START>>>(.*?)<<<DOC_END>>>"), 1), lambda x: F.trim(x, F.lit(" \n")))
 
 
+def wrapped_records(text: Column, keys: dict[str, str]) -> Column:
+    """Array of (each of ``keys``, body) of the documents between marks: values
+    of their front matter, by default what ``keys`` says, and the text after it."""
+    fields = lambda x: [frontmatter_value(x, k, d).alias(k) for k, d in keys.items()]
+    return F.transform(wrapped_docs(text), lambda x: F.struct(*fields(x), without_frontmatter(x).alias("body")))
+
+
 def without_frontmatter(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)^---\n.*?\n---\n*", "")
 
@@ -362,3 +369,10 @@ def glob_match(path: Column, include: list[str], exclude: list[str]) -> Column:
     inn, out = [F.regexp_like(path, F.lit(glob_regex(p))) for p in include], [F.regexp_like(path, F.lit(glob_regex(p))) for p in exclude]
     yes = F.greatest(*inn, F.lit(False)) if inn else F.lit(True)
     return yes & ~(F.greatest(*out, F.lit(False)) if out else F.lit(False))
+
+
+def clamp(value: Column, low: float | None = None, high: float | None = None) -> Column:
+    """``value`` within its bounds; null stays null."""
+    held = value if low is None else F.greatest(value, F.lit(low))
+    held = held if high is None else F.least(held, F.lit(high))
+    return F.when(value.isNotNull(), held)

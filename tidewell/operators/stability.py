@@ -113,6 +113,21 @@ def band_snr(cycles: DataFrame, spectrum: DataFrame, keys: list[str], on: list[s
     return sums.select(*keys, f.alias("freq"), F.when(some, F.col("band") / F.col("total")).otherwise(0.0).alias("band_ratio"), F.when(some, F.col("band") / noise).otherwise(0.0).alias("snr"))
 
 
+def nearest_bins(cycles: DataFrame, spectrum: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
+    """``keys, f0, k, freq``: the bin of each spectrum that is nearest to each
+    cycle's frequency (``on, freq``), the first of equals. Bins of a spectrum
+    are evenly spaced, so only those around the frequency are looked at."""
+    groups = spectrum.groupBy(*keys).agg(F.min("freq").alias("f_low"), F.max("freq").alias("f_high"), F.min("k").alias("k_low"), F.max("k").alias("k_high"))
+    each = groups.join(cycles.select(*on, F.col("freq").alias("f0")), on)
+    width = F.when(F.col("k_high") > F.col("k_low"), (F.col("f_high") - F.col("f_low")) / (F.col("k_high") - F.col("k_low"))).otherwise(1.0)
+    at = F.least(F.greatest(F.floor(F.col("k_low") + (F.col("f0") - F.col("f_low")) / width), F.col("k_low")), F.col("k_high"))
+    around = F.sequence(F.greatest(at - 1, F.col("k_low")), F.least(at + 2, F.col("k_high")))
+    looked = each.select(*keys, "f0", F.explode(around).alias("k")).join(spectrum.select(*keys, "k", "freq"), [*keys, "k"])
+    away = F.struct(F.round(F.abs(F.col("freq") - F.col("f0")), 15), F.col("k"))
+    best = looked.groupBy(*keys, "f0").agg(F.min_by(F.struct("k", "freq"), away).alias("best"))
+    return best.select(*keys, "f0", "best.k", "best.freq")
+
+
 def window_measures(windows: DataFrame, cycles: DataFrame, step_days: float, low: float, high: float, limits: Limits = Limits()) -> DataFrame:
     """Each cycle (``series, freq, period_days``) in each window (see
     ``series.windowed_by_length``): the window's ``start``, ``n`` and dates,

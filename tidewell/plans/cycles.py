@@ -103,6 +103,14 @@ def cycle_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("series", "period_days", "start", "n", "start_date", "mid_date", "end_date", "band_ratio", "snr", "amplitude", "phase", "lag", F.col("r2").alias("fit"), "present"))
 
 
+def cycle_nearest_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bin of each window's spectrum that is nearest to each candidate."""
+    signal, cycles = whole_candidates(spark, sf_dir)
+    keys = ["series", "window"]
+    found = T.nearest_bins(cycles, T.spectra(S.windowed_by_length(signal, LENGTHS, EVERY), keys, 7.0), keys, ["series"])
+    return rounded(found, 9)
+
+
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.evaluate(S.build_signal(weekly(spark, sf_dir)), 7.0, LOW, HIGH, LENGTHS, EVERY, LIMITS)
 
@@ -242,7 +250,7 @@ _NUMBERS = lambda names: ", ".join(f"round(CAST({x} AS DOUBLE), 6) AS {x}" for x
 QUERIES = {
     "cycle_resample": cycle_resample, "cycle_step": cycle_step, "cycle_date_range": cycle_date_range, "cycle_returns": cycle_returns, "cycle_diff": cycle_diff, "cycle_detrend": cycle_detrend, "cycle_signal": cycle_signal,
     "cycle_dft_top": cycle_dft_top, "cycle_periodogram": cycle_periodogram, "cycle_band_filter": cycle_band_filter, "cycle_peaks": cycle_peaks, "cycle_band_metrics": cycle_band_metrics, "cycle_windows": cycle_windows,
-    "cycle_candidates": cycle_candidates, "cycle_measures": cycle_measures, "cycle_stability": cycle_stability, "cycle_select": cycle_select, "cycle_rank": cycle_rank, "cycle_reconstruct": cycle_reconstruct, "cycle_surrogates": cycle_surrogates, "cycle_scalogram": cycle_scalogram, "cycle_recovery": cycle_recovery,
+    "cycle_candidates": cycle_candidates, "cycle_measures": cycle_measures, "cycle_nearest_bins": cycle_nearest_bins, "cycle_stability": cycle_stability, "cycle_select": cycle_select, "cycle_rank": cycle_rank, "cycle_reconstruct": cycle_reconstruct, "cycle_surrogates": cycle_surrogates, "cycle_scalogram": cycle_scalogram, "cycle_recovery": cycle_recovery,
 }
 ORACLES = {
     "cycle_resample": f"""WITH {DAILY}, b AS (SELECT series, min(ts) AS a, max(ts) AS z FROM s GROUP BY series),
@@ -262,6 +270,8 @@ SELECT series, CAST(ts AS VARCHAR) AS ts, round(CASE WHEN n < 30 THEN value ELSE
     "cycle_band_metrics": f"WITH {METRICS} SELECT series, k, round(band_ratio, 6) AS band_ratio, round(snr, 6) AS snr FROM me",
     "cycle_windows": f'WITH {SIGNAL}, {WINDOWS} SELECT t.series, win AS "window", w AS n, count(*) AS rows, round(sum(value), 6) AS total FROM t JOIN pl ON pl.series = t.series AND i >= s0 AND i < s0 + w GROUP BY ALL',
     "cycle_candidates": f"WITH RECURSIVE {CANDIDATES} SELECT series, k, round(freq, 9) AS freq, round(period_days, 9) AS period_days, round(power, 9) AS power, round(norm_power, 9) AS norm_power FROM ca",
+    "cycle_nearest_bins": f"""WITH RECURSIVE {CANDIDATES}, {WINDOWS}, nb AS (SELECT ca.series, win, freq AS f0, k AS k, k * (1 / (w * CAST(7 AS DOUBLE))) AS f FROM (SELECT *, unnest(range(0, w // 2 + 1)) AS k FROM pl) q JOIN (SELECT series, freq FROM ca) ca ON ca.series = q.series),
+nr AS (SELECT *, row_number() OVER (PARTITION BY series, win, f0 ORDER BY round(abs(f - f0), 15), k) AS place FROM nb) SELECT series, CAST(win AS INTEGER) AS "window", round(f0, 9) AS f0, k, round(f, 9) AS freq FROM nr WHERE place = 1""",
     "cycle_stability": f"""WITH RECURSIVE {MEASURED} SELECT series, CAST(s0 AS BIGINT) AS start, CAST(w AS INTEGER) AS n, CAST(d0 AS VARCHAR) AS start_date, CAST(d1 AS VARCHAR) AS mid_date, CAST(d2 AS VARCHAR) AS end_date, present, {_NUMBERS("period_days band_ratio snr amplitude phase lag fit")} FROM wm""",
     "cycle_measures": f"""WITH RECURSIVE {EVALUATED} SELECT series, window_ratios, stable, CAST(place AS INTEGER) AS place, {_NUMBERS("freq period_days power norm_power presence_ratio band_ratio_median amp_median amp_p25 amp_min fit_median snr_median snr_p25 snr_global lag_median lag_iqr phase_locking_r margin_median stability_score rank_score rank_norm stability_norm")} FROM ev""",
     "cycle_select": f"""WITH RECURSIVE {SELECTED} SELECT series, CAST(chosen AS INTEGER) AS chosen, CAST(rung AS INTEGER) AS rung, {_NUMBERS("period_days rank_norm presence_ratio phase_locking_r snr_median norm_power")} FROM s6""",

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.functions.text import clamp
+from tidewell.functions.text import wrapped_records as records_of
 from tidewell.operators import corpus as C
 from tidewell.operators import search as X
 from tidewell.operators import upkeep as U
@@ -127,7 +129,47 @@ def cold_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.cold_counts(_cold(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (vector_cache, vector_cache_fill, search_filtered, search_versions, chunk_lookup, document_lookup, snapshot_list, crawl_robots, cold_plan, cold_counts)}
+def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as JSON summaries: each line a stock, an item and a claim."""
+    lines = F.split("text", "\n")
+    stock = lambda x: F.struct(x.alias("canonical"), F.col("lang").alias("why_covered"), F.array(F.struct(x.alias("quote"))).alias("evidence"))
+    body = F.struct(
+        F.col("doc_id").cast("string").alias("video_id"), F.struct(F.col("source").alias("channel_namespace")).alias("source"), F.transform(lines, lambda x: F.struct(x.alias("text"))).alias("knowledge_items"),
+        F.transform(lines, stock).alias("stocks_covered"), F.transform(lines, lambda x: F.struct(x.alias("claim"))).alias("macro_insights"),
+    )
+    return table(spark, sf_dir, "documents").select(F.to_json(body).alias("payload"))
+
+
+def summary_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten stocks with their quotes and five claims of each summary."""
+    found = U.compact_summaries(_payloads(spark, sf_dir))
+    stocks = F.array_join(F.transform("stocks", lambda s: F.concat_ws("|", s["canonical"], s["why"], F.array_join(s["quotes"], "|"))), "\n")
+    return found.select("video", "channel", F.md5(stocks).alias("stocks"), F.md5(F.array_join("claims", "\n")).alias("claims"))
+
+
+def summary_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five lines of each summary, and how many more there are."""
+    return U.highlights(_payloads(spark, sf_dir)).select("video", F.array_join("lines", "\n").alias("lines"))
+
+
+def topic_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that are left when the documents of a source are purged."""
+    gone = table(spark, sf_dir, "documents").where("source = 'src0'").select("doc_id")
+    return X.without_children(table(spark, sf_dir, "labels"), gone, "doc_id").select("doc_id")
+
+
+def value_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(table(spark, sf_dir, "events").select("event_id", clamp(F.col("value"), 10, 60).alias("both"), clamp(F.col("value"), low=20).alias("low")))
+
+
+def wrapped_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two documents in one text, one with front matter."""
+    text = F.concat(F.lit("<<<DOC_START>>>\n---\ntopic: "), "source", F.lit("\nlang: "), F.coalesce("lang", F.lit("")), F.lit("\n---\n"), F.md5("text"), F.lit("\n<<<DOC_END>>>\nbetween\n<<<DOC_START>>>\nplain "), F.col("doc_id"), F.lit("\n<<<DOC_END>>>"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(records_of(text, {"topic": "unknown", "lang": "none"})).alias("place", "x"))
+    return rows.select("doc_id", "place", "x.*")
+
+
+QUERIES = {f.__name__: f for f in (summary_compact, summary_highlights, topic_purge, value_clamp, wrapped_records, vector_cache, vector_cache_fill, search_filtered, search_versions, chunk_lookup, document_lookup, snapshot_list, crawl_robots, cold_plan, cold_counts)}
 
 _V = """v AS (SELECT doc_id AS id, source, 'a' AS snapshot, concat_ws(' ', lang, 'a') AS title FROM documents UNION ALL SELECT doc_id, source, 'b', concat_ws(' ', lang, 'b') FROM documents WHERE doc_id % 3 <> 0)"""
 _FOUND = """WITH tok AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS l FROM documents), st AS (SELECT count(*) AS total, avg(len(l)) AS average FROM tok),
@@ -144,7 +186,15 @@ _CHUNKS = "c AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)),
 _PLAN = """w AS (SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS video, o_orderstatus <> 'O' AND o_custkey % 2 = 0 AS here, o_totalprice < 50000 AS there FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01'),
 p AS (SELECT video, CASE WHEN here AND there THEN 'replace' WHEN here THEN 'move' WHEN there THEN 'done' ELSE 'absent' END AS step FROM w)"""
 
+_LINES = "l AS (SELECT CAST(doc_id AS VARCHAR) AS video, source, lang, string_split(text, chr(10)) AS ls FROM documents)"
+
 ORACLES = {
+    "summary_compact": f"""WITH {_LINES} SELECT video, coalesce(source, 'unknown') AS channel, md5(array_to_string([concat_ws('|', x, lang, x) FOR x IN ls[1:10] IF trim(x, ' ') <> ''], chr(10))) AS stocks, md5(array_to_string(ls[1:5], chr(10))) AS claims FROM l""",
+    "summary_highlights": f"""WITH {_LINES}, h AS (SELECT video, ['- ' || x FOR x IN ls IF x <> ''] || (CASE WHEN coalesce(lang, '') <> '' THEN ['- **' || x || '**: ' || lang FOR x IN ls IF x <> ''] ELSE [] END) || ['- *Macro*: ' || x FOR x IN ls IF x <> ''] AS a FROM l)
+SELECT video, array_to_string(a[1:5], chr(10)) || CASE WHEN len(a) > 5 THEN chr(10) || '- ... (' || len(a) - 5 || ' more)' ELSE '' END AS lines FROM h WHERE len(a) > 0""",
+    "topic_purge": "SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src0')",
+    "value_clamp": "SELECT event_id, round(CASE WHEN value IS NOT NULL THEN least(greatest(value, 10), 60) END, 6) AS both, round(CASE WHEN value IS NOT NULL THEN greatest(value, 20) END, 6) AS low FROM events",
+    "wrapped_records": "SELECT doc_id, CAST(0 AS INTEGER) AS place, source AS topic, coalesce(nullif(lang, ''), 'none') AS lang, md5(text) AS body FROM documents UNION ALL SELECT doc_id, 1, 'unknown', 'none', 'plain ' || doc_id FROM documents",
     "vector_cache": f"WITH k AS (SELECT doc_id, sha256('{MODEL}') || '__' || sha256(text) AS key FROM documents) SELECT doc_id, key, key IN (SELECT key FROM k WHERE doc_id IN (SELECT doc_id FROM labels)) AS hit FROM k",
     "vector_cache_fill": "SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CAST(length(text) - length(replace(text, ' ', '')) AS BIGINT) AS spaces FROM documents",
     "search_filtered": _FOUND.format(where=" AND source = 'src0' AND snapshot = 'b'", **_SEARCH),

@@ -81,6 +81,32 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     return texts.join(side.groupBy("video").agg(F.max("published").alias("published")), "video", "left").select("channel", "video", "path", "published")
 
 
+def last_bytes(df: DataFrame, order: str, most: int) -> DataFrame:
+    """The last rows in order that fit into ``most`` bytes as JSON lines; a row
+    that fits only in part is left out with all before it. Few rows are looked
+    at: a line has three bytes at least."""
+    line = F.to_json(F.struct("*"))
+    near = df.withColumn("line", line).orderBy(F.desc(order)).limit(max(1, most // 3))
+    held = F.sum(F.octet_length("line") + 1).over(Window.orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0))
+    return near.withColumn("held", held).where(F.col("held") <= most).drop("line", "held")
+
+
+def append_ring(df: DataFrame, path: str, order: str, most: int) -> None:
+    """JSON lines below ``path`` of at most ``most`` bytes: the last of those
+    there and of ``df``. The new file is written beside the old one and then
+    takes its place."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    there = files.exists(at(path))
+    every = spark.read.schema(df.schema).json(path).unionByName(df) if there else df
+    last_bytes(every, order, most).coalesce(1).write.mode("overwrite").json(f"{path}.next")
+    if there:
+        files.delete(at(path), True)
+    if not files.rename(at(f"{path}.next"), at(path)):
+        raise OSError(f"{path} could not be replaced")
+
+
 def newest_first(df: DataFrame, by: str, order: str, most: int) -> DataFrame:
     """At most ``most`` rows of each key, newest first."""
     return df.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))).where(F.col("n") <= most).drop("n")

@@ -35,6 +35,11 @@ def epoch_date(seconds: Column) -> Column:
     return F.to_date(F.timestamp_seconds(seconds))
 
 
+def day_text(day: Column) -> Column:
+    """``yyyy-MM-dd``; years of five digits and more without Spark's sign."""
+    return F.ltrim(day.cast("string"), F.lit("+"))
+
+
 def utc_label(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm 'UTC'")
 

@@ -279,7 +279,7 @@ def date_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format(D.parse_utc(text), "yyyy-MM-dd HH:mm:ss").alias("parsed"),
         D.published_date(text).alias("published"),
         D.minutes_seconds(F.col("value") * 40).alias("clock"),
-        D.epoch_date(e * 86_400).cast("string").alias("day"),
+        D.day_text(D.epoch_date(e * 86_400)).alias("day"),
         D.utc_label(ts).alias("label"),
     )
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.functions.dates import day_text
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -13,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Doubles rounded and dates as text, so that results compare exactly."""
     cols = {c: F.round(c, places) for c, kind in df.dtypes if kind == "double"}
-    return df.withColumns(cols | {c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "date"})
+    return df.withColumns(cols | {c: day_text(F.col(c)) for c, kind in df.dtypes if kind == "date"})
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,3 +96,21 @@ def test_stems(spark):
     assert [stem_word(a) for a, _ in pairs] == [b for _, b in pairs]
     df = spark.createDataFrame([(a,) for a, _ in pairs] + [(None,)], "t string")
     assert {r["s"] for r in df.select(stemmed("t").alias("s")).collect()} == {b for _, b in pairs} | {None}
+
+
+def test_postings_of_asked_stems_only(spark):
+    texts = [(1, "Connected connection, other"), (2, "connecting connect connects"), (3, "con 7 été"), (4, None), (5, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = X.stemmed_postings(docs, ["connection", "été", "absent"], "doc_id")
+    assert sorted(map(tuple, rows.select("term", "id", "dl", "tf").collect())) == [("connect", 1, 3, 2), ("connect", 2, 3, 3), ("été", 3, 3, 1)]
+    # What is dealt doesn't grow with the other words.
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "IN (connect" in plan or "INSET connect" in plan
+    assert X.stemmed_postings(docs, ["absent"], "doc_id").count() == 0
+
+
+def test_stems_keep_the_first_letter():
+    made = random.Random(7)
+    ends = ["", "s", "sses", "ies", "eed", "ed", "ing", "y", "ational", "izer", "biliti", "icate", "ness", "ement", "ion", "e", "ll"]
+    words = ["".join(made.choices("abeilosty", k=made.randint(0, 4))) + made.choice(ends) + made.choice(ends) for _ in range(20_000)]
+    assert not [w for w in words if stem_word(w)[:1] != w[:1]]

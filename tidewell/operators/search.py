@@ -6,10 +6,12 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions.stem import stem_word
 from tidewell.functions.text import sha_id
 
 # BM25 as SQLite documents it, and the usual fusion constant.
@@ -194,6 +196,30 @@ def postings(chunks: DataFrame, id_col: str = "chunk_id", only: list[str] | None
     return rows.groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def stemmed_postings(chunks: DataFrame, terms: list[str], id_col: str = "chunk_id") -> DataFrame:
+    """``postings`` by stem, of the stems of ``terms`` only.
+
+    Each word of the texts that begins like one of the stems (a stem keeps
+    its word's first letter) is stemmed once; a stem has but a few words, and
+    only theirs become postings.
+    """
+    spark = chunks.sparkSession
+    asked = {stem_word(t) for t in terms}
+
+    def wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = batch.assign(stem=batch["word"].map(stem_word))
+            yield made[made["stem"].isin(asked)]
+
+    # A map, not a column: Spark would move a filter on stems in front of distinct.
+    alike = F.filter(words(F.col("text")), lambda x: F.substring(x, 1, 1).isin(*{t[:1] for t in asked}))
+    every = chunks.select(F.explode(F.array_distinct(alike)).alias("word")).distinct()
+    found = [tuple(r) for r in every.mapInPandas(wanted, "word string, stem string").collect()]
+    index = postings(chunks, id_col, sorted(w for w, _ in found)).withColumnRenamed("term", "word")
+    held = index.join(F.broadcast(spark.createDataFrame(found, "word string, stem string")), "word")
+    return held.groupBy(F.col("stem").alias("term"), "id", "dl").agg(F.sum("tf").alias("tf"))
+
+
 def bm25(index: DataFrame, queries: DataFrame, total: int, average: float, counts: DataFrame | None = None) -> DataFrame:
     """``query, id, score`` for ``queries`` (``query, term``), a bounded table.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -162,11 +163,12 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``search_bm25``, over stems: terms are stemmed after counting."""
+    """As ``search_bm25``, over stems."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = X.postings(docs, "doc_id")
-    stems = index.select(F.col("term").alias("word")).distinct().select("word", stemmed("word").alias("stem"))  # each word once
-    index = index.join(stems, index["term"] == stems["word"]).groupBy(F.col("stem").alias("term"), "id", "dl").agg(F.sum("tf").alias("tf"))
+    made = X.stemmed_postings(docs, [t for _, t in TERMS], "doc_id")
+    path = f"{_checkpoints(spark)}/stemmed-{uuid.uuid4().hex}"
+    made.write.parquet(path)  # read twice: for its counts and for its scores
+    index = spark.read.schema(made.schema).parquet(path)
     total, average = docs.select(F.count(F.lit(1)), F.avg(F.size(X.words(F.col("text"))).cast("double"))).first()
     asked = spark.createDataFrame(TERMS, "query string, term string").withColumn("term", stemmed("term"))
     return rounded(X.ranked(rounded(X.bm25(index, asked, total, average), 9), 50)).select("query", "id", "rank", "score")
@@ -194,11 +196,12 @@ def crawl_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.crawl(links, seeds, 3)
 
 
-def _checkpoints(spark: SparkSession) -> None:
+def _checkpoints(spark: SparkSession) -> str:
     """The shared folder of the session; one of this machine only where the
     session names none, as in local runs."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 QUERIES = {

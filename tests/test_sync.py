@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from tidewell.operators import corpus as C
 from tidewell.operators import search as X
 from tidewell.operators import upkeep as U
 from tidewell.operators import vector_store as V
+from tidewell.operators.batches import slices
 from tidewell.sources import transcripts as S
 
 
@@ -145,3 +147,29 @@ def test_ring_of_lines(spark, tmp_path):
     lines = [x for f in (tmp_path / "ring").glob("part-*") for x in f.read_bytes().splitlines(keepends=True)]
     assert sum(map(len, lines)) <= 100 and [json.loads(x)["seq"] for x in lines] == list(range(11, 11 - len(lines), -1)) or sorted(json.loads(x)["seq"] for x in lines) == list(range(12 - len(lines), 12))
     assert len(lines) == 4
+
+
+def test_postings_are_counted_before_they_are_dealt(spark, tmp_path):
+    texts = [(1, "x", "b a B c1 b"), (2, "y", "é É b"), (3, "x", None), (4, "y", " "), (5, None, "a")]
+    chunks = spark.createDataFrame(texts, "chunk_id long, source string, text string")
+    rows = chunks.select("chunk_id", "source", X.words(F.col("text")).alias("tokens"))
+    counted = X.term_counts(rows)
+    wanted = [(1, 5, "a", 1), (1, 5, "b", 3), (1, 5, "c1", 1), (2, 3, "b", 1), (2, 3, "é", 2), (5, 1, "a", 1)]
+    assert sorted(map(tuple, counted.select("chunk_id", "dl", "term", "tf").collect())) == wanted
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+
+    # Rows of one id and length are one text, as in the SQL; of other lengths they aren't.
+    twice = chunks.union(spark.createDataFrame([(1, "x", "b b d e f"), (1, "x", "b")], chunks.schema))
+    for k, (given, more) in enumerate([(chunks, {}), (twice, {(1, 5, "b"): 5, (1, 1, "b"): 1, (1, 5, "d"): 1, (1, 5, "e"): 1, (1, 5, "f"): 1})]):
+        X.write_postings(given, str(tmp_path / str(k)))
+        stored = spark.read.parquet(str(tmp_path / str(k) / "postings"))
+        assert {(r["chunk_id"], r["dl"], r["term"]): r["tf"] for r in stored.collect()} == {w[:3]: w[3] for w in wanted} | more
+        terms = {r["term"]: r["n"] for r in spark.read.parquet(str(tmp_path / str(k) / "terms")).collect()}
+        assert terms["b"] == 2 + k and terms["a"] == 2
+
+
+def test_slices_of_batches():
+    batch = pa.RecordBatch.from_pydict({"n": list(range(100)), "t": ["x" * 1000] * 100})
+    parts = list(slices(batch, 10_000))
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict() and max(p.num_rows for p in parts) <= 10
+    assert [p.num_rows for p in slices(batch, 1)] == [1] * 100 and not list(slices(batch.slice(0, 0)))

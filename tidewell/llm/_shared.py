@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.operators.batches import arrow_batches as arrow_batches
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
@@ -47,21 +47,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-@contextlib.contextmanager
-def arrow_batches(spark: SparkSession, size: str = "8m", rows: int = 2000) -> Iterator[None]:
-    """Smaller Arrow batches while tables are written: an executor holds
-    several copies of a batch for each of its tasks."""
-    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": size, "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)}
-    before = {k: spark.conf.get(k) for k in wanted}
-    try:
-        for k, v in wanted.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
-
-
 def small(df: DataFrame, most: int = 32 << 20) -> DataFrame:
     """``df`` with a broadcast hint only if its rows, measured as JSON, take at
     most ``most`` bytes; otherwise unchanged, so that Spark shuffles."""

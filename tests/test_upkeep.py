@@ -4,12 +4,14 @@ import datetime as dt
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions.stem import stem_word, stemmed
 from tidewell.operators import search as X
 from tidewell.operators import upkeep as U
+from tidewell.plans import index
 
 NOW = dt.datetime(2025, 3, 1)
 
@@ -114,3 +116,19 @@ def test_stems_keep_the_first_letter():
     ends = ["", "s", "sses", "ies", "eed", "ed", "ing", "y", "ational", "izer", "biliti", "icate", "ness", "ement", "ion", "e", "ll"]
     words = ["".join(made.choices("abeilosty", k=made.randint(0, 4))) + made.choice(ends) + made.choice(ends) for _ in range(20_000)]
     assert not [w for w in words if stem_word(w)[:1] != w[:1]]
+
+
+def test_pages_reach_python_in_small_batches(spark, tmp_path, monkeypatch):
+    spark.range(5000).coalesce(1).selectExpr("id AS page_id", "concat('<p>', id, repeat(' word', 800)) AS html").write.parquet(str(tmp_path / "pages.parquet"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"doc_id": [0], "idx": pa.array([b.num_rows], pa.int32()), "heading_path": [""], "char_len": pa.array([b.nbytes], pa.int32())})
+
+    whole = X.chunk_documents
+    monkeypatch.setattr(X, "chunk_documents", lambda docs: docs.mapInArrow(sizes, "doc_id long, idx int, heading_path string, char_len int"))
+    rows = index.page_markdown(spark, str(tmp_path)).collect()
+    assert sum(r["idx"] for r in rows) == 5000 and max(r["idx"] for r in rows) <= 2000 and max(r["char_len"] for r in rows) < 10 << 20
+    monkeypatch.setattr(X, "chunk_documents", whole)
+    made = index.page_markdown(spark, str(tmp_path))
+    assert made.select("doc_id").distinct().count() == 5000

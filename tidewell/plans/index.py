@@ -14,6 +14,7 @@ from tidewell.operators import monitor as M
 from tidewell.operators import retrieval as R
 from tidewell.operators import search as X
 from tidewell.operators import upkeep as U
+from tidewell.operators.batches import arrow_batches
 from tidewell.plans.tables import rounded, table
 
 TERMS = [("q1", "that"), ("q1", "hest"), ("q2", "licensed"), ("q3", "ergebnis"), ("q3", "der"), ("q4", "avec")]
@@ -177,7 +178,11 @@ def search_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as Markdown, cut into chunks under their headings."""
     made = X.pages_to_markdown(table(spark, sf_dir, "pages"))
-    return X.chunk_documents(made.select(F.col("page_id").alias("doc_id"), F.col("markdown").alias("text"))).select("doc_id", "idx", "heading_path", "char_len")
+    parts = X.chunk_documents(made.select(F.col("page_id").alias("doc_id"), F.col("markdown").alias("text"))).select("doc_id", "idx", "heading_path", "char_len")
+    path = f"{_checkpoints(spark)}/markdown-{uuid.uuid4().hex}"
+    with arrow_batches(spark):  # batches are sized when rows are made, so they are made here
+        parts.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(parts.schema).parquet(path)
 
 
 def backfill_policy(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,3 +55,17 @@ def test_odd_rows(spark, library):
     assert all(r["decoded_sha256"] == hashlib.sha256(b"").hexdigest() for r in found if r["n_tokens"] == 0)
     assert [list(r["ids"]) for r in found if r["doc_id"] == 8] == [library.encode("naïve \u0000 𝒳 ﬁ ▁ ｆｕｌｌ   end")]
     assert pieces.encode_pieces(empty(spark), PATH).count() == 0
+
+
+def test_workers_keep_nothing_of_the_texts(spark):
+    """Python workers outlive the stage; what they learned from texts mustn't."""
+    texts = [(k, " ".join(f"w{k * 100 + j}x" for j in range(100))) for k in range(40)]
+    assert pieces.encode_pieces(spark.createDataFrame(texts, "doc_id long, text string"), PATH).agg({"n_tokens": "sum"}).first()[0] > 4000
+
+    def held(batches):
+        from tidewell.llm import pieces as module
+
+        for batch in batches:
+            yield batch.assign(id=sum(len(m.known) + len(m.fits) for m in module._models.values()))
+
+    assert spark.range(64).repartition(16).mapInPandas(held, "id long").agg({"id": "max"}).first()[0] == 0

@@ -132,3 +132,10 @@ def test_odd_rows_and_clashing_names(spark):
     assert none.count() == 11
     assert toxicity.drop_toxic(empty(spark), labels).count() == 0
     assert toxicity.drop_toxic(empty(spark), empty(spark, LABELS)).count() == 0
+
+
+def test_texts_go_to_python_once(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    plan = toxicity.drop_toxic(docs, labels)._jdf.queryExecution().optimizedPlan().toString()
+    sent = next(line for line in plan.split("\n") if "Project [struct(" in line)
+    assert sent.count("text#") == 1

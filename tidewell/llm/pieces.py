@@ -20,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm._shared import read_table
+from tidewell.operators.batches import slices
 
 SPACE = "▁"
-CACHE_LIMIT = 600_000
+CACHE_LIMIT = 200_000  # entries, some 250 bytes each
 
 
 class PieceModel:
@@ -161,6 +162,12 @@ class PieceModel:
             known.clear()
         return ids
 
+    def forget(self) -> None:
+        """Drops what was learned from texts. Python workers live on from stage
+        to stage, so it would take memory that later ones need."""
+        self.known.clear()
+        self.fits.clear()
+
     def decode(self, ids: list[int]) -> str:
         """Text of ids; the leading space that encoding adds is taken off, and
         bytes that are no UTF-8 become U+FFFD each."""
@@ -211,17 +218,20 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = piece_model(model)
         digits = pieces.digits
-        for batch in batches:
-            counts, hashes, decoded, kept = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = pieces.encode(text)
-                counts.append(len(ids))
-                hashes.append(hashlib.sha256(",".join(map(digits.__getitem__, ids)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(pieces.decode(ids).encode()).hexdigest())
-                if with_ids:
-                    kept.append(ids)
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.list_(pa.int32()))] * with_ids, names=names)
+        try:
+            for batch in (part for whole in batches for part in slices(whole)):
+                counts, hashes, decoded, kept = [], [], [], []
+                for text in batch.column(1).to_pylist():
+                    ids = pieces.encode(text)
+                    counts.append(len(ids))
+                    hashes.append(hashlib.sha256(",".join(map(digits.__getitem__, ids)).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(pieces.decode(ids).encode()).hexdigest())
+                    if with_ids:
+                        kept.append(ids)
+                columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.list_(pa.int32()))] * with_ids, names=names)
+        finally:
+            pieces.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from tidewell.llm._shared import read_table, stored
+from tidewell.operators.batches import slices
 
 MAX_EXAMPLES = 4_000  # labelled rows learned from
 FOLDS = 3
@@ -290,11 +291,20 @@ def score_documents(docs: DataFrame, index: Index, with_evidence: bool = False)
     alike. All other columns pass through, whatever their names; an empty
     table gives an empty result.
     """
+    kept = [c for c in docs.columns if c not in ("tw_score", "tw_evidence")]
+    found = _scored(docs.select(*[F.col(f"`{c}`") for c in kept]), index, with_evidence)
+    return found.select("row.*", *found.columns[1:])
+
+
+def _scored(docs: DataFrame, index: Index, with_evidence: bool = False) -> DataFrame:
+    """``row``, a struct of all columns of ``docs``, beside what
+    ``score_documents`` finds: each text goes to Python once, and slices of a
+    batch become Python objects."""
     sent = _sent(docs.sparkSession, index)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             made, why = [], []
             for text in batch.column(0).field("text").to_pylist():
                 value, rows, sims = index.score(index.vector(word_counts(text)))
@@ -307,19 +317,16 @@ def score_documents(docs: DataFrame, index: Index, with_evidence: bool = False)
                 names.append("tw_evidence")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    kept = [c for c in docs.columns if c not in ("tw_score", "tw_evidence")]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     out = StructType([*rows.schema.fields, StructField("tw_score", DoubleType())])
     if with_evidence:
         out = StructType([*out.fields, StructField("tw_evidence", ArrayType(StructType([StructField("doc_id", LongType()), StructField("similarity", DoubleType())])))])
-    return rows.mapInArrow(score, out).select("row.*", *out.names[1:])
+    return rows.mapInArrow(score, out)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``docs`` that score below the threshold, columns unchanged."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select("text", F.struct(*columns).alias("tw_kept"))
-    return score_documents(rows, fit(docs, labels)).where(F.col("tw_score") < THRESHOLD).select("tw_kept.*")
+    return _scored(docs, fit(docs, labels)).where(F.col("tw_score") < THRESHOLD).select("row.*")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

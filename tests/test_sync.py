@@ -168,6 +168,19 @@ def test_postings_are_counted_before_they_are_dealt(spark, tmp_path):
         assert terms["b"] == 2 + k and terms["a"] == 2
 
 
+def test_postings_stay_with_their_task(spark, tmp_path):
+    """Stored without a shuffle, by term, also with more sources than open files."""
+    texts = [(k, f"s{k % (X.OPEN_FILES + 9)}" if k % 2 else "x", f"w{k % 7} b a{k} b") for k in range(300)]
+    chunks = spark.createDataFrame(texts, "chunk_id long, source string, text string").repartition(3, "chunk_id")
+    X.write_postings(chunks, str(tmp_path))
+    stored = spark.read.parquet(str(tmp_path / "postings"))
+    assert {(r["chunk_id"], r["source"], r["term"], r["tf"], r["dl"]) for r in stored.collect()} == {(k, s, w, t.split().count(w), 4) for k, s, t in texts for w in t.split()}
+    assert stored.count() == 3 * len(texts)
+    found = [[r["term"] for r in spark.read.parquet(str(f)).collect()] for f in (tmp_path / "postings" / "source=x").glob("*.parquet")]
+    assert len(found) == 3 and all(terms == sorted(terms) for terms in found)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
 def test_slices_of_batches():
     batch = pa.RecordBatch.from_pydict({"n": list(range(100)), "t": ["x" * 1000] * 100})
     parts = list(slices(batch, 10_000))

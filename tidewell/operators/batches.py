@@ -10,10 +10,8 @@ from pyspark.sql import SparkSession
 
 
 @contextlib.contextmanager
-def arrow_batches(spark: SparkSession, size: str = "8m", rows: int = 2000) -> Iterator[None]:
-    """Smaller Arrow batches while tables are written: an executor holds
-    several copies of a batch for each of its tasks."""
-    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": size, "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)}
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for a while."""
     before = {k: spark.conf.get(k) for k in wanted}
     try:
         for k, v in wanted.items():
@@ -24,6 +22,12 @@ def arrow_batches(spark: SparkSession, size: str = "8m", rows: int = 2000) -> It
             spark.conf.set(k, v)
 
 
+def arrow_batches(spark: SparkSession, size: str = "8m", rows: int = 2000) -> contextlib.AbstractContextManager[None]:
+    """Smaller Arrow batches while tables are written: an executor holds
+    several copies of a batch for each of its tasks."""
+    return settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": size, "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)})
+
+
 def slices(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in slices of about ``size`` bytes, one row at least:
     only a slice is ever held as Python objects."""

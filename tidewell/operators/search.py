@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.stem import stem_word
 from tidewell.functions.text import sha_id
-from tidewell.operators.batches import arrow_batches, slices
+from tidewell.operators.batches import arrow_batches, settings, slices
 
 # BM25 as SQLite documents it, and the usual fusion constant.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 FUSION_K = 60
+OPEN_FILES = 64  # sources that a task stores side by side; Spark sorts the postings of further ones
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 BREAKS = frozenset((*HEADINGS, *"p div ul ol li br tr table section article header footer nav main aside blockquote pre".split()))
 HIDDEN = frozenset(("script", "style", "noscript"))
@@ -227,17 +228,28 @@ def term_counts(rows: DataFrame) -> DataFrame:
     """``chunk_id, source, dl, term, tf`` of ``chunk_id, source, tokens``.
 
     A text's words are counted inside its row, so that its postings needn't be
-    shuffled to be counted.
+    shuffled to be counted. Those of a batch of texts come by source and term.
     """
 
+    def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = [t.split(" ") if t else [] for t in batch.column(2).to_pylist()]
+        counts = [Counter(words) for words in lists]
+        of = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
+        terms, tf = pa.array([t for c in counts for t in c], pa.string()), pa.array([n for c in counts for n in c.values()], pa.int64())
+        dl = pa.array(np.array([len(words) for words in lists], np.int32)[of])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), dl, terms, tf], names=["chunk_id", "source", "dl", "term", "tf"])
+
+    def places(column: pa.ChunkedArray) -> np.ndarray:
+        """Each value's place among the distinct ones, in order; -1 for nulls."""
+        coded = column.combine_chunks().dictionary_encode()
+        place = np.append(np.argsort(np.argsort(np.array(coded.dictionary.to_pylist(), object))), -1)
+        return place[coded.indices.fill_null(-1).to_numpy()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole)):
-            lists = [t.split(" ") if t else [] for t in batch.column(2).to_pylist()]
-            counts = [Counter(words) for words in lists]
-            of = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
-            terms, tf = pa.array([t for c in counts for t in c], pa.string()), pa.array([n for c in counts for n in c.values()], pa.int64())
-            dl = pa.array(np.array([len(words) for words in lists], np.int32)[of])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), dl, terms, tf], names=["chunk_id", "source", "dl", "term", "tf"])
+        for batch in batches:
+            if parts := [counted(part) for part in slices(batch)]:
+                rows = pa.Table.from_batches(parts)
+                yield from rows.take(np.lexsort((places(rows["term"]), places(rows["source"])))).to_batches(1 << 16)
 
     ids = ", ".join(f"{c} {kind}" for c, kind in rows.select("chunk_id", "source").dtypes)
     return rows.select("chunk_id", "source", F.array_join("tokens", " ").alias("words")).mapInArrow(run, f"{ids}, dl int, term string, tf long")
@@ -279,18 +291,24 @@ def write_postings(chunks: DataFrame, path: str) -> None:
     """Stores the postings of ``chunks`` (``chunk_id, source, text``) in a
     folder a source, by term, with the counts of all terms and the totals.
 
-    Ranges of (source, term, chunk) are dealt over the tasks, so neither a
-    large source nor a common term is one task's work, and a file holds few
-    terms: readers pass over the others by the files' statistics.
+    Texts of a task are sorted by source, and each batch of them is stored as a
+    run of postings by term: readers pass over the pages of other terms by
+    their statistics. So postings are neither shuffled nor sorted by Spark, and
+    neither a large source nor a common term is one task's work. Only where
+    ids repeat, ranges of (source, term, chunk) are dealt over the tasks.
     """
+    spark = chunks.sparkSession
     rows = chunks.select("chunk_id", "source", words(F.col("text")).alias("tokens"))
-    placed = term_counts(rows).repartitionByRange("source", "term", "chunk_id")
-    if not chunks.groupBy("chunk_id", "source").count().where("count > 1").isEmpty():  # then rows of one id and length are one text; they met in one range
-        placed = placed.groupBy("term", "chunk_id", "source", "dl").agg(F.sum("tf").alias("tf"))
-    with arrow_batches(chunks.sparkSession):
-        placed.sortWithinPartitions("source", "term").write.mode("overwrite").partitionBy("source").option("compression", "zstd").parquet(f"{path}/postings")
-    stored = chunks.sparkSession.read.parquet(f"{path}/postings")
-    stored.groupBy("term").agg(F.count("*").alias("n")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    if chunks.groupBy("chunk_id", "source").count().where("count > 1").isEmpty():
+        placed = term_counts(chunks.sortWithinPartitions("source").select("chunk_id", "source", words(F.col("text")).alias("tokens")))
+        files = {"spark.sql.maxConcurrentOutputFileWriters": str(OPEN_FILES)}
+    else:  # rows of one id and length are one text; they meet in one range
+        merged = term_counts(rows).repartitionByRange("source", "term", "chunk_id").groupBy("term", "chunk_id", "source", "dl").agg(F.sum("tf").alias("tf"))
+        placed, files = merged.sortWithinPartitions("source", "term"), {}
+    with arrow_batches(spark), settings(spark, files):
+        placed.write.mode("overwrite").partitionBy("source").option("compression", "zstd").parquet(f"{path}/postings")
+    stored = spark.read.parquet(f"{path}/postings")
+    stored.groupBy("term").agg(F.count("*").alias("n")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
     rows.agg(F.count("*").alias("total"), F.avg(F.size("tokens").cast("double")).alias("average")).write.mode("overwrite").parquet(f"{path}/totals")
 
 
